@@ -21,13 +21,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarryline.llm.common import crc_remainder, documents, slices, text_bytes, to_batches
+from quarryline.llm.common import crc_remainder, documents, slices, text_bytes
 
 LENGTHS = (1, 2, 3, 4)
 #: n-grams of each length share so many slots; a slot is one presence.
 SLOTS = 1 << 15
-PREDICTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -116,8 +116,8 @@ def fit(labelled: list[tuple[str, str]], landmarks: int = 256, ridge: float = 1e
     return Model(langs, used, (marks.T.astype(np.float64) @ (root @ w)).astype(np.float32), bias.astype(np.float32), sharpness)
 
 
-def predict(docs: DataFrame, model: Model | None, batch_rows: int = 64) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every text."""
+def with_language(docs: DataFrame, model: Model | None, batch_rows: int = 64) -> DataFrame:
+    """docs with the columns _lang_pred and _lang_score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 4 * SLOTS x languages floats
 
     def work(batches):
@@ -133,16 +133,24 @@ def predict(docs: DataFrame, model: Model | None, batch_rows: int = 64) -> DataF
                 best, sure = fitted.predict([raw[offsets[i] : offsets[i + 1]] for i in part])
                 for i, b, s in zip(part, best.tolist(), sure.tolist()):
                     lang[i], score[i] = fitted.langs[b], s
-            yield to_batches({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": lang, "score": score}, PREDICTED)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "_lang_pred", "_lang_score"])
 
+    return docs.mapInArrow(work, T.StructType([*docs.schema, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())]))
+
+
+def learned(docs: DataFrame, per_language: int = 300, languages: int = 64) -> Model | None:
+    return fit([(r["lang"], r["text"]) for r in learning_rows(docs, per_language, languages).collect()])
+
+
+def language_id(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every row; learns from the labelled rows that are not held out."""
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_remainder(3) == 1).alias("held_out"))
-    return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double")
+    return with_language(rows, learned(docs)).select("doc_id", "held_out", F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
 
 
-def language_id(docs: DataFrame, per_language: int = 300, languages: int = 64) -> DataFrame:
-    """Learns from the labelled rows of docs that are not held out, and predicts every row."""
-    sample = [(r["lang"], r["text"]) for r in learning_rows(docs, per_language, languages).collect()]
-    return predict(docs, fit(sample))
+def keep_languages(docs: DataFrame, least: float = 0.4) -> DataFrame:
+    """docs without the rows whose language can't be told: ``und``, or a score below ``least``."""
+    return with_language(docs, learned(docs)).where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= least)).select(docs.columns)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,6 +197,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The document of smallest doc_id of each component, once; rows without doc_id go."""
+    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+
+
 def _sizes_fit():
     return f"{PERCENT} * greatest(n_a, n_b) <= 100 * least(n_a, n_b)"
 

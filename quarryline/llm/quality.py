@@ -23,15 +23,15 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarryline.llm.common import crc_remainder, documents, slices, texts, to_batches
+from quarryline.llm.common import crc_remainder, documents, slices, texts
 
 LEVEL = 9
 #: Bytes added to the sum, so that very short texts give no extreme differences.
 STEADY = 64
 #: Bytes of a text that are compressed at once.
 BLOCK = 2048
-SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
 @functools.lru_cache(4)
@@ -112,24 +112,35 @@ def calibrate(x: np.ndarray, y: np.ndarray, share: float = 0.5, ridge: float = 1
     return float(w[0] / scale), float(w[1])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score and predicted of every text."""
+def with_quality(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with the column _quality."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of bounded size
 
     def work(batches):
         fitted = shared.value
         for batch in slices(batches):
-            found = [fitted.score(t) for t in batch.column("text").to_pylist()]
-            yield to_batches({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": found, "predicted": [int(s >= 0.5) for s in found]}, SCORED)
+            found = [fitted.score(t or "") for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "_quality"])
 
-    return texts(docs, (crc_remainder(3) == 1).alias("held_out")).mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.mapInArrow(work, T.StructType([*docs.schema, T.StructField("_quality", T.DoubleType())]))
 
 
-def quality(docs: DataFrame, labels: DataFrame, per_label: int = 2000, excerpt: int = 2000) -> DataFrame:
-    """Learns from the labelled rows that are not held out, and scores every row."""
+def learned(docs: DataFrame, labels: DataFrame, per_label: int = 2000, excerpt: int = 2000) -> Model:
     sample = [(r["quality"], r["text"]) for r in learning_rows(docs, labels, per_label, excerpt).collect()]
     share = labels.where(F.col("quality").isin(0, 1) & (crc_remainder(3) != 1)).agg(F.avg("quality")).first()[0]
-    return score(docs, fit(sample, min(0.99, max(0.01, share)) if share is not None else 0.5))
+    return fit(sample, min(0.99, max(0.01, share)) if share is not None else 0.5)
+
+
+def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row; learns from the labelled rows that are not held out."""
+    rows = with_quality(texts(docs, (crc_remainder(3) == 1).alias("held_out")), learned(docs, labels))
+    score = F.col("_quality")
+    return rows.select("doc_id", "held_out", score.alias("score"), F.when(score >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """docs without the rows whose score is below ``least``."""
+    return with_quality(docs, learned(docs, labels)).where(F.col("_quality") >= least).select(docs.columns)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
