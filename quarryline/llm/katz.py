@@ -28,6 +28,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ from quarryline.llm.common import SLICE_BYTES, crc_remainder, documents, mix, sh
 
 #: Highest order; counts up to TRUSTED are discounted; bytes of text of a slice and, about, of a bucket.
 ORDER, TRUSTED = 2, 5
-SLICE, BUCKET = 16 << 20, 8 << 20
+SLICE, BUCKET = 12 << 20, 8 << 20
 END, START, _ODD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x9E3779B97F4A7C15)
 SLICES = pa.schema([("slice", pa.int64()), *((n, pa.binary()) for n in ("doc_ids", "train", "lengths", "stream", "words"))])
 SENT = pa.schema([("slice", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("numbers", pa.binary())])
@@ -45,13 +46,29 @@ _SENT_DDL = "slice long, bucket int, keys binary, numbers binary"
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((n, pa.int64()) for n in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as byte planes, compressed: the planes that are nearly all zeros cost nearly nothing."""
+    planes = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes() for x in map(np.ascontiguousarray, arrays))
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def unpack(data: bytes, n: int, *types) -> list[np.ndarray]:
+    """The arrays of n numbers each that were packed."""
+    planes, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), 0, []
+    for t in map(np.dtype, types):
+        n = len(planes) // t.itemsize if n < 0 else n
+        out.append(np.ascontiguousarray(planes[at : at + n * t.itemsize].reshape(t.itemsize, n).T).view(t).ravel())
+        at += n * t.itemsize
+    return out
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending 64-bit keys as byte planes of their differences: the upper planes are zeros and compress away."""
-    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Ascending 64-bit keys, by their differences."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(unpack(data, -1, np.uint64)[0], dtype=np.uint64)
 
 
 def discounts(met: np.ndarray) -> np.ndarray:
@@ -82,8 +99,11 @@ def _slices(docs: DataFrame, modulus: int, remainder: int, name: str, buckets: i
         def flush():
             ids, train, counts, hashes = (np.concatenate(x) for x in zip(*held))
             hashes = np.insert(hashes, np.cumsum(counts), END)  # an end after each document
-            words, stream = np.unique(hashes, return_inverse=True)
-            return to_batches({"slice": [(part << 32) | made], "doc_ids": [ids.tobytes()], "train": [train.tobytes()], "lengths": [(counts + 1).tobytes()], "stream": [stream.astype(np.uint32).tobytes()], "words": [words.tobytes()]}, SLICES)
+            words, stream, often = np.unique(hashes, return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")  # common words have small numbers, which compress well
+            number = np.empty(len(words), np.uint32)
+            number[order] = np.arange(len(words), dtype=np.uint32)
+            return to_batches({"slice": [(part << 32) | made], "doc_ids": [ids.tobytes()], "train": [train.tobytes()], "lengths": [(counts + 1).tobytes()], "stream": [pack(number[stream])], "words": [words[order].tobytes()]}, SLICES)
 
         for batch in slices(batches, limit=SLICE_BYTES):
             hashes, counts = word_hashes(batch.column("text"))
@@ -97,7 +117,7 @@ def _slices(docs: DataFrame, modulus: int, remainder: int, name: str, buckets: i
 
     rows = texts(docs, (crc_remainder(modulus) != remainder).alias("train"))
     cut = rows.mapInArrow(work, "slice long, doc_ids binary, train binary, lengths binary, stream binary, words binary")
-    cut.write.bucketBy(buckets, "slice").saveAsTable(name)
+    cut.write.option("compression", "none").bucketBy(buckets, "slice").saveAsTable(name)
     return docs.sparkSession.table(name)
 
 
@@ -108,7 +128,7 @@ class Slice:
         self.id, self.buckets = row["slice"], buckets
         self.doc_ids, self.train = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["train"], bool)
         self.lengths = np.frombuffer(row["lengths"], np.int64)
-        stream, words = np.frombuffer(row["stream"], np.uint32).astype(np.int64), np.frombuffer(row["words"], np.uint64)
+        stream, words = unpack(row["stream"], -1, np.uint32)[0], np.frombuffer(row["words"], np.uint64)
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.answers = answers
         learned = np.repeat(self.train, self.lengths)
@@ -125,7 +145,7 @@ class Slice:
             self.shorter.append(self.at[-1][first])
             self.history.append(codes >> 32)
             self.keys.append(keys)
-            self.at.append(at)
+            self.at.append(at.astype(np.uint32))
             self.counts.append(np.bincount(at[learned], minlength=len(codes)))
 
     def histories(self, n: int) -> np.ndarray:
@@ -138,7 +158,7 @@ class Slice:
         keys, numbers = keys[order], [x[order] for x in numbers]
         for b, (i, j) in enumerate(self._edges(keys)):
             if j > i:
-                yield to_batches({"slice": [self.id], "bucket": [b], "keys": [pack_keys(keys[i:j])], "numbers": [b"".join(x[i:j].tobytes() for x in numbers)]}, SENT)
+                yield to_batches({"slice": [self.id], "bucket": [b], "keys": [pack_keys(keys[i:j])], "numbers": [pack(*(x[i:j] for x in numbers))]}, SENT)
 
     def _edges(self, ascending: np.ndarray):
         shift = 64 - (self.buckets.bit_length() - 1)
@@ -152,11 +172,9 @@ class Slice:
         found = {a["bucket"]: a["numbers"] for a in self.answers if a["kind"] == kind}
         out = [np.zeros(len(keys), t) for t in types]
         for b, (i, j) in enumerate(self._edges(keys[order])):
-            at = 0
-            for x, t in zip(out, types):
-                if j > i:
-                    x[order[i:j]] = np.frombuffer(found[b], t, j - i, at)
-                    at += (j - i) * np.dtype(t).itemsize
+            if j > i:
+                for x, got in zip(out, unpack(found[b], j - i, *types)):
+                    x[order[i:j]] = got
         return out
 
     def probabilities(self, order: int, model: dict) -> np.ndarray:
@@ -175,7 +193,7 @@ def _sum_counts(buckets_done: pa.Table):
     """All slices' counts of a bucket: the table's row (slice -1), and for each slice the totals and whether it owns the n-gram."""
     rows = sorted(buckets_done.to_pylist(), key=lambda r: r["slice"])
     parts = [unpack_keys(r["keys"]) for r in rows]
-    counts = np.concatenate([np.frombuffer(r["numbers"], "<u4") for r in rows])
+    counts = np.concatenate([unpack(r["numbers"], len(p), "<u4")[0] for r, p in zip(rows, parts)])
     keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
     total = np.bincount(inverse, counts).astype(np.int64)
     asked = np.flatnonzero(counts > 0)[::-1]
@@ -184,12 +202,12 @@ def _sum_counts(buckets_done: pa.Table):
     owned = (owner[inverse] == np.arange(len(inverse))).astype("u1")
     seen = total > 0
     met = np.bincount(np.minimum(total[seen], TRUSTED + 2), minlength=TRUSTED + 3)[1 : TRUSTED + 2]
-    out = [(-1, pack_keys(keys[seen]), total[seen].astype("<u4").tobytes(), [int(seen.sum()), int(total.sum()), *met.tolist()])]
+    out = [(-1, pack_keys(keys[seen]), pack(total[seen].astype("<u4")), [int(seen.sum()), int(total.sum()), *met.tolist()])]
     at = 0
     for r, part in zip(rows, parts):
         own = slice(at, at + len(part))
         at += len(part)
-        out.append((r["slice"], None, total[inverse[own]].astype("<u4").tobytes() + owned[own].tobytes(), None))
+        out.append((r["slice"], None, pack(total[inverse[own]].astype("<u4"), owned[own]), None))
     return out
 
 
@@ -198,7 +216,7 @@ def _sum_histories(buckets_done: pa.Table):
     rows = sorted(buckets_done.to_pylist(), key=lambda r: r["slice"])
     parts = [unpack_keys(r["keys"]) for r in rows]
     split = [len(p) for p in parts]
-    numbers = [(np.frombuffer(r["numbers"], "<u4", n), np.frombuffer(r["numbers"], "<f8", n, 4 * n), np.frombuffer(r["numbers"], "<f8", n, 12 * n)) for r, n in zip(rows, split)]
+    numbers = [unpack(r["numbers"], n, "<u4", "<f8", "<f8") for r, n in zip(rows, split)]
     keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
     count, discounted, lower = (np.bincount(inverse, np.concatenate(x)) for x in zip(*numbers))
     whole = count - discounted <= 1e-9 * np.maximum(count, 1)  # nothing left over: one count is set apart
@@ -206,12 +224,12 @@ def _sum_histories(buckets_done: pa.Table):
     with np.errstate(all="ignore"):
         alpha = np.where(count > 0, (below - discounted) / below / np.maximum(1 - lower, 1e-12), 1.0)
     below = np.where(count > 0, below, 1)
-    out = [(-1, pack_keys(keys), below.astype("<u4").tobytes() + alpha.astype("<f8").tobytes(), None)]
+    out = [(-1, pack_keys(keys), pack(below.astype("<u4"), alpha.astype("<f8")), None)]
     at = 0
     for r, n in zip(rows, split):
         own = inverse[at : at + n]
         at += n
-        out.append((r["slice"], None, below[own].astype("<u4").tobytes() + alpha[own].astype("<f4").tobytes(), None))
+        out.append((r["slice"], None, pack(below[own].astype("<u4"), alpha[own].astype("<f4")), None))
     return out
 
 
@@ -223,7 +241,7 @@ def _tally(sent: DataFrame, add, path: str) -> DataFrame:
         return pa.Table.from_batches([to_batches({"slice": [s], "bucket": [bucket], "keys": [k], "numbers": [x], "stats": [stats]}, TALLIED) for s, k, x, stats in add(table)])
 
     done = sent.groupBy("bucket").applyInArrow(work, f"{_SENT_DDL}, stats array<long>")
-    done.withColumn("model", F.col("slice") == -1).write.partitionBy("model").parquet(path)
+    done.withColumn("model", F.col("slice") == -1).write.option("compression", "none").partitionBy("model").parquet(path)
     return sent.sparkSession.read.schema(f"{_SENT_DDL}, stats array<long>, model boolean").parquet(path)
 
 
@@ -236,7 +254,8 @@ def train_and_score(docs: DataFrame, modulus: int, remainder: int, order: int =
     folder = folder or shared_folder(spark, "katz")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << max(4, (size // BUCKET).bit_length())
-    cut = _slices(docs, modulus, remainder, f"katz_{uuid.uuid4().hex}", max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SLICE + 1))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SLICE + 1)
+    cut = _slices(docs, modulus, remainder, f"katz_{uuid.uuid4().hex}", parts)
     answers: list[DataFrame] = []
     model: dict = {"d": {}}
 
@@ -247,7 +266,8 @@ def train_and_score(docs: DataFrame, modulus: int, remainder: int, order: int =
             every = answers[0]
             for more in answers[1:]:
                 every = every.unionByName(more)
-            gathered = every.groupBy("slice").agg(F.collect_list(F.struct("kind", "bucket", "numbers")).alias("answers"))
+            # Dealt as the table of slices is, so that the join needs no second exchange.
+            gathered = every.repartition(parts, "slice").groupBy("slice").agg(F.collect_list(F.struct("kind", "bucket", "numbers")).alias("answers"))
             joined = cut.join(gathered, "slice", "left")
 
         def work(batches):

@@ -6,9 +6,12 @@ k. The order puts shingles with long inverted lists last (a bounded table of tho
 goes by hash otherwise: the short lists are merged by the shuffle, sorted by shingle, and what two classes share
 in them is counted; the long lists are probed by binary search in the sorted sets of the pairs that are left.
 
-Classes are first held against the smallest class of a list (a star, linear in the list's length). Lists whose
-classes then lie in one component need no more; in all others every pair across components that shares k
-shingles is verified, so no link between components is lost. Verification is exact on the whole sets.
+Classes are first held against one class of a list, that of most copies (a star, linear in the list's length). Lists
+whose classes then lie in one component need no more. Pairs across components of a short list come from a join; those
+of a long list from blocks of classes, whose incidence with the long lists is multiplied block by block, so that
+no list is held or paired out in one task. Sketches (the parity of each of SKETCH bits) bound two sets'
+difference from below and drop pairs that can't link; the rest is verified on the whole sets. No link between
+components is lost.
 
 Defined results: null and empty texts have n_shingles 0 and are their own component; fewer than five words are one
 shingle; rows without doc_id are left out; repeated rows fall in one class; extra columns are ignored; an empty
@@ -27,9 +30,12 @@ from quarryline.llm.components import components
 
 #: Shingle length; the threshold in hundredths; shingles that the first parts of two linked sets share at least.
 WORDS, PERCENT, SHARED = 5, 80, 3
+#: Classes of a list that is still joined as a short one; classes of a block, about; the fewest bits of a sketch.
+SHORT, BLOCK, SKETCH = 24, 512, 1024
 #: Long lists set apart at most (8 bytes each are broadcast), and documents of a list of a slice that make it long.
 LONG_LISTS, LONG_HERE = 1 << 16, 4
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("first", pa.binary())])
+SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("first", pa.binary()), ("sketch", pa.binary())])
+BLOCKS = pa.schema([("block", pa.int64()), *((n, pa.binary()) for n in ("classes", "roots", "sizes", "sketches", "owners", "tokens"))])
 POSTINGS = pa.schema([("token", pa.int64()), ("classes", pa.list_(pa.int64()))])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,13 +85,13 @@ def _long_lists(docs: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, long_lists: np.ndarray) -> DataFrame:
-    """doc_id, n, class and the first shingles of every set."""
+    """doc_id, n, class, the first shingles and the sketch of every set."""
     shared = docs.sparkSession.sparkContext.broadcast(long_lists)
 
     def work(batches):
         apart = shared.value
         for batch in slices(batches):
-            rows = {"doc_id": batch.column("doc_id"), "n": [], "class": [], "first": []}
+            rows = {"doc_id": batch.column("doc_id"), "n": [], "class": [], "first": [], "sketch": []}
             for s in shingle_sets(batch.column("text")):
                 n = len(s)
                 need = least_overlap(n)
@@ -96,11 +102,14 @@ def _sets(docs: DataFrame, long_lists: np.ndarray) -> DataFrame:
                     if is_long.any():
                         s = np.concatenate([s[~is_long], s[is_long]])
                 rows["n"].append(n)
+                bits = max(SKETCH, 1 << (2 * n).bit_length())
+                odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                rows["sketch"].append(np.packbits(odd.astype(np.uint8)).tobytes())
                 rows["class"].append(int(key.view(np.int64)[0]))
                 rows["first"].append(s[: n - need + min(SHARED, need)].tobytes())
             yield to_batches(rows, SETS)
 
-    return docs.mapInArrow(work, "doc_id long, n long, class long, first binary")
+    return docs.mapInArrow(work, "doc_id long, n long, class long, first binary, sketch binary")
 
 
 def _postings(sets: DataFrame, slice_tokens: int = 2 << 20) -> DataFrame:
@@ -160,37 +169,91 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return stored(both.select("a", "b", "x", "y").mapInArrow(probe, "a long, b long"), "links")
 
 
+def _across_blocks(rest: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes of different components that share a long list and whose sizes and sketches may link.
+
+    rest: token, class, root, n, sketch of the classes of long lists.
+    """
+    held = rest.groupBy("class").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.collect_set("token").alias("tokens")).withColumn("cluster", F.array_min("tokens"))
+    sizes = held.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    held = stored(held.join(sizes, "cluster").withColumn("block", F.xxhash64("cluster", F.pmod(F.xxhash64("class"), "parts"))).drop("cluster", "parts"), "held")
+
+    def pack(table: pa.Table) -> pa.Table:
+        tokens = table.column("tokens").to_pylist()
+        rows = {"block": [table.column("block")[0].as_py()], "owners": [np.repeat(np.arange(len(tokens)), [len(t) for t in tokens]).tobytes()], "tokens": [np.array([x for t in tokens for x in t], np.int64).tobytes()]}
+        for name, column in (("classes", "class"), ("roots", "root"), ("sizes", "n")):
+            rows[name] = [np.asarray(table.column(column), np.int64).tobytes()]
+        rows["sketches"] = [np.stack([folded(s, SKETCH // 8) for s in table.column("sketch").to_pylist()]).tobytes()]
+        return pa.Table.from_batches([to_batches(rows, BLOCKS)])
+
+    blocks = stored(held.groupBy("block").applyInArrow(pack, "block long, classes binary, roots binary, sizes binary, sketches binary, owners binary, tokens binary"), "blocks")
+    touched = held.select("block", F.explode("tokens").alias("token")).distinct()
+    pairs = touched.withColumnRenamed("block", "i").join(touched.withColumnRenamed("block", "j"), "token").where("i <= j").select("i", "j").distinct()
+    sides = [blocks.select(*(F.col(c).alias(f"{c}_{s}" if c != "block" else s) for c in blocks.columns)) for s in "ij"]
+    joined = stored(pairs, "block-pairs").join(sides[0], "i").join(sides[1], "j")
+
+    def multiply(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                x, y = ({n: np.frombuffer(row[f"{n}_{s}"], np.int64) for n in BLOCKS.names[1:]} for s in "ij")
+                both = np.intersect1d(x["tokens"], y["tokens"])
+                marks = []
+                for side in (x, y):
+                    at = np.minimum(np.searchsorted(both, side["tokens"]), len(both) - 1)
+                    hit = both[at] == side["tokens"]
+                    mark = np.zeros((len(side["classes"]), len(both)), np.float32)
+                    mark[side["owners"][hit], at[hit]] = 1
+                    marks.append(mark)
+                n_x, n_y = x["sizes"][:, None], y["sizes"][None, :]
+                may = (marks[0] @ marks[1].T > 0) & (x["roots"][:, None] != y["roots"][None, :]) & (PERCENT * np.maximum(n_x, n_y) <= 100 * np.minimum(n_x, n_y))
+                if row["i"] == row["j"]:
+                    may = np.triu(may, 1)
+                a, b = np.nonzero(may)
+                sketch_x, sketch_y = (side["sketches"].view(np.uint64).reshape(len(side["classes"]), -1) for side in (x, y))
+                keep = [np.zeros(0, bool)]
+                for k in range(0, len(a), 1 << 14):
+                    p, q = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
+                    away = np.bitwise_count(sketch_x[p] ^ sketch_y[q]).sum(axis=1, dtype=np.int64)
+                    keep.append((100 + PERCENT) * away <= (100 - PERCENT) * (x["sizes"][p] + y["sizes"][q]))
+                keep = np.concatenate(keep)
+                one, two = x["classes"][a[keep]], y["classes"][b[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["a", "b"])
+
+    return joined.mapInArrow(multiply, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     rows = texts(docs)
     sets = stored(_sets(rows, _long_lists(rows)), "sets")
-    classes = stored(sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")), "classes")
+    classes = stored(sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "classes")
+    sized = classes.select("class", "n", "copies")
 
     counted = _postings(sets).withColumn("k", F.size("classes"))
     counted = counted.withColumn("df", F.sum("k").over(Window.partitionBy("token")))
-    lists = stored(counted.where("df > 1").select("token", "classes"), "lists")
+    lists = counted.where("df > 1").select("token", F.explode("classes").alias("class")).distinct()
+    lists = stored(lists.join(sized, "class"), "lists")
 
-    # Star: each class against the smallest class of its lists that it shares most with.
-    leaders = lists.groupBy("token").agg(F.min(F.array_min("classes")).alias("a"), F.max(F.array_max("classes")).alias("last")).where("a <> last").drop("last")
-    met = lists.join(leaders, "token").select("a", F.explode("classes").alias("b")).where("a <> b").groupBy("a", "b").count()
-    n_a, n_b = classes.select(F.col("class").alias("a"), F.col("n").alias("n_a")), classes.select(F.col("class").alias("b"), F.col("n").alias("n_b"))
-    near = met.join(n_a, "a").join(n_b, "b").where(_may_link())
+    # Star: each class against the class of most copies of its lists that it shares most lists with.
+    leaders = stored(lists.groupBy("token").agg(F.max(F.struct("copies", "class")).alias("x"), F.count("*").alias("k")).where("k > 1").select("token", F.col("x.class").alias("a")), "leaders")
+    met = lists.join(leaders, "token").where("a <> class").groupBy("a", F.col("class").alias("b"), F.col("n").alias("n_b")).count()
+    near = met.join(sized.select(F.col("class").alias("a"), F.col("n").alias("n_a")), "a").where(_may_link())
     best = near.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
-    links = _verified(best, classes, rows)
-
-    # Lists with classes of different components: all pairs across components that share enough.
-    roots = stored(components(links), "roots")
-    members = lists.select("token", F.explode("classes").alias("class")).distinct()
-    members = members.join(roots.withColumnRenamed("id", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    mixed = members.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("token")
-    rest = stored(members.join(mixed, "token").join(classes.select("class", "n"), "class"), "mixed")
-    a, b = (rest.select("token", F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("root").alias(f"root_{s}")) for s in "ab")
-    across = a.join(b, "token").where("a < b and root_a <> root_b").where(_sizes_fit())
-    pairs = across.groupBy("a", "b", "n_a", "n_b").count().where(_may_link()).select("a", "b").join(best.select("a", "b"), ["a", "b"], "left_anti")
-    more = _verified(stored(pairs, "pairs"), classes, rows)
+    links = _verified(stored(_sketches_fit(best, classes), "star"), classes, rows)
+
+    # Lists with classes of different components: all pairs across components.
+    roots = stored(components(links), "roots").withColumnRenamed("id", "class")
+    members = lists.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    mixed = members.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").alias("k")).where("r <> s").select("token", (F.col("k") <= SHORT).alias("short"))
+    rest = stored(members.drop("copies").join(mixed, "token"), "mixed")
+    a, b = (rest.where("short").select("token", F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("root").alias(f"root_{s}")) for s in "ab")
+    counts = a.join(b, "token").where(f"a < b and root_a <> root_b and {_sizes_fit()}").groupBy("a", "b", "n_a", "n_b").count().where(_may_link())
+    across = _across_blocks(rest.where("not short").join(classes.select("class", "sketch"), "class"))
+    drawn = _sketches_fit(counts.select("a", "b").unionByName(across).distinct(), classes)
+    more = _verified(stored(drawn, "pairs"), classes, rows)
 
     roots = components(links.unionByName(more))
-    found = classes.join(roots.withColumnRenamed("id", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    found = classes.select("class", "doc_id").join(roots.withColumnRenamed("id", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     smallest = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_class = found.join(smallest, "root").select("class", "component_id")
     out = sets.select("doc_id", "n", "class").join(by_class, "class", "left")
@@ -207,6 +270,29 @@ def _sizes_fit():
     return f"{PERCENT} * greatest(n_a, n_b) <= 100 * least(n_a, n_b)"
 
 
+def _sketches_fit(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose difference, which is at least that of their sketches, isn't too large to link."""
+    sides = [classes.select(F.col("class").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab"]
+
+    def compare(batches):
+        for batch in batches:
+            keep = []
+            for n, x, y in zip(np.asarray(batch.column("n")).tolist(), batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist()):
+                size = min(len(x), len(y))
+                away = int(np.bitwise_count((folded(x, size) ^ folded(y, size)).view(np.uint64)).sum(dtype=np.int64))
+                keep.append((100 + PERCENT) * away <= (100 - PERCENT) * n)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    return both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "sketch_a", "sketch_b").mapInArrow(compare, "a long, b long")
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch's bytes for a smaller number of bits: parities over the bits that fall together."""
+    raw = np.frombuffer(sketch, np.uint8)
+    return raw if len(raw) == size else np.bitwise_xor.reduce(raw.reshape(-1, size), axis=0)
+
+
 def _may_link():
     """The sizes fit, and enough of the first shingles are shared."""
     return f"{_sizes_fit()} and count >= least({SHARED}, ceil({PERCENT} * least(n_a, n_b) / 100))"
