@@ -33,7 +33,9 @@ WORDS, PERCENT, SHARED = 5, 80, 3
 #: Classes of a list that is still joined as a short one; classes of a block, about; the fewest bits of a sketch.
 SHORT, BLOCK, SKETCH = 24, 512, 1024
 #: Long lists set apart at most (8 bytes each are broadcast), and documents of a list of a slice that make it long.
-LONG_LISTS, LONG_HERE = 1 << 16, 4
+LONG_LISTS, LONG_HERE = 1 << 17, 4
+#: Bytes of text of such a slice.
+LONG_SLICE = 16 << 20
 SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("first", pa.binary()), ("sketch", pa.binary())])
 BLOCKS = pa.schema([("block", pa.int64()), *((n, pa.binary()) for n in ("classes", "roots", "sizes", "sketches", "owners", "tokens"))])
 POSTINGS = pa.schema([("token", pa.int64()), ("classes", pa.list_(pa.int64()))])
@@ -71,7 +73,7 @@ def _long_lists(docs: DataFrame) -> np.ndarray:
     """Shingles found in many documents of some slice, the commonest first: an order, which needn't be complete."""
 
     def work(batches):
-        for batch in slices(batches, limit=4 << 20):
+        for batch in slices(batches, limit=LONG_SLICE):
             sets = shingle_sets(batch.column("text"))
             # An order by hash takes the lowest fifth of a set; long lists above the lowest two fifths don't matter.
             low = np.concatenate([s[s < np.uint64(0x6666666666666666)] for s in sets]) if sets else np.zeros(0, np.uint64)
