@@ -5,8 +5,12 @@ chunks wherever it stands), each distinct chunk is stored once under its digest,
 digests in order. Recipes are written in ascending doc_id order. Merkle roots (of a document over its chunks,
 of a file over its documents, of the store over its files) verify what is read back.
 
+Encoded slices are stored once, in a table bucketed by slice. Only digests are shuffled: each gets one slice as
+its owner, and the owners write their chunks. Likewise a document's crc32 is put together from the crc32s of its
+chunks, each read back, verified and summed once; ``read_store`` rebuilds the ids themselves.
+
 Layout of a store's folder: ``chunks`` (digest, ids: little-endian unsigned 16- or 32-bit), ``recipes``
-(part, doc_id, start, n_tokens, digests, root; part numbers ascend with doc_id), ``manifest`` (part, first
+(part, doc_id, start, n_tokens, digests, ids behind each chunk, root; part numbers ascend with doc_id), ``manifest`` (part, first
 and last doc_id, documents, tokens, root).
 
 Defined results: null text is the empty text, which still has its end id; rows without doc_id are left out;
@@ -16,10 +20,14 @@ gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +38,10 @@ WINDOW = 8
 #: A cut where the rolling hash's low bits are zero: chunks of about 256 ids, of 32 at least and 2048 at most.
 CUT_MASK, LEAST, MOST = np.uint64(255), 32, 2048
 DIGEST_BYTES = 16
-CHUNKED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("chunks", pa.list_(pa.binary()))])
+SLICES = pa.schema([("slice", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("new", pa.list_(pa.binary())), ("ids", pa.list_(pa.binary()))])
+_SLICES_DDL = "slice long, doc_ids array<long>, counts array<int>, digests array<binary>, sizes array<int>, new array<binary>, ids array<binary>"
+CHUNKS = pa.schema([("digest", pa.binary()), ("ids", pa.binary())])
+RECIPES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("behind", pa.list_(pa.int64()))])
 REBUILT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
@@ -59,35 +70,65 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=DIGEST_BYTES).digest()
 
 
-def chunk(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
-    """doc_id, n_tokens, and digests and bytes of the chunks of every encoded text with its end id."""
+def encoded_slices(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
+    """A row for each slice of texts: its documents, their chunks' digests and sizes, and the data of each digest once."""
 
     def work(batches):
         words = vocabulary(path)
         kind = "<u2" if max(words.strings) < 1 << 16 else "<u4"
-        for batch in slices(batches):
+        part = TaskContext.get().partitionId() << 32
+        for number, batch in enumerate(slices(batches)):
             flat, counts = words.encode(batch.column("text").to_pylist())
-            rows, at = {n: [] for n in CHUNKED.names}, 0
+            row, data, at = {n: [] for n in SLICES.names[1:5]}, {}, 0
             for doc_id, n in zip(batch.column("doc_id").to_pylist(), counts.tolist()):
                 ids = np.append(flat[at : at + n], np.uint32(end_id)).astype(kind)
                 at += n
                 ends = cuts(ids).tolist()
-                parts = [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends)]
-                for name, v in zip(CHUNKED.names, (doc_id, n + 1, [digest(p) for p in parts], parts)):
+                row["doc_ids"].append(doc_id)
+                row["counts"].append(len(ends))
+                for a, b in zip([0, *ends[:-1]], ends):
+                    chunk = ids[a:b].tobytes()
+                    row["digests"].append(digest(chunk))
+                    row["sizes"].append(b - a)
+                    data.setdefault(row["digests"][-1], chunk)
+            yield to_batches({"slice": [part | number], "new": [list(data)], "ids": [list(data.values())]} | {n: [v] for n, v in row.items()}, SLICES)
+
+    return texts(docs).mapInArrow(work, _SLICES_DDL)
+
+
+def _recipes(batches):
+    for batch in batches:
+        for row in batch.to_pylist():
+            rows, at = {n: [] for n in RECIPES.names}, 0
+            for doc_id, n in zip(row["doc_ids"], row["counts"]):
+                sizes = row["sizes"][at : at + n]
+                total = sum(sizes)
+                for name, v in zip(RECIPES.names, (doc_id, total, row["digests"][at : at + n], (total - np.cumsum(sizes)).tolist())):
                     rows[name].append(v)
-            yield to_batches(rows, CHUNKED)
+                at += n
+            yield to_batches(rows, RECIPES)
+
 
-    return texts(docs).mapInArrow(work, "doc_id long, n_tokens long, digests array<binary>, chunks array<binary>")
+def _owned(batches):
+    for batch in batches:
+        for row in batch.to_pylist():
+            mine = set(row["owned"])
+            found = [(k, v) for k, v in zip(row["new"], row["ids"]) if k in mine]
+            yield to_batches({"digest": [k for k, _ in found], "ids": [v for _, v in found]}, CHUNKS)
 
 
 def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> None:
     """Encodes docs and writes the store: chunks once each, recipes in ascending doc_id order, the manifest."""
     spark = docs.sparkSession
-    chunked = stored(chunk(docs, path, end_id), "chunked")
-    pairs = chunked.select(F.explode(F.arrays_zip("digests", "chunks")).alias("x")).select(F.col("x.digests").alias("digest"), F.col("x.chunks").alias("ids"))
-    pairs.groupBy("digest").agg(F.first("ids").alias("ids")).write.parquet(f"{folder}/chunks")
-
-    recipes = chunked.select("doc_id", "n_tokens", "digests")
+    name, buckets = f"slices_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    encoded_slices(docs, path, end_id).write.option("compression", "zstd").bucketBy(buckets, "slice").saveAsTable(name)
+    cut = spark.table(name)
+    owners = cut.select("slice", F.explode("new").alias("digest")).groupBy("digest").agg(F.min("slice").alias("slice"))
+    # Dealt as the table is, so that its data needs no shuffle.
+    owned = owners.repartition(buckets, "slice").groupBy("slice").agg(F.collect_list("digest").alias("owned"))
+    cut.select("slice", "new", "ids").join(owned, "slice").mapInArrow(_owned, "digest binary, ids binary").write.option("compression", "zstd").parquet(f"{folder}/chunks")
+
+    recipes = cut.select("doc_ids", "counts", "digests", "sizes").mapInArrow(_recipes, "doc_id long, n_tokens long, digests array<binary>, behind array<long>")
     ordered = recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "digests")
     # The parts are stored before they are summed up, so that a part keeps its documents if it is made again.
     parts = stored(ordered.withColumn("part", F.spark_partition_id()), "recipes")
@@ -101,7 +142,7 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> Non
         .withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
         .withColumn("root", F.sha2(F.concat_ws(",", F.transform("digests", lambda d: F.hex(d))).cast("binary"), 256))
     )
-    placed.select("part", "doc_id", "start", "n_tokens", "digests", "root").sortWithinPartitions("part", "start").write.parquet(f"{folder}/recipes")
+    placed.select("part", "doc_id", "start", "n_tokens", "digests", "behind", "root").sortWithinPartitions("part", "start").write.parquet(f"{folder}/recipes")
     _manifest(spark.read.parquet(f"{folder}/recipes")).write.parquet(f"{folder}/manifest")
 
 
@@ -147,7 +188,63 @@ def read_store(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
     return joined.mapInArrow(rebuild, "doc_id long, start long, n_tokens long, ids binary")
 
 
+@functools.cache
+def _shifts() -> np.ndarray:
+    """For each k: what each byte of a crc32 becomes when 2**k zero bytes follow (k x 4 x 256)."""
+    tables = np.zeros((40, 4, 256), np.uint32)
+    step = np.array([zlib.crc32(bytes([0]), c ^ 0xFFFFFFFF) ^ 0xFFFFFFFF for c in (1 << b for b in range(32))], np.uint32)
+    for k in range(40):
+        for byte in range(4):
+            for value in range(256):
+                bits = [step[8 * byte + b] for b in range(8) if value >> b & 1]
+                tables[k, byte, value] = np.bitwise_xor.reduce(np.array(bits, np.uint32)) if bits else 0
+        step = _through(tables[k], step)
+    return tables
+
+
+def _through(table: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    return table[0][crc & 255] ^ table[1][crc >> 8 & 255] ^ table[2][crc >> 16 & 255] ^ table[3][crc >> 24]
+
+
+def shifted(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """A chunk's part in the crc32 of a stream in which n_bytes follow it; the stream's is the exclusive or of all parts."""
+    crc = crc.astype(np.uint32)
+    for k in range(int(n_bytes.max()).bit_length() if len(n_bytes) else 0):
+        at = np.flatnonzero(n_bytes >> k & 1)
+        crc[at] = _through(_shifts()[k], crc[at])
+    return crc
+
+
+def digests_read(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 (of little-endian unsigned 32-bit ids) of every document, from the files.
+
+    Every chunk is read back once, held against its digest and summed; documents put together their chunks' sums.
+    """
+    recipes, chunks = verified_recipes(spark, folder), spark.read.parquet(f"{folder}/chunks")
+
+    def sums(batches):
+        for batch in batches:
+            crcs, digests = [], batch.column("digest").to_pylist()
+            for wanted, data in zip(digests, batch.column("ids").to_pylist()):
+                if digest(data) != wanted:
+                    raise ValueError("a chunk does not match its digest")
+                crcs.append(zlib.crc32(np.frombuffer(data, f"<u{width}").astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(crcs, pa.int64())], ["digest", "crc"])
+
+    def part(batches):
+        for batch in batches:
+            crc = shifted(np.asarray(batch.column("crc"), np.int64), 4 * np.asarray(batch.column("behind"), np.int64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("start"), pa.array(crc)], ["start", "crc"])
+
+    summed = chunks.mapInArrow(sums, "digest binary, crc long")
+    used = recipes.select("start", F.explode(F.arrays_zip("digests", "behind")).alias("x")).select("start", F.col("x.digests").alias("digest"), F.col("x.behind").alias("behind"))
+    # A chunk that isn't found leaves a null, which fails in ``part``.
+    parts = used.join(summed, "digest", "left").select("start", "behind", "crc").mapInArrow(part, "start long, crc long")
+    found = parts.groupBy("start").agg(F.expr("bit_xor(crc)").alias("ids_crc32"))
+    return recipes.select("doc_id", "start", "n_tokens").join(found, "start").select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op6_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "store")
     write_store(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), folder)
-    return read_store(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return digests_read(spark, folder)

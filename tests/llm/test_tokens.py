@@ -125,13 +125,15 @@ def test_store(spark, sf_dir, odd):
         folder = shared_folder(spark, "store")
         content_store.write_store(docs, path, folder)
         got = {r.doc_id: r for r in content_store.read_store(spark, folder).collect()}
-        start = 0
+        start, sums = 0, []
         for r in sorted((r for r in docs.collect() if r.doc_id is not None), key=lambda r: r.doc_id):
             ids = [*library(path).encode(r.text or "", add_special_tokens=False).ids, 1]
             g = got.pop(r.doc_id)
             assert (g.start, g.n_tokens, np.frombuffer(g.ids, "<u4").tolist()) == (start, len(ids), ids)
             start += len(ids)
+            sums.append((r.doc_id, g.start, len(ids), crc(ids)))
         assert not got
+        assert sorted(map(tuple, content_store.digests_read(spark, folder).collect())) == sorted(sums)
         chunks = spark.read.parquet(f"{folder}/chunks")
         assert chunks.count() == chunks.select("digest").distinct().count()
     folder = shared_folder(spark, "store")
@@ -150,3 +152,5 @@ def test_store_detects_a_changed_chunk(spark, odd):
     chunks.write.parquet(f"{other}/chunks")
     with pytest.raises(Exception, match="do not match"):
         content_store.read_store(spark, other).collect()
+    with pytest.raises(Exception, match="does not match"):
+        content_store.digests_read(spark, other).collect()
