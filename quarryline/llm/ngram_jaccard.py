@@ -72,14 +72,22 @@ def least_overlap(n: int) -> int:
 def _long_lists(docs: DataFrame) -> np.ndarray:
     """Shingles found in many documents of some slice, the commonest first: an order, which needn't be complete."""
 
+    def often(held):
+        token, count = np.unique(np.concatenate(held), return_counts=True)
+        keep = count >= LONG_HERE
+        return pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(count[keep].astype(np.int64))], ["token", "n"])
+
     def work(batches):
-        for batch in slices(batches, limit=LONG_SLICE):
-            sets = shingle_sets(batch.column("text"))
+        held, size = [], 0
+        for batch in slices(batches):
             # An order by hash takes the lowest fifth of a set; long lists above the lowest two fifths don't matter.
-            low = np.concatenate([s[s < np.uint64(0x6666666666666666)] for s in sets]) if sets else np.zeros(0, np.uint64)
-            token, count = np.unique(low, return_counts=True)
-            often = count >= LONG_HERE
-            yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(count[often].astype(np.int64))], ["token", "n"])
+            held += [s[s < np.uint64(0x6666666666666666)] for s in shingle_sets(batch.column("text"))]
+            size += batch.column("text").nbytes
+            if size >= LONG_SLICE:
+                yield often(held)
+                held, size = [], 0
+        if held:
+            yield often(held)
 
     found = docs.mapInArrow(work, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = found.orderBy(F.desc("n"), "token").limit(LONG_LISTS).select("token").toPandas()
