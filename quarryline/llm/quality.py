@@ -5,7 +5,8 @@ Two zstandard dictionaries hold labelled good and bad text. All blocks of a text
 their sum becomes a probability by logistic calibration on labelled texts that are in neither dictionary,
 weighted to the labels' true shares.
 
-Bounds of the sample (parameters): ``per_label`` texts of each label, chosen by a hash of the text; of each,
+Bounds of the sample (parameters): ``per_label`` texts of each label, chosen by a hash of the text (1,000 or fewer are
+cut down within each task before the shuffle); of each,
 ``excerpt`` letters from its start serve to learn from. Scores always compress the whole text.
 
 Defined results: a null or empty text has the score that a difference of 0 gets; rows without doc_id are left
@@ -125,7 +126,7 @@ def with_quality(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(work, T.StructType([*docs.schema, T.StructField("_quality", T.DoubleType())]))
 
 
-def learned(docs: DataFrame, labels: DataFrame, per_label: int = 2000, excerpt: int = 2000) -> Model:
+def learned(docs: DataFrame, labels: DataFrame, per_label: int = 1000, excerpt: int = 2000) -> Model:
     sample = [(r["quality"], r["text"]) for r in learning_rows(docs, labels, per_label, excerpt).collect()]
     share = labels.where(F.col("quality").isin(0, 1) & (crc_remainder(3) != 1)).agg(F.avg("quality")).first()[0]
     return fit(sample, min(0.99, max(0.01, share)) if share is not None else 0.5)
