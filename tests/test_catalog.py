@@ -7,7 +7,7 @@ import tempfile
 import duckdb
 import pytest
 
-from quarryline.plans import catalog
+from quarryline.plans import catalog, further  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
