@@ -26,10 +26,25 @@ ANY_TOKEN = r"<<REDACTED_[A-Z0-9_]+>>"
 EMPTY = "cast(map() as map<string,string>)"
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """All matches; none of a null text. Texts without a character that the pattern needs aren't searched."""
+    needs = {EMAIL: "@", MAC: ":-", IPV6: ":", IPV4: ".", DOMAIN: "."}.get(pattern, "")
+    found, may = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), text.isNotNull()
+    if needs:
+        may = F.translate(text, needs, "") != text
+        may = F.contains(text, F.lit(needs)) if len(needs) == 1 else may
+    return F.when(may, found).otherwise(F.array().cast("array<string>"))
+
+
+def joined(text: Column, pattern: str, marks: Column) -> Column:
+    """The text with its matches replaced by the marks, in order; a text without matches is not split."""
+    parts = F.zip_with(F.split(text, pattern, -1), F.concat(marks, F.array(F.lit(""))), lambda part, mark: F.concat(part, mark))
+    return F.when(F.size(marks) > 0, F.array_join(parts, "")).otherwise(text)
+
+
 def replaced(text: Column, pattern: str, by: Callable[[Column], Column]) -> Column:
     """The text with each match m replaced by by(m)."""
-    marks = F.concat(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), by), F.array(F.lit("")))
-    return F.array_join(F.zip_with(F.split(text, pattern, -1), marks, lambda part, mark: F.concat(part, mark)), "")
+    return joined(text, pattern, F.transform(matches(text, pattern), by))
 
 
 def _number(n: Column) -> Column:
@@ -62,14 +77,15 @@ def redact(rows: DataFrame, text: str = "text", known: str = "known", ranges: Se
     """Rows with ``text`` redacted and ``known`` (value to token) extended; a value met again keeps its token, counters go on."""
     for kind, pattern, counts in sensitive(ranges, domains):
         prefix = f"<<REDACTED_{kind}_"
-        values = F.filter(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))), counts)
-        fresh = F.coalesce(F.array_except(values, F.map_keys(known)), F.array().cast("array<string>"))
+        rows = rows.withColumn("_found", matches(F.col(text), pattern))
+        fresh = F.array_except(F.filter(F.array_distinct("_found"), counts), F.map_keys(known))
         offset = F.size(F.filter(F.map_values(known), lambda t: t.startswith(prefix)))  # noqa: B023
         rows = rows.withColumns({"_fresh": fresh, "_offset": offset})
         token = F.transform("_fresh", lambda v, i: F.concat(F.lit(prefix), _number(F.col("_offset") + i + 1), F.lit(">>")))  # noqa: B023
         rows = rows.withColumn(known, F.map_concat(known, F.map_from_arrays("_fresh", token)))
-        rows = rows.withColumn(text, replaced(F.col(text), pattern, lambda m: F.when(counts(m), F.try_element_at(F.col(known), m)).otherwise(m)))  # noqa: B023
-    return rows.drop("_fresh", "_offset")
+        rows = rows.withColumn("_found", F.transform("_found", lambda m: F.when(counts(m), F.try_element_at(F.col(known), m)).otherwise(m)))  # noqa: B023
+        rows = rows.withColumn(text, joined(F.col(text), pattern, F.col("_found")))
+    return rows.drop("_fresh", "_offset", "_found")
 
 
 def restore(text: Column, known: Column) -> Column:
@@ -83,19 +99,19 @@ def verify_answer(rows: DataFrame, text: str = "text", known: str = "known", ran
     total, met = F.lit(0), {}
     for kind, pattern, counts in sensitive(ranges, domains):
         unknown = lambda m: counts(m) & F.try_element_at(F.col(known), m).isNull()  # noqa: E731, B023
-        found = F.coalesce(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
+        rows = rows.withColumn("_found", matches(F.col(text), pattern))
+        found = F.col("_found")
         before = met.get(kind, F.lit(0))
         rows = rows.withColumn("_n", before + F.size(F.filter(found, unknown)))
         marks = F.transform(found, lambda m, i: F.when(unknown(m), F.concat(F.lit(f"<<UNVERIFIED_{kind}_"), _number(before + F.size(F.filter(F.slice(found, F.lit(1), i + 1), unknown))), F.lit(">>")))  # noqa: B023
                             .when(counts(m), F.try_element_at(F.col(known), m)).otherwise(m))  # noqa: B023
-        parts = F.split(F.col(text), pattern, -1)
         name = f"_n_{len(met)}_{kind}"
-        rows = rows.withColumn(text, F.array_join(F.zip_with(parts, F.concat(marks, F.array(F.lit(""))), lambda p, m: F.concat(p, m)), "")).withColumnRenamed("_n", name)
+        rows = rows.withColumn("_found", marks).withColumn(text, joined(F.col(text), pattern, F.col("_found"))).withColumnRenamed("_n", name)
         met[kind] = F.col(name)
     for n in met.values():
         total = total + n
     rows = rows.withColumn("unverified", total)
-    return rows.drop(*(c for c in rows.columns if c.startswith("_n_")))
+    return rows.drop("_found", *(c for c in rows.columns if c.startswith("_n_")))
 
 
 def to_scope(text: Column, scope: str, index: Column) -> Column:
