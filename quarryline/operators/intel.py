@@ -92,3 +92,10 @@ def cve_validate(refs: DataFrame, pivoted: DataFrame) -> DataFrame:
     known = pivoted.select("cve", F.lit(True).alias("known"))
     reason = F.when(F.col("cve").isNull(), "invalid_format").when(F.col("known").isNull(), "not_in_catalog").otherwise("kept")
     return rows.join(known, "cve", "left").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+def exploited_only(pivoted: DataFrame, enabled: list[str], cap: int) -> DataFrame:
+    """What an event's landscape shows of the enabled sources: known exploited ones, by score, recency and id."""
+    score = F.when(F.lit("epss" in enabled), F.col("epss"))
+    rows = pivoted.where(F.col("kev") & F.lit("kev" in enabled)).withColumn("epss", score)
+    return rows.orderBy(F.desc_nulls_last("epss"), F.desc_nulls_last("published"), "cve").limit(cap).select("cve", "epss", "published")

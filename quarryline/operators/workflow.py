@@ -156,3 +156,31 @@ def contains_ref(refs: Column, **parts: object) -> Column:
         return out
 
     return F.exists(refs, same)
+
+
+def refresh_plan(variants: DataFrame, cap: int, most: int = 50) -> DataFrame:
+    """Each report variant's outcome; only refreshable ones, freshest first in each subject, count against the cap.
+
+    Archived states come before queued jobs, those before the last generation, that before undrained sources.
+    """
+    queued = F.coalesce(F.col("job_status").isin("queued", "processing"), F.lit(False))
+    done = F.coalesce(F.col("generation") >= most, F.lit(False))
+    before = F.when(F.col("archived"), "source_unavailable").when(queued, "already_queued").when(done, "capped").when(~F.col("drained"), "gated").otherwise("refreshable")
+    rows = variants.withColumn("outcome", before)
+    nth = F.row_number().over(Window.partitionBy("subject", "outcome").orderBy(F.desc("bucket"), "variant"))
+    final = F.when(F.col("outcome") != "refreshable", F.col("outcome")).when(nth <= cap, "refreshed").otherwise("limited")
+    return rows.withColumn("outcome", final)
+
+
+def unreferenced(maps: DataFrame, referents: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Maps that none of the referent tables holds: their keys are united first, so that the maps are shuffled once."""
+    held = referents[0].select(*keys)
+    for r in referents[1:]:
+        held = held.unionByName(r.select(*keys))
+    return maps.join(held, list(keys), "left_anti")
+
+
+def reap_reports(reports: DataFrame, bounds: DataFrame, today: str) -> DataFrame:
+    """Reports beyond their group's bound in days; live ones and groups without a bound are exempt."""
+    old = F.col("bucket") < F.date_sub(F.lit(today).cast("date"), F.col("bound_days").cast("int"))
+    return reports.where("period <> 'LIVE'").join(bounds.where("bound_days is not null"), "group_id").where(old).drop("bound_days")

@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import semantics as s
+from quarryline.operators import intel as i
 from quarryline.operators import lineage as g
 from quarryline.operators import redaction as x
 from quarryline.operators import workflow as w
 from quarryline.operators.intel import EMAIL, IPV4
-from quarryline.plans.catalog import DAY, NOW, query, with_live
+from quarryline.plans.catalog import DAY, NOW, PIVOT, query, with_live
 from quarryline.sources import feeds as f
 from quarryline.sources import views as v
 
@@ -343,3 +344,44 @@ def _(spark, d):
     # One array a report, of at most its own citations: a report's size is bounded, as line numbers are.
     refs = v.member(spark, d).groupBy("story_id").agg(F.collect_list(F.struct((F.col("member_key") % 10).alias("source"), (F.col("member_no") % 2).alias("kind"))).alias("refs"))
     return refs.where(w.contains_ref(F.col("refs"), source=3, kind=1)).select(F.col("story_id").alias("report"))
+
+
+PAGES = """concat('{"vulnerabilities":[{"cve":{"id":"', CASE WHEN p_partkey % 9 = 0 THEN 'bad' ELSE 'CVE-2020-' END, 10000 + p_partkey, '","published":"2020-01-01T00:00:00.000","descriptions":[{"lang":"es","value":"x"},{"lang":"en","value":"y"}],"metrics":{"',
+    CASE WHEN p_partkey % 2 = 0 THEN 'cvssMetricV31' ELSE 'other' END, '":[{"type":"Secondary","cvssData":{"baseScore":1.5,"vectorString":"a"}},{"type":"Primary","cvssData":{"baseScore":', p_partkey % 10, '.5,"vectorString":"b"}}],"cvssMetricV2":[{"cvssData":{"baseScore":3.5}}]},',
+    '"weaknesses":[{"description":[{"value":"CWE-79"},{"value":"NVD-CWE-Other"},{"value":"CWE-79"}]}]}}]}')"""
+
+
+@query("vulnerability_pages", """SELECT 'CVE-2020-' || (10000 + p_partkey) AS cve, '2020-01-01T00:00:00.000Z' AS published, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 10 + 0.5::DOUBLE ELSE 3.5::DOUBLE END AS score,
+    CASE WHEN p_partkey % 2 = 0 THEN 'b' END AS vector, 'y' AS description, 'CWE-79' AS weaknesses FROM part WHERE p_partkey % 9 <> 0""")
+def _(spark, d):
+    return f.vulnerability_pages(_lines(spark, d, PAGES)).withColumn("weaknesses", F.array_join("weaknesses", ","))
+
+
+@query("refresh_plan", """SELECT subject, outcome, count(*) AS n FROM (SELECT subject, CASE WHEN o <> 'refreshable' THEN o WHEN row_number() OVER (PARTITION BY subject, o ORDER BY o_orderdate DESC, o_orderkey) <= 20 THEN 'refreshed' ELSE 'limited' END AS outcome FROM
+    (SELECT o_orderkey, o_orderdate, o_custkey % 5 AS subject, CASE WHEN o_orderkey % 7 = 0 THEN 'source_unavailable' WHEN o_orderkey % 5 = 0 THEN 'already_queued' WHEN o_orderkey % 55 > 49 THEN 'capped' WHEN o_orderkey % 3 = 0 THEN 'gated' ELSE 'refreshable' END AS o FROM orders))
+    GROUP BY subject, outcome""")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    rows = v.table(spark, d, "orders").select((F.col("o_custkey") % 5).alias("subject"), k.alias("variant"), F.col("o_orderdate").alias("bucket"), (k % 7 == 0).alias("archived"),
+                                              F.when(k % 5 == 0, "queued").alias("job_status"), (k % 55).alias("generation"), (k % 3 != 0).alias("drained"))
+    return w.refresh_plan(rows, 20).groupBy("subject", "outcome").agg(F.count("*").alias("n"))
+
+
+@query("unreferenced_maps", """SELECT p_partkey AS event_key FROM part WHERE p_partkey NOT IN (SELECT event_key FROM baseline WHERE event_key % 2 = 0) AND p_partkey NOT IN (SELECT member_key FROM member WHERE member_key % 3 = 0)
+    AND p_partkey NOT IN (SELECT event_key FROM result WHERE event_key % 5 = 0)""", "baseline", "result", "member")
+def _(spark, d):
+    members = v.member(spark, d).where("member_key % 3 = 0").select(F.col("member_key").alias("event_key"))
+    held = [v.baseline(spark, d).where("event_key % 2 = 0"), members, v.result(spark, d).where("event_key % 5 = 0")]
+    return w.unreferenced(v.table(spark, d, "part").select(F.col(K).alias("event_key")), held, ["event_key"])
+
+
+@query("group_reap", f"""SELECT o_orderkey AS report FROM orders WHERE o_orderkey % 4 <> 0 AND o_custkey % 2 = 0 AND CAST(o_orderdate AS DATE) < DATE '1998-01-01' - 365""")
+def _(spark, d):
+    period = F.when(F.col("o_orderkey") % 4 == 0, "LIVE").otherwise("DAILY")
+    reports = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("report"), (F.col("o_custkey") % 2).alias("group_id"), F.col("o_orderdate").cast("date").alias("bucket"), period.alias("period"))
+    return w.reap_reports(reports, spark.range(2).selectExpr("id AS group_id", "CASE id WHEN 0 THEN 365L END AS bound_days"), "1998-01-01").select("report")
+
+
+@query("cve_event_selection", f"SELECT cve, CAST(NULL AS BIGINT) AS epss, published FROM {PIVOT} WHERE kev ORDER BY published DESC NULLS LAST, cve LIMIT 18", "cve")
+def _(spark, d):
+    return i.exploited_only(i.cve_pivot(v.cve(spark, d)), ["nvd", "kev"], 18)

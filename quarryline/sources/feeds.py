@@ -128,3 +128,35 @@ def fingerprint(rows: DataFrame, keys: Sequence[str], row: Column) -> DataFrame:
     digest = F.conv(F.substring(F.sha2(row, 256), 1, 12), 16, 10).cast("decimal(38,0)")
     found = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(digest).alias("total"))
     return found.select(*keys, "n", F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("total").cast("string")), 256).alias("digest"))
+
+
+#: The parts that are read of a page of the vulnerability database.
+METRICS = ("cvssMetricV40", "cvssMetricV31", "cvssMetricV30", "cvssMetricV2")
+_METRIC = "array<struct<type: string, cvssData: struct<baseScore: double, vectorString: string>>>"
+PAGE = f"""vulnerabilities array<struct<cve: struct<id: string, published: string, descriptions: array<struct<lang: string, value: string>>,
+    metrics: struct<{", ".join(f"{m}: {_METRIC}" for m in METRICS)}>, weaknesses: array<struct<description: array<struct<value: string>>>>>>>"""
+
+
+def vulnerability_pages(pages: DataFrame) -> DataFrame:
+    """cve, published (UTC text), score, vector, description and weaknesses of JSON pages (column ``value``).
+
+    The newest version's score counts, a primary one first; the first English description, else the first; weaknesses in
+    their order, each once. Records without a valid id give no rows, those without scores a row without a score.
+    """
+    cve = pages.select(F.explode(F.from_json("value", PAGE)["vulnerabilities"]).alias("v")).select("v.cve.*")
+    usable = lambda m: m["cvssData"]["baseScore"].isNotNull()
+    none = F.array().cast(_METRIC)
+    ordered = []
+    for version in METRICS:
+        held = F.filter(F.coalesce(F.col(f"metrics.{version}"), none), usable)
+        ordered += [F.filter(held, lambda m: m["type"].eqNullSafe("Primary")), held]
+    best = F.get(F.concat(*ordered), F.lit(0))["cvssData"]
+    texts = F.filter("descriptions", lambda t: t["value"].isNotNull())
+    english = F.get(F.filter(texts, lambda t: t["lang"] == "en"), F.lit(0))["value"]
+    flat = F.flatten(F.filter(F.transform("weaknesses", lambda w: w["description"]["value"]), lambda a: a.isNotNull()))
+    published = F.when(F.col("published").rlike(r"([zZ]|[+-]\d{2}:?\d{2})$") | (F.col("published") == ""), F.nullif("published", F.lit(""))).otherwise(F.concat("published", F.lit("Z")))
+    name = F.upper(F.trim("id"))
+    return cve.where(name.rlike(CVE)).select(
+        name.alias("cve"), published.alias("published"), best["baseScore"].alias("score"), best["vectorString"].alias("vector"),
+        F.coalesce(english, F.get(texts, F.lit(0))["value"]).alias("description"), F.array_distinct(F.filter(flat, lambda x: x.rlike(r"^CWE-\d+$"))).alias("weaknesses"),
+    )
