@@ -28,3 +28,14 @@ def merged(state: DataFrame, delta: DataFrame, processed: DataFrame) -> DataFram
     total = every.groupBy(*keys).agg(F.max("last_event").alias("last_event"), F.max("last_received").alias("last_received"), F.sum("n").alias("n"), F.bool_or("new").alias("touched"))
     done = processed.select(*keys, F.lit(True).alias("done"))
     return total.join(done, keys, "left").select(*keys, "last_event", "last_received", "n", (F.col("touched") & F.coalesce("done", F.lit(False))).alias("dirty"))
+
+
+def story_spans(members: DataFrame) -> DataFrame:
+    """Each story's first and last arrival and its members from a stream of them (update or complete mode): what readiness by idle gap or longest wait is told from."""
+    return members.groupBy("story_id").agg(F.min("member_time").alias("first"), F.max("member_time").alias("last"), F.count("*").alias("n"))
+
+
+def cursor_watermarks(marks: DataFrame) -> DataFrame:
+    """Each subject's latest cursor from a stream (subject, at, quality); of equal times a strict one wins, so it never falls back."""
+    top = F.max(F.struct("at", (F.col("quality") == "strict").alias("strict")))
+    return marks.where("at is not null").groupBy("subject").agg(top.alias("m")).select("subject", "m.at", F.when(F.col("m.strict"), "strict").otherwise("soft").alias("quality"))

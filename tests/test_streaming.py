@@ -28,3 +28,19 @@ def test_late_batch_is_dirty(spark):  # noqa: F811
     assert out.where("dirty").select("customer_id").distinct().collect()[0][0] == 2
     assert out.where("dirty").count() == processed.where("customer_id = 2").count()
     assert out.agg(F.sum("n")).first()[0] == state.agg(F.sum("n")).first()[0] + delta.agg(F.sum("n")).first()[0]
+
+
+def _streamed(spark, batch, work, name):  # noqa: F811
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    batch.repartition(3).write.mode("overwrite").parquet(folder)
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    work(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination(120)
+    return sorted(map(tuple, spark.table(name).collect()), key=str)
+
+
+def test_spans_and_cursors_in_any_order_of_batches(spark):  # noqa: F811
+    members = views.member(spark, SF).where("story_id < 2000")
+    assert _streamed(spark, members, activity.story_spans, "spans") == sorted(map(tuple, activity.story_spans(members).collect()), key=str)
+    rows = [("a", 5, "soft"), ("a", 5, "strict"), ("a", 4, "soft"), ("b", 1, "soft"), ("b", None, "strict")]
+    marks = spark.createDataFrame(rows, "subject string, at int, quality string")
+    assert _streamed(spark, marks, activity.cursor_watermarks, "cursors") == [("a", 5, "strict"), ("b", 1, "soft")]
