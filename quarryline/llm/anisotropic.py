@@ -4,9 +4,12 @@ A vector is a code of four bits for each pair of components. Codebooks and codes
 weighs the residual along the vector (which moves high inner products) more than the residual across it. A
 query makes one table of 16 values for each code place; tables of two places are joined, so a byte of
 code is one look-up. The best ``keep`` of each group of codes are scored exactly on the original vectors, in
-double precision, in the same task.
+double precision, in the same task; the k-th of these scores is a floor. Then every further vector whose residual
+lets it reach the floor is scored exactly too, so no vector of the k best is missed, however many share a code
+or lie close together; ``keep`` sets only how tight the floor is.
 
-The codebooks are fitted on a bounded sample (``SAMPLE`` rows by hash); every row is indexed. Every group of
+Equal vectors are indexed once, with their vec_ids; of these the ``k + 1`` smallest can be in an answer.
+The codebooks are fitted on a bounded sample (``SAMPLE`` vectors by hash); every vector is indexed. Every group of
 codes is scanned for every block of queries; both are rows, joined on the group's number.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and vectors of another
@@ -18,7 +21,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import stored, to_batches
@@ -26,7 +30,7 @@ from quarryline.llm.vectors import best_of, matrix, top_rows, valid_vectors
 
 #: Bounds: rows to fit on, queries of a block, vectors of a group (about).
 SAMPLE, QUERIES, GROUP = 4096, 512, 16384
-GROUPS = pa.schema([("group", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("codes", pa.binary())])
+GROUPS = pa.schema([("group", pa.int32()), ("ids", pa.binary()), ("owners", pa.binary()), ("vectors", pa.binary()), ("codes", pa.binary()), ("residuals", pa.binary())])
 BLOCKS = pa.schema([("query_ids", pa.binary()), ("queries", pa.binary())])
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -64,6 +68,14 @@ class Quantiser:
                 total = rest + along[:, m]
         return codes
 
+    def residuals(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Of each vector x its length, the share of x in what its code stands for, and the length of the part across x."""
+        x = self.pad(x)
+        meant = self.books[np.arange(self.places), codes].reshape(len(x), -1)
+        square = (x**2).sum(axis=1)
+        along = (meant * x).sum(axis=1) / square
+        return np.stack([np.sqrt(square), along, np.sqrt(((meant - along[:, None] * x) ** 2).sum(axis=1))])
+
 
 def fit(x: np.ndarray, width: int = 2, eta: float = 4.0, rounds: int = 12) -> Quantiser:
     """Codebooks by alternation: codes under the anisotropic loss, then each book by weighted least squares."""
@@ -96,8 +108,8 @@ def packed(codes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray((codes[:, 0::2] | (codes[:, 1::2] << 4)).T)
 
 
-def tables(query: np.ndarray, q: Quantiser) -> np.ndarray:
-    """A query's values for each byte of code, as whole numbers of 0 to 255 on one scale."""
+def tables(query: np.ndarray, q: Quantiser) -> tuple[np.ndarray, float, float]:
+    """A query's values for each byte of code, as whole numbers of 0 to 255 on one scale; what one and none of them stand for."""
     padded = np.pad(query, (0, q.places * q.width - len(query))).reshape(q.places, 1, q.width)
     table = (q.books * padded).sum(axis=2)
     if q.places % 2:
@@ -105,35 +117,73 @@ def tables(query: np.ndarray, q: Quantiser) -> np.ndarray:
     pairs = (table[0::2][:, None, :] + table[1::2][:, :, None]).reshape(-1, 256)
     low = pairs.min(axis=1, keepdims=True)
     scale = max(1e-30, float((pairs - low).max()))
-    return ((pairs - low) * (255 / scale)).round().astype(np.uint16)
+    whole = ((pairs - low) * (255 / scale)).round().astype(np.uint16 if len(pairs) <= 257 else np.uint32)
+    return whole, scale / 255, float(low.sum())
+
 
+def scan(query_ids, queries, ids, owners, x, codes, residuals, q: Quantiser, k: int, keep: int):
+    """The k best rows of a group for each query: four-bit scan, a floor from the best ``keep``, exact scores of all that can reach it.
 
-def scan(query_ids, queries, ids, x, codes, q: Quantiser, k: int, keep: int):
-    """The k best of a group for each query: four-bit scan, then exact scores of the best ``keep``."""
+    ``ids`` are the rows' vec_ids by vector, ascending; ``owners`` the vectors' positions in them (one more than vectors).
+    """
     out_ids, out_scores = [], []
-    places = range(len(codes))
+    length, along, across = residuals
+    largest = float(length.max())
+    first, last = ids[owners[:-1]], ids[owners[1:] - 1]
+    lone = first == last
     for query_id, query in zip(query_ids.tolist(), queries):
-        table = tables(query, q)
+        table, step, base = tables(query, q)
         about = table[0].take(codes[0])
-        for m in places[1:]:
+        for m in range(1, len(codes)):
             about += table[m].take(codes[m])
-        if len(about) > keep:
-            at = np.argpartition(about, len(about) - keep)[len(about) - keep :]
+        # Vectors that only the query's own rows hold take no part.
+        own = np.flatnonzero(lone & (first == query_id))
+        if len(about) > keep + len(own):
+            rated = about.astype(np.float64)
+            rated[own] = -np.inf
+            at = np.argpartition(rated, len(rated) - keep)[len(rated) - keep :]
+            sure = (x[at] * query).sum(axis=1)
+            floor = float(np.partition(sure, keep - k)[keep - k])
+            # What a code stands for is along * x and a part across x, so its product is along * score, give or take
+            # across * (the query's length across x); tables round by half a step a place, sums by far less than 1e-9.
+            size = float((query**2).sum())
+            wide = np.sqrt(np.maximum(0, size - (max(0.0, floor) / length) ** 2))
+            slack = base + 0.5 * step * len(table) + 1e-9 * size**0.5 * largest
+            at = np.flatnonzero(~(rated * step + slack < along * floor - across * wide) | (along <= 0))
+            at = at[~np.isin(at, own)] if len(own) else at
         else:
-            at = np.arange(len(about))
-        at = at[ids[at] != query_id]
+            at = np.setdiff1d(np.arange(len(about)), own)
         exact = (x[at] * query).sum(axis=1)
-        best = top_rows(exact, ids[at], k)
-        out_ids.append(ids[at][best])
-        out_scores.append(exact[best])
+        if len(exact) > k:
+            held = np.flatnonzero(exact >= np.partition(exact, len(exact) - k)[len(exact) - k])
+            at, exact = at[held], exact[held]
+        count = owners[at + 1] - owners[at]
+        rows = np.repeat(owners[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        found, scores = ids[rows], np.repeat(exact, count)
+        other = found != query_id
+        found, scores = found[other], scores[other]
+        best = top_rows(scores, found, k)
+        out_ids.append(found[best])
+        out_scores.append(scores[best])
     return out_ids, out_scores
 
 
+def collapsed(rows: DataFrame, k: int) -> DataFrame:
+    """Each different vector once, with the rows' vec_ids, ascending: its k + 1 smallest ones, each at most k times."""
+    once = rows.groupBy("vector", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
+    order = Window.partitionBy("vector").orderBy("vec_id")
+    # rank <= k + 1 is cut down within each task before the shuffle, so a vector with very many copies is no hot group.
+    first = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1)
+    ids = F.sort_array(F.flatten(F.collect_list(F.array_repeat("vec_id", F.col("times")))))
+    return first.groupBy("vector").agg(ids.alias("ids"))
+
+
 def nearest(table: DataFrame, is_query, k: int, keep: int = 96) -> DataFrame:
-    """query_id, rank, vec_id and score (inner product in double precision) of each query's k nearest found."""
-    spark = table.sparkSession
-    rows = stored(valid_vectors(table, zero=False), "vectors")
-    sample = np.array([r["vector"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()], np.float64)
+    """query_id, rank, vec_id and score (inner product in double precision) of each query's k nearest."""
+    spark, keep = table.sparkSession, max(k, keep)
+    valid = stored(valid_vectors(table, zero=False), "vectors")
+    rows = stored(collapsed(valid, k), "vectors")
+    sample = np.array([r["vector"] for r in rows.orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).select("vector").collect()], np.float64)
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     quantiser = fit(sample)
@@ -145,18 +195,23 @@ def nearest(table: DataFrame, is_query, k: int, keep: int = 96) -> DataFrame:
         held: dict[int, list] = {}
 
         def made(g):
-            ids, x = (np.concatenate(p) for p in zip(*held.pop(g)))
-            for a in range(0, len(ids), GROUP):
-                part = slice(a, a + GROUP)
-                codes = packed(np.concatenate([quantiser.encode(x[part][b : b + 1024]) for b in range(0, len(ids[part]), 1024)]))
-                yield to_batches({"group": [g], "ids": [ids[part].tobytes()], "vectors": [x[part].tobytes()], "codes": [codes.tobytes()]}, GROUPS)
+            ids, count, x = (np.concatenate(p) for p in zip(*held.pop(g)))
+            ends = np.append(0, np.cumsum(count))
+            for a in range(0, len(x), GROUP):
+                part = x[a : a + GROUP]
+                owners = ends[a : a + len(part) + 1]
+                codes = np.concatenate([quantiser.encode(part[b : b + 1024]) for b in range(0, len(part), 1024)])
+                residuals = np.concatenate([quantiser.residuals(part[b : b + 1024], codes[b : b + 1024]) for b in range(0, len(part), 1024)], axis=1)
+                row = (ids[owners[0] : owners[-1]], owners - owners[0], part, packed(codes), residuals)
+                yield to_batches({"group": [g], **{n: [r.tobytes()] for n, r in zip(GROUPS.names[1:], row)}}, GROUPS)
 
         for batch in batches:
             if batch.num_rows:
-                ids, x, group = np.asarray(batch.column("vec_id"), "<i8"), matrix(batch.column("vector")), np.asarray(batch.column("group"))
+                lists, x, group = batch.column("ids"), matrix(batch.column("vector")), np.asarray(batch.column("group"))
+                ids, count = np.asarray(lists.flatten(), "<i8"), np.asarray(pa.compute.list_value_length(lists), "<i8")
                 for g in np.unique(group).tolist():
-                    held.setdefault(g, []).append((ids[group == g], x[group == g]))
-                    if sum(len(i) for i, _ in held[g]) >= GROUP:
+                    held.setdefault(g, []).append((ids[np.repeat(group == g, count)], count[group == g], x[group == g]))
+                    if sum(len(c) for _, c, _ in held[g]) >= GROUP:
                         yield from made(g)
         for g in list(held):
             yield from made(g)
@@ -171,14 +226,14 @@ def nearest(table: DataFrame, is_query, k: int, keep: int = 96) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 query_ids, queries = np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["queries"]).reshape(-1, dims)
-                ids, x = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"]).reshape(-1, dims)
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, len(ids))
-                found, scores = scan(query_ids, queries, ids, x, codes, quantiser, k, keep)
+                ids, owners, x = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["owners"], "<i8"), np.frombuffer(row["vectors"]).reshape(-1, dims)
+                codes, residuals = np.frombuffer(row["codes"], np.uint8).reshape(-1, len(x)), np.frombuffer(row["residuals"]).reshape(3, -1)
+                found, scores = scan(query_ids, queries, ids, owners, x, codes, residuals, quantiser, k, keep)
                 yield to_batches({"query_id": np.repeat(query_ids, [len(f) for f in found]), "vec_id": np.concatenate(found), "score": np.concatenate(scores)}, FOUND)
 
-    dealt = rows.withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")).repartition(groups, "group")
-    indexed = dealt.mapInArrow(index, "group int, ids binary, vectors binary, codes binary")
-    asked = rows.where(is_query).mapInArrow(blocks, "query_ids binary, queries binary")
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64("vector"), F.lit(groups)).cast("int")).repartition(groups, "group")
+    indexed = dealt.mapInArrow(index, "group int, ids binary, owners binary, vectors binary, codes binary, residuals binary")
+    asked = valid.where(is_query).mapInArrow(blocks, "query_ids binary, queries binary")
     for_all = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     found = indexed.join(for_all, "group").mapInArrow(answers, "query_id long, vec_id long, score double")
     return best_of(found, k, "double")
