@@ -6,8 +6,11 @@ learned from; some of them are Nyström landmarks, and one-versus-rest kernel ri
 landmarks' space. A text's scores are linear in its presence vector over the landmarks' n-grams, so a batch is
 scored by one product of its presence matrix with the n-grams' weights.
 
-Bounds of the sample (parameters): ``per_language`` texts of each of the ``languages`` commonest labels,
-chosen by a hash of the text, never by id; the kernel sees each whole text that it scores.
+Every label is learned. Bounds of the sample (parameters): ``per_language`` texts of each label, fewer with more than 64 labels
+(``in_all`` texts, but ``least`` of each label), chosen by a hash of the text, never by id; the kernel sees each whole text
+that it scores. Landmarks are dealt to the labels in turn, each label has the same weight in the regression, and the
+softmax is sharpened until the mean score reaches nine tenths of the share of right answers, so that a score means the same with any
+number of labels. The weights (n-gram slots x labels) are held by each task.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0; rows without doc_id are left
 out; repeated rows are scored each; rows with a null lang are scored, not learned from; extra columns are
@@ -49,14 +52,15 @@ _FOLD[65:91] = np.arange(97, 123)
 _FOLD[48:58] = 48
 
 
-def learning_rows(docs: DataFrame, per_language: int, languages: int) -> DataFrame:
-    """At most ``per_language`` texts of each of at most ``languages`` languages, from rows that are not held out."""
+def learning_rows(docs: DataFrame, per_language: int, in_all: int = 19200, least: int = 16) -> DataFrame:
+    """At most ``per_language`` texts of each language, from rows that are not held out; about ``in_all`` texts, but ``least`` of each."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (crc_remainder(3) != 1))
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    labels = rows.select("lang").distinct().count()
+    each = min(per_language, max(least, in_all // max(1, labels)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), F.col("text"))
     # rank <= k is cut down within each task before the shuffle, so a common language is no hot group.
-    ranked = rows.join(F.broadcast(common), "lang").select("lang", "text").withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= per_language).select("lang", F.substring("text", 1, 20000).alias("text"))
+    ranked = rows.select("lang", "text").withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= each).select("lang", F.substring("text", 1, 20000).alias("text"))
 
 
 class Model:
@@ -85,40 +89,69 @@ class Model:
         return best, out[np.arange(len(raws)), best].astype(np.float64)
 
 
-def fit(labelled: list[tuple[str, str]], landmarks: int = 256, ridge: float = 1e-2, sharpness: float = 6.0) -> Model | None:
-    """Nyström landmarks and one-versus-rest kernel ridge regression on the labelled (lang, text) sample."""
+def fit(labelled: list[tuple[str, str]], landmarks: int = 256, ridge: float = 1e-2, sharpness: float = 6.0, each: int = 4) -> Model | None:
+    """Nyström landmarks (``each`` of a label at least) and one-versus-rest kernel ridge regression on the labelled (lang, text) sample."""
     if not labelled:
         return None
     labelled = sorted(labelled)
     langs = sorted({a for a, _ in labelled})
-    y = np.array([[1.0 if a == lang else -1.0 for lang in langs] for a, _ in labelled])
+    label = np.searchsorted(np.array(langs, object), np.array([a for a, _ in labelled], object))
     grams = [gram_slots(np.frombuffer(t.encode(), np.uint8)) for _, t in labelled]
-    chosen = np.random.default_rng(5).permutation(len(grams))[:landmarks]
+    shuffled = np.random.default_rng(5).permutation(len(grams))
+    turn = np.zeros(len(grams), np.int64)  # a text's place among its label's shuffled ones
+    by_label = shuffled[np.argsort(label[shuffled], kind="stable")]
+    turn[by_label] = np.arange(len(grams)) - np.searchsorted(label[by_label], label[by_label])
+    chosen = shuffled[np.argsort(turn[shuffled], kind="stable")][: max(landmarks, each * len(langs))]
     used = np.unique(np.concatenate([grams[i] for i in chosen]))
 
-    def presence(rows) -> np.ndarray:
-        out = np.zeros((len(rows), len(used)), np.float32)
+    def presence(rows, slots) -> np.ndarray:
+        out = np.zeros((len(rows), len(slots)), np.float32)
         for i, g in enumerate(rows):
-            at = np.searchsorted(used, g)
-            at = at[(at < len(used)) & (used[np.minimum(at, len(used) - 1)] == g)]
-            out[i, at] = 1 / max(1, len(g)) ** 0.5
+            part = g[np.searchsorted(g, slots[0]) : np.searchsorted(g, slots[-1], "right")]
+            at = np.searchsorted(slots, part)
+            out[i, at[slots[at] == part]] = 1 / max(1, len(g)) ** 0.5
         return out
 
-    marks = presence([grams[i] for i in chosen])
-    to_marks = np.vstack([presence(grams[a : a + 256]) @ marks.T for a in range(0, len(grams), 256)]).astype(np.float64)
-    among = (marks @ marks.T).astype(np.float64)
-    values, vectors = np.linalg.eigh(among)
+    # Slots are worked through in parts, so that many landmarks need little memory.
+    parts = [used[a : a + 8192] for a in range(0, len(used), 8192)]
+    to_marks = np.zeros((len(grams), len(chosen)))
+    for slots in parts:
+        marks = presence([grams[i] for i in chosen], slots)
+        for a in range(0, len(grams), 256):
+            to_marks[a : a + 256] += presence(grams[a : a + 256], slots) @ marks.T
+    values, vectors = np.linalg.eigh(to_marks[chosen])
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / values[keep] ** 0.5  # the landmarks' space
     x = to_marks @ root
-    bias = y.mean(axis=0)
-    w = np.linalg.solve(x.T @ x + ridge * len(x) * np.eye(x.shape[1]), x.T @ (y - bias))
-    return Model(langs, used, (marks.T.astype(np.float64) @ (root @ w)).astype(np.float32), bias.astype(np.float32), sharpness)
+    bias = np.full(len(langs), 2 / len(langs) - 1)
+    ridge *= min(1, 4 / len(langs))  # what tells a label from the rest is a share of the whole
+
+    def solve(at: np.ndarray) -> np.ndarray:
+        count = np.bincount(label[at], minlength=len(langs))
+        weight = len(at) / max(1, (count > 0).sum()) / count[label[at]]
+        y = np.where(label[at, None] == np.arange(len(langs)), 1.0, -1.0) - bias
+        return np.linalg.solve((x[at] * weight[:, None]).T @ x[at] + ridge * len(at) * np.eye(x.shape[1]), (x[at] * weight[:, None]).T @ y)
+
+    learned_from, tried = np.flatnonzero(turn % 2 == 0), np.flatnonzero(turn % 2 == 1)
+    if len(tried):
+        sharpness = sharpened(x[tried] @ solve(learned_from) + bias, label[tried], sharpness)
+    at_marks = root @ solve(np.arange(len(grams)))
+    weights = [presence([grams[i] for i in chosen], slots).T @ at_marks.astype(np.float32) for slots in parts]
+    return Model(langs, used, np.concatenate(weights).astype(np.float32), bias.astype(np.float32), sharpness)
+
+
+def sharpened(out: np.ndarray, label: np.ndarray, sharpness: float) -> float:
+    """The first of ``sharpness``, and of steps up from it, whose mean score of texts not learned from reaches nine tenths of the share of right answers."""
+    best = out.argmax(axis=1)
+    right, above = (best == label).mean(), out - out.max(axis=1, keepdims=True)
+    while sharpness < 1000 and (1 / np.exp(above * sharpness).sum(axis=1)).mean() < 0.9 * right:
+        sharpness *= 1.1
+    return sharpness
 
 
 def with_language(docs: DataFrame, model: Model | None, batch_rows: int = 64) -> DataFrame:
     """docs with the columns _lang_pred and _lang_score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 4 * SLOTS x languages floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 4 * SLOTS x labels floats
 
     def work(batches):
         fitted = shared.value
@@ -138,8 +171,8 @@ def with_language(docs: DataFrame, model: Model | None, batch_rows: int = 64) ->
     return docs.mapInArrow(work, T.StructType([*docs.schema, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())]))
 
 
-def learned(docs: DataFrame, per_language: int = 300, languages: int = 64) -> Model | None:
-    return fit([(r["lang"], r["text"]) for r in learning_rows(docs, per_language, languages).collect()])
+def learned(docs: DataFrame, per_language: int = 300) -> Model | None:
+    return fit([(r["lang"], r["text"]) for r in learning_rows(docs, per_language).collect()])
 
 
 def language_id(docs: DataFrame) -> DataFrame:
