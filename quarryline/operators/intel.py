@@ -40,10 +40,13 @@ def is_private(number: Column) -> Column:
 
 
 def cidr_match(addresses: DataFrame, feed: DataFrame) -> DataFrame:
-    """Addresses (key, number) in feed ranges (source, low, bits). Each range is joined on its own prefix, so that it is an equi-join."""
-    prefixed = addresses.withColumn("bits", F.explode(F.array(*(F.lit(b) for b in (8, 16, 24)))))
-    prefix = F.expr("shiftright(number, bits)")
-    return prefixed.withColumn("prefix", prefix).join(feed.withColumn("prefix", F.expr("shiftright(low, bits)")), ["bits", "prefix"]).drop("prefix", "low")
+    """Addresses (key, number) in feed ranges (source, low, bits: host bits, 0 to 32). Each range is joined on its own prefix, so that it is an equi-join.
+
+    Addresses are exploded to all 33 prefix lengths; an address has a row for each range that it is in.
+    """
+    prefixed = addresses.withColumn("bits", F.explode(F.array(*(F.lit(b) for b in range(33)))))
+    prefixed = prefixed.withColumn("prefix", F.expr("shiftright(CAST(number AS BIGINT), bits)"))
+    return prefixed.join(feed.withColumn("prefix", F.expr("shiftright(CAST(low AS BIGINT), bits)")), ["bits", "prefix"]).drop("prefix", "low")
 
 
 def judge(matches: DataFrame, least_confidence: int = 70, least_sources: int = 2) -> DataFrame:
