@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Texts are worked through in slices of about this many bytes, so that a task's memory stays bounded.
@@ -49,8 +49,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+#: Rows that may be broadcast: a table of a few columns of numbers, so about 10 MB at most.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if its number of rows, which the caller knows a bound of, allows it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def lowest_hashes(rows: DataFrame, each: int, labels: int) -> DataFrame:
+    """The ``each`` smallest different h of each of ``labels`` labels of rows (label, h); h is a 64-bit hash.
+
+    A share of the hashes that holds them for sure is cut off in each task, from each label's number of different hashes (one row a
+    label), so that only about 1.5 * each rows of a label are ranked together, however many rows the label has and however many of
+    them are copies.
+    """
+    counts = rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n"))
+    shares = counts.select("label", (F.lit(1.5 * each + 64) / F.col("n")).alias("share"))
+    near = rows.join(small(shares, labels), "label").where(F.col("h").cast("double") / 2.0**64 + 0.5 <= F.col("share")).select("label", "h").distinct()
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= each).select("label", "h")
+
+
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """n column names that df doesn't have, in any case of letters."""
+    taken, k, found = {c.lower() for c in df.columns}, 0, []
+    while len(found) < n:
+        if f"_made_{k}" not in taken:
+            found.append(f"_made_{k}")
+        k += 1
+    return found
 
 
 def to_batches(rows: dict, schema: pa.Schema) -> pa.RecordBatch:

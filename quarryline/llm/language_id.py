@@ -6,9 +6,9 @@ learned from; some of them are Nyström landmarks, and one-versus-rest kernel ri
 landmarks' space. A text's scores are linear in its presence vector over the landmarks' n-grams, so a batch is
 scored by one product of its presence matrix with the n-grams' weights.
 
-Every label is learned. Bounds of the sample (parameters): ``per_language`` texts of each label, fewer with more than 64 labels
-(``in_all`` texts, but ``least`` of each label), chosen by a hash of the text, never by id; the kernel sees each whole text
-that it scores. Landmarks are dealt to the labels in turn, each label has the same weight in the regression, and the
+Every label is learned. Bounds of the sample (parameters): ``per_language`` different texts of each label, fewer with more than 64
+labels (``in_all`` texts, but ``least`` of each label), chosen by a hash of the text, never by id. The kernel sees each whole text
+that it learns from or scores: tasks send the presence of a text's n-grams, not the text, to the driver. Landmarks are dealt to the labels in turn, each label has the same weight in the regression, and the
 softmax is sharpened until the mean score reaches nine tenths of the share of right answers, so that a score means the same with any
 number of labels. The weights (n-gram slots x labels) are held by each task.
 
@@ -19,14 +19,16 @@ ignored; with nothing to learn from, every text is ``und``; an empty table gives
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.llm.common import crc_remainder, documents, slices, text_bytes
+from quarryline.llm.common import crc_remainder, documents, free_names, lowest_hashes, slices, small, text_bytes
 
 LENGTHS = (1, 2, 3, 4)
 #: n-grams of each length share so many slots; a slot is one presence.
@@ -53,14 +55,32 @@ _FOLD[48:58] = 48
 
 
 def learning_rows(docs: DataFrame, per_language: int, in_all: int = 19200, least: int = 16) -> DataFrame:
-    """At most ``per_language`` texts of each language, from rows that are not held out; about ``in_all`` texts, but ``least`` of each."""
+    """label and presence (compressed bits of the n-gram slots) of at most ``per_language`` different texts of each language, from
+    rows that are not held out; about ``in_all`` texts, but ``least`` of each."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (crc_remainder(3) != 1))
-    labels = rows.select("lang").distinct().count()
+    rows = rows.select(F.col("lang").alias("label"), F.xxhash64("text").alias("h"), "text")
+    labels = rows.select("label").distinct().count()
     each = min(per_language, max(least, in_all // max(1, labels)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), F.col("text"))
-    # rank <= k is cut down within each task before the shuffle, so a common language is no hot group.
-    ranked = rows.select("lang", "text").withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= each).select("lang", F.substring("text", 1, 20000).alias("text"))
+    chosen = small(lowest_hashes(rows.select("label", "h"), each, labels), each * labels)
+
+    def work(batches):
+        for batch in slices(batches):
+            raw, offsets = text_bytes(batch.column("text"))
+            bits = [packed_slots(gram_slots(raw[a:b])) for a, b in zip(offsets[:-1], offsets[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("h"), pa.array(bits, pa.binary())], ["label", "h", "presence"])
+
+    # Copies of a chosen text have its hash and its presence, whatever their number, and are one row before the shuffle.
+    return rows.join(chosen, ["label", "h"]).mapInArrow(work, "label string, h long, presence binary").groupBy("label", "h").agg(F.min("presence").alias("presence"))
+
+
+def packed_slots(slots: np.ndarray) -> bytes:
+    present = np.zeros(len(LENGTHS) * SLOTS, np.uint8)
+    present[slots] = 1
+    return zlib.compress(np.packbits(present).tobytes(), 1)
+
+
+def unpacked_slots(data: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(data), np.uint8)))
 
 
 class Model:
@@ -89,14 +109,14 @@ class Model:
         return best, out[np.arange(len(raws)), best].astype(np.float64)
 
 
-def fit(labelled: list[tuple[str, str]], landmarks: int = 256, ridge: float = 1e-2, sharpness: float = 6.0, each: int = 4) -> Model | None:
-    """Nyström landmarks (``each`` of a label at least) and one-versus-rest kernel ridge regression on the labelled (lang, text) sample."""
+def fit(labelled: list[tuple[str, np.ndarray]], landmarks: int = 256, ridge: float = 1e-2, sharpness: float = 6.0, each: int = 4) -> Model | None:
+    """Nyström landmarks (``each`` of a label at least) and one-versus-rest kernel ridge regression on the labelled (lang, n-gram slots) sample."""
     if not labelled:
         return None
-    labelled = sorted(labelled)
+    labelled = sorted(labelled, key=lambda x: (x[0], x[1].tobytes()))
     langs = sorted({a for a, _ in labelled})
     label = np.searchsorted(np.array(langs, object), np.array([a for a, _ in labelled], object))
-    grams = [gram_slots(np.frombuffer(t.encode(), np.uint8)) for _, t in labelled]
+    grams = [g for _, g in labelled]
     shuffled = np.random.default_rng(5).permutation(len(grams))
     turn = np.zeros(len(grams), np.int64)  # a text's place among its label's shuffled ones
     by_label = shuffled[np.argsort(label[shuffled], kind="stable")]
@@ -149,8 +169,8 @@ def sharpened(out: np.ndarray, label: np.ndarray, sharpness: float) -> float:
     return sharpness
 
 
-def with_language(docs: DataFrame, model: Model | None, batch_rows: int = 64) -> DataFrame:
-    """docs with the columns _lang_pred and _lang_score."""
+def with_language(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("_lang_pred", "_lang_score"), batch_rows: int = 64) -> DataFrame:
+    """docs with two more columns, which docs must not have: the language and its score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 4 * SLOTS x labels floats
 
     def work(batches):
@@ -166,13 +186,13 @@ def with_language(docs: DataFrame, model: Model | None, batch_rows: int = 64) ->
                 best, sure = fitted.predict([raw[offsets[i] : offsets[i + 1]] for i in part])
                 for i, b, s in zip(part, best.tolist(), sure.tolist()):
                     lang[i], score[i] = fitted.langs[b], s
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "_lang_pred", "_lang_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(work, T.StructType([*docs.schema, T.StructField("_lang_pred", T.StringType()), T.StructField("_lang_score", T.DoubleType())]))
+    return docs.mapInArrow(work, T.StructType([*docs.schema, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
 
 def learned(docs: DataFrame, per_language: int = 300) -> Model | None:
-    return fit([(r["lang"], r["text"]) for r in learning_rows(docs, per_language).collect()])
+    return fit([(r["label"], unpacked_slots(bytes(r["presence"]))) for r in learning_rows(docs, per_language).collect()])
 
 
 def language_id(docs: DataFrame) -> DataFrame:
@@ -182,8 +202,13 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def keep_languages(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """docs without the rows whose language can't be told: ``und``, or a score below ``least``."""
-    return with_language(docs, learned(docs)).where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= least)).select(docs.columns)
+    """docs without the rows whose language can't be told: ``und``, or a score below ``least``.
+
+    Rows without text or letters go; rows without doc_id or lang are judged by their text like any other; repeated rows are each
+    kept or each dropped; all columns of docs are returned, whatever their names.
+    """
+    lang, score = free_names(docs, 2)
+    return with_language(docs, learned(docs), (lang, score)).where((F.col(lang) != "und") & (F.col(score) >= least)).select(docs.columns)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
