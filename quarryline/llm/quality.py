@@ -5,9 +5,9 @@ Two zstandard dictionaries hold labelled good and bad text. All blocks of a text
 their sum becomes a probability by logistic calibration on labelled texts that are in neither dictionary,
 weighted to the labels' true shares.
 
-Bounds of the sample (parameters): ``per_label`` texts of each label, chosen by a hash of the text (1,000 or fewer are
-cut down within each task before the shuffle); of each,
-``excerpt`` letters from its start serve to learn from. Scores always compress the whole text.
+Bounds of the sample (parameters): ``per_label`` different texts of each label, chosen by a hash of the text. Half of them fill the
+dictionaries with pieces from hashed places all over the texts; the whole texts of the other half are compressed, by tasks,
+for the calibration. Scores always compress the whole text.
 
 Defined results: a null or empty text has the score that a difference of 0 gets; rows without doc_id are left
 out; repeated rows are scored each; documents without a label, or with a null one, are scored, not learned
@@ -18,21 +18,24 @@ none to learn from, all scores are 0.5; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarryline.llm.common import crc_remainder, documents, slices, texts
+from quarryline.llm.common import crc_remainder, documents, free_names, lowest_hashes, slices, small, stored, texts
 
 LEVEL = 9
 #: Bytes added to the sum, so that very short texts give no extreme differences.
 STEADY = 64
 #: Bytes of a text that are compressed at once.
 BLOCK = 2048
+#: Bytes of a piece of a text in a dictionary.
+PIECE = 1024
 
 
 @functools.lru_cache(4)
@@ -65,39 +68,62 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame, per_label: int, excerpt: int) -> DataFrame:
-    """quality and excerpt of at most ``per_label`` texts of each label, from rows that are not held out."""
-    kept = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
-    rows = texts(docs).where((F.length("text") > 0) & (crc_remainder(3) != 1)).select("doc_id", F.substring("text", 1, excerpt).alias("text"))
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("text"), F.col("text"))
-    ranked = rows.join(kept, "doc_id").select("quality", "text", F.row_number().over(order).alias("rank"))
-    return ranked.where(F.col("rank") <= per_label).select("quality", "text")
+def learning_rows(docs: DataFrame, labels: DataFrame, per_label: int) -> DataFrame:
+    """quality, h and text of at most ``per_label`` different texts of each label, from rows that are not held out.
 
+    Ids and hashes are chosen first; only the chosen texts are fetched.
+    """
+    kept = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).distinct()
+    rows = texts(docs).where((F.length("text") > 0) & (crc_remainder(3) != 1)).select("doc_id", F.xxhash64("text").alias("h"), "text")
+    known = stored(rows.select("doc_id", "h").join(kept, "doc_id").select("label", "h", "doc_id"), "labelled")
+    chosen = lowest_hashes(known.select("label", "h"), per_label, 2)
+    # One row for each chosen text, of however many copies; at most 2 * per_label rows.
+    first = known.join(small(chosen, 2 * per_label), ["label", "h"]).groupBy("label", "h").agg(F.min("doc_id").alias("doc_id"))
+    return rows.join(small(first, 2 * per_label), ["doc_id", "h"]).select(F.col("label").alias("quality"), "h", "text").dropDuplicates(["quality", "h"])
 
-def fit(sample: list[tuple[int, str]], good_share: float = 0.5, dictionary_bytes: int = 1 << 19) -> Model:
-    """Half of the sample (by rank) fills the dictionaries, the other half calibrates."""
-    groups = {q: sorted({t for label, t in sample if label == q}) for q in (0, 1)}
-    if not groups[0] or not groups[1]:
+
+def pieces(raw: bytes, wanted: int) -> bytes:
+    """About ``wanted`` bytes of a text: pieces of PIECE bytes at hashed places of the whole of it, in their order."""
+    places = -(-len(raw) // PIECE)
+    count = max(1, wanted // PIECE)
+    if places <= count:
+        return raw
+    order = sorted(range(places), key=lambda i: hashlib.blake2b(b"%d/%d" % (i, len(raw)), digest_size=8).digest())
+    return b"".join(raw[i * PIECE : (i + 1) * PIECE] for i in sorted(order[:count]))
+
+
+def fit(sample: DataFrame, good_share: float = 0.5, dictionary_bytes: int = 1 << 19) -> Model:
+    """Half of the sample (quality, h, text), by its hashes, fills the dictionaries; the other half calibrates.
+
+    The driver gets ``dictionary_bytes`` of pieces of each label and a number for each calibrating text.
+    """
+    sample = stored(sample, "sample")
+    half = (F.pmod(F.shiftright("h", 20), F.lit(2)) == 0) if sample.limit(64).count() == 64 else F.lit(True)
+    counts = {r["quality"]: (r["n"], r["bytes"]) for r in sample.where(half).groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()}
+    if set(counts) != {0, 1}:
         return Model(b"", b"", 1.0, 0.0)
-    parts, rest = {}, []
-    rng = np.random.default_rng(11)
-    least = min(sum(len(t.encode()) for t in g) for g in groups.values())
-    size = min(dictionary_bytes, max(1024, least // 2))  # alike for both labels
-    for q, group in groups.items():
-        shuffled = [group[i] for i in rng.permutation(len(group))]
-        half = max(1, len(shuffled) // 2)
-        data, used = b"", 0
-        for t in shuffled[:half]:
-            if len(data) >= size:
-                break
-            data += t.encode() + b"\n"
-            used += 1
-        parts[q] = data[:size]
-        rest += [(q, t) for t in (shuffled[used:] or shuffled)]
-    x = np.array([difference(t, parts[1], parts[0]) for _, t in rest])
-    y = np.array([q for q, _ in rest], float)
-    slope, shift = calibrate(x, y, good_share)
-    return Model(parts[1], parts[0], slope, shift)
+    size = min(dictionary_bytes, min(b for _, b in counts.values()))  # alike for both labels
+    each = {q: max(PIECE, size // n) for q, (n, _) in counts.items()}
+
+    def cut(batches):
+        for batch in slices(batches):
+            found = [pieces(t.encode(), each[q]) for q, t in zip(batch.column("quality").to_pylist(), batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("h"), pa.array(found, pa.binary())], ["quality", "h", "piece"])
+
+    parts: dict[int, list] = {0: [], 1: []}
+    for r in sample.where(half).mapInArrow(cut, "quality int, h long, piece binary").collect():
+        parts[r["quality"]].append((r["h"], bytes(r["piece"])))
+    good, bad = (b"\n".join(p for _, p in sorted(parts[q]))[:size] for q in (1, 0))
+    rest = ~half if sample.where(~half).select("quality").distinct().count() == 2 else F.lit(True)
+
+    def measure(batches):
+        for batch in slices(batches):
+            found = [difference(t, good, bad) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(found, pa.float64())], ["quality", "x"])
+
+    rows = sorted((r["x"], r["quality"]) for r in sample.where(rest).mapInArrow(measure, "quality int, x double").collect())
+    slope, shift = calibrate(np.array([x for x, _ in rows]), np.array([q for _, q in rows], float), good_share)
+    return Model(good, bad, slope, shift)
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, share: float = 0.5, ridge: float = 1e-4) -> tuple[float, float]:
@@ -113,23 +139,22 @@ def calibrate(x: np.ndarray, y: np.ndarray, share: float = 0.5, ridge: float = 1
     return float(w[0] / scale), float(w[1])
 
 
-def with_quality(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the column _quality."""
+def with_quality(docs: DataFrame, model: Model, name: str = "_quality") -> DataFrame:
+    """docs with the score in one more column, which docs must not have."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of bounded size
 
     def work(batches):
         fitted = shared.value
         for batch in slices(batches):
             found = [fitted.score(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "_quality"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(work, T.StructType([*docs.schema, T.StructField("_quality", T.DoubleType())]))
+    return docs.mapInArrow(work, T.StructType([*docs.schema, T.StructField(name, T.DoubleType())]))
 
 
-def learned(docs: DataFrame, labels: DataFrame, per_label: int = 1000, excerpt: int = 2000) -> Model:
-    sample = [(r["quality"], r["text"]) for r in learning_rows(docs, labels, per_label, excerpt).collect()]
+def learned(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> Model:
     share = labels.where(F.col("quality").isin(0, 1) & (crc_remainder(3) != 1)).agg(F.avg("quality")).first()[0]
-    return fit(sample, min(0.99, max(0.01, share)) if share is not None else 0.5)
+    return fit(learning_rows(docs, labels, per_label), min(0.99, max(0.01, share)) if share is not None else 0.5)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -140,8 +165,13 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs without the rows whose score is below ``least``."""
-    return with_quality(docs, learned(docs, labels)).where(F.col("_quality") >= least).select(docs.columns)
+    """docs without the rows whose score is below ``least``.
+
+    A null text is judged as the empty one; rows without doc_id or label are judged by their text like any other; repeated rows are
+    each kept or each dropped; all columns of docs are returned, whatever their names.
+    """
+    (name,) = free_names(docs, 1)
+    return with_quality(docs, learned(docs, labels), name).where(F.col(name) >= least).select(docs.columns)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
