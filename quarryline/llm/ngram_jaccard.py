@@ -13,16 +13,19 @@ no list is held or paired out in one task. Sketches (the parity of each of SKETC
 difference from below and drop pairs that can't link; the rest is verified on the whole sets. No link between
 components is lost.
 
+Shingles and whole sets are known by 64-bit hashes. A class keeps its smallest doc_id with the hash of that row's text, and only a
+text that gives the class's set is verified for it, so rows that share a doc_id but not the text keep their own links.
+
 Defined results: null and empty texts have n_shingles 0 and are their own component; fewer than five words are one
-shingle; rows without doc_id are left out; repeated rows fall in one class; extra columns are ignored; an empty
-table gives no rows.
+shingle; rows without doc_id are left out; repeated rows fall in one class; rows are the nodes, so two texts under one doc_id are
+linked only if they reach the threshold; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import documents, mix, slices, stored, texts, to_batches, word_hashes
@@ -36,7 +39,7 @@ SHORT, BLOCK, SKETCH = 24, 512, 1024
 LONG_LISTS, LONG_HERE = 1 << 17, 4
 #: Bytes of text of such a slice.
 LONG_SLICE = 16 << 20
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("first", pa.binary()), ("sketch", pa.binary())])
+SETS = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("first", pa.binary()), ("sketch", pa.binary())])
 BLOCKS = pa.schema([("block", pa.int64()), *((n, pa.binary()) for n in ("classes", "roots", "sizes", "sketches", "owners", "tokens"))])
 POSTINGS = pa.schema([("token", pa.int64()), ("classes", pa.list_(pa.int64()))])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -94,19 +97,24 @@ def _long_lists(docs: DataFrame) -> np.ndarray:
     return np.sort(rows["token"].to_numpy(np.int64).view(np.uint64))
 
 
+def class_of(shingles: np.ndarray) -> int:
+    """The class of a set: a hash of its shingles."""
+    with np.errstate(over="ignore"):
+        return int(mix(np.array([mix(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
+
+
 def _sets(docs: DataFrame, long_lists: np.ndarray) -> DataFrame:
-    """doc_id, n, class, the first shingles and the sketch of every set."""
+    """doc_id, h, n, class, the first shingles and the sketch of every set."""
     shared = docs.sparkSession.sparkContext.broadcast(long_lists)
 
     def work(batches):
         apart = shared.value
         for batch in slices(batches):
-            rows = {"doc_id": batch.column("doc_id"), "n": [], "class": [], "first": [], "sketch": []}
+            rows = {"doc_id": batch.column("doc_id"), "h": batch.column("h"), "n": [], "class": [], "first": [], "sketch": []}
             for s in shingle_sets(batch.column("text")):
                 n = len(s)
                 need = least_overlap(n)
-                with np.errstate(over="ignore"):
-                    key = mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(n)], np.uint64))
+                key = class_of(s)
                 if len(apart) and n:
                     is_long = apart[np.minimum(np.searchsorted(apart, s), len(apart) - 1)] == s
                     if is_long.any():
@@ -115,11 +123,11 @@ def _sets(docs: DataFrame, long_lists: np.ndarray) -> DataFrame:
                 bits = max(SKETCH, 1 << (2 * n).bit_length())
                 odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
                 rows["sketch"].append(np.packbits(odd.astype(np.uint8)).tobytes())
-                rows["class"].append(int(key.view(np.int64)[0]))
+                rows["class"].append(key)
                 rows["first"].append(s[: n - need + min(SHARED, need)].tobytes())
             yield to_batches(rows, SETS)
 
-    return docs.mapInArrow(work, "doc_id long, n long, class long, first binary, sketch binary")
+    return docs.mapInArrow(work, "doc_id long, h long, n long, class long, first binary, sketch binary")
 
 
 def _postings(sets: DataFrame, slice_tokens: int = 2 << 20) -> DataFrame:
@@ -156,12 +164,15 @@ def _postings(sets: DataFrame, slice_tokens: int = 2 << 20) -> DataFrame:
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (a, b) of classes those whose whole sets reach the threshold."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class").select("class", "doc_id")
-    read = docs.join(used, "doc_id").dropDuplicates(["doc_id"])
+    used = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class").select("class", F.col("first.doc_id").alias("doc_id"), F.col("first.h").alias("h"))
+    read = docs.join(used, ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "class"])
 
     def sets(batches):
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"))], pa.binary())], ["class", "shingles"])
+            found = shingle_sets(batch.column("text"))
+            same = [class_of(s) == c for s, c in zip(found, batch.column("class").to_pylist())]
+            made = pa.RecordBatch.from_arrays([batch.column("class"), pa.array([s.tobytes() for s in found], pa.binary())], ["class", "shingles"])
+            yield made.filter(pa.array(same, pa.bool_()))
 
     def probe(batches):
         for batch in batches:
@@ -185,8 +196,10 @@ def _across_blocks(rest: DataFrame) -> DataFrame:
     rest: token, class, root, n, sketch of the classes of long lists.
     """
     held = rest.groupBy("class").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.collect_set("token").alias("tokens")).withColumn("cluster", F.array_min("tokens"))
-    sizes = held.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    held = stored(held.join(sizes, "cluster").withColumn("block", F.xxhash64("cluster", F.pmod(F.xxhash64("class"), "parts"))).drop("cluster", "parts"), "held")
+    # A block's classes have sizes of one band (at the threshold's ratio), so that blocks of far bands are not paired.
+    held = held.withColumn("band", F.floor(F.log(100 / PERCENT, F.col("n"))))
+    sizes = held.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    held = stored(held.join(sizes, ["cluster", "band"]).withColumn("block", F.xxhash64("cluster", "band", F.pmod(F.xxhash64("class"), "parts"))).drop("cluster", "band", "parts"), "held")
 
     def pack(table: pa.Table) -> pa.Table:
         tokens = table.column("tokens").to_pylist()
@@ -197,8 +210,9 @@ def _across_blocks(rest: DataFrame) -> DataFrame:
         return pa.Table.from_batches([to_batches(rows, BLOCKS)])
 
     blocks = stored(held.groupBy("block").applyInArrow(pack, "block long, classes binary, roots binary, sizes binary, sketches binary, owners binary, tokens binary"), "blocks")
-    touched = held.select("block", F.explode("tokens").alias("token")).distinct()
-    pairs = touched.withColumnRenamed("block", "i").join(touched.withColumnRenamed("block", "j"), "token").where("i <= j").select("i", "j").distinct()
+    touched = held.select("block", "n", F.explode("tokens").alias("token")).groupBy("block", "token").agg(F.min("n").alias("n_a"), F.max("n").alias("n_b"))
+    one, two = (touched.select("token", F.col("block").alias(x), F.col("n_a").alias(f"least_{x}"), F.col("n_b").alias(f"most_{x}")) for x in "ij")
+    pairs = one.join(two, "token").where(f"i <= j and {PERCENT} * least_i <= 100 * most_j and {PERCENT} * least_j <= 100 * most_i").select("i", "j").distinct()
     sides = [blocks.select(*(F.col(c).alias(f"{c}_{s}" if c != "block" else s) for c in blocks.columns)) for s in "ij"]
     joined = stored(pairs, "block-pairs").join(sides[0], "i").join(sides[1], "j")
 
@@ -232,16 +246,21 @@ def _across_blocks(rest: DataFrame) -> DataFrame:
     return joined.mapInArrow(multiply, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
-    rows = texts(docs)
+def _text_hash(docs: DataFrame):
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets (doc_id, h, n, class) of all rows, and each class's root and first row (class, root, first)."""
+    rows = texts(docs, _text_hash(docs).alias("h"))
     sets = stored(_sets(rows, _long_lists(rows)), "sets")
-    classes = stored(sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "classes")
+    classes = stored(sets.where("n > 0").groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.min("n").alias("n"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "classes")
     sized = classes.select("class", "n", "copies")
 
     counted = _postings(sets).withColumn("k", F.size("classes"))
-    counted = counted.withColumn("df", F.sum("k").over(Window.partitionBy("token")))
-    lists = counted.where("df > 1").select("token", F.explode("classes").alias("class")).distinct()
+    # Sums are combined before the shuffle; a join, which Spark may split where it is skewed, brings them to the lists.
+    common = counted.groupBy("token").agg(F.sum("k").alias("df")).where("df > 1").select("token")
+    lists = counted.join(common, "token", "left_semi").select("token", F.explode("classes").alias("class")).distinct()
     lists = stored(lists.join(sized, "class"), "lists")
 
     # Star: each class against the class of most copies of its lists that it shares most lists with.
@@ -263,17 +282,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = _verified(stored(drawn, "pairs"), classes, rows)
 
     roots = components(links.unionByName(more))
-    found = classes.select("class", "doc_id").join(roots.withColumnRenamed("id", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    smallest = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = classes.select("class", "first").join(roots.withColumnRenamed("id", "class"), "class", "left")
+    return sets, found.withColumn("root", F.coalesce("root", "class"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    sets, found = _grouped(docs)
+    smallest = found.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
     by_class = found.join(smallest, "root").select("class", "component_id")
     out = sets.select("doc_id", "n", "class").join(by_class, "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document of smallest doc_id of each component, once; rows without doc_id go."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One document of each component: the row of smallest doc_id (and, of several texts under it, smallest hash of the text), once.
+
+    Rows without text or words are linked with nothing and stay, each different (doc_id, text) once; rows without doc_id go; all
+    columns of docs are returned, whatever their names.
+    """
+    sets, found = _grouped(docs)
+    first = found.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    kept = first.unionByName(sets.where("n = 0").select("doc_id", "h")).distinct()
+    match = (docs["doc_id"].cast("long") == kept["doc_id"]) & (_text_hash(docs) == kept["h"])
+    return docs.join(kept, match, "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
 
 def _sizes_fit():
