@@ -13,7 +13,8 @@ The codebooks are fitted on a bounded sample (``SAMPLE`` vectors by hash); every
 codes is scanned for every block of queries; both are rows, joined on the group's number.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and vectors of another
-length than the commonest, take no part; repeated rows count each; equal scores go to the smaller vec_id; extra
+length than the commonest, take no part; repeated rows count each as candidates, but a repeated query row is asked once; a query id with
+several vectors asks with each, ranked apart; no row of a query's own id is a candidate; equal scores go to the smaller vec_id; extra
 columns are ignored; an empty table gives no rows.
 """
 
@@ -22,17 +23,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import stored, to_batches
-from quarryline.llm.vectors import best_of, matrix, top_rows, valid_vectors
+from quarryline.llm.vectors import asked, best_of, collapsed, matrix, top_rows, valid_vectors
 
 #: Bounds: rows to fit on, queries of a block, vectors of a group (about).
 SAMPLE, QUERIES, GROUP = 4096, 512, 16384
 GROUPS = pa.schema([("group", pa.int32()), ("ids", pa.binary()), ("owners", pa.binary()), ("vectors", pa.binary()), ("codes", pa.binary()), ("residuals", pa.binary())])
-BLOCKS = pa.schema([("query_ids", pa.binary()), ("queries", pa.binary())])
-FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+BLOCKS = pa.schema([("query_ids", pa.binary()), ("query_keys", pa.binary()), ("queries", pa.binary())])
+FOUND = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 class Quantiser:
@@ -168,16 +169,6 @@ def scan(query_ids, queries, ids, owners, x, codes, residuals, q: Quantiser, k:
     return out_ids, out_scores
 
 
-def collapsed(rows: DataFrame, k: int) -> DataFrame:
-    """Each different vector once, with the rows' vec_ids, ascending: its k + 1 smallest ones, each at most k times."""
-    once = rows.groupBy("vector", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
-    order = Window.partitionBy("vector").orderBy("vec_id")
-    # rank <= k + 1 is cut down within each task before the shuffle, so a vector with very many copies is no hot group.
-    first = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1)
-    ids = F.sort_array(F.flatten(F.collect_list(F.array_repeat("vec_id", F.col("times")))))
-    return first.groupBy("vector").agg(ids.alias("ids"))
-
-
 def nearest(table: DataFrame, is_query, k: int, keep: int = 96) -> DataFrame:
     """query_id, rank, vec_id and score (inner product in double precision) of each query's k nearest."""
     spark, keep = table.sparkSession, max(k, keep)
@@ -220,23 +211,24 @@ def nearest(table: DataFrame, is_query, k: int, keep: int = 96) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, QUERIES):
                 part = batch.slice(a, QUERIES)
-                yield to_batches({"query_ids": [np.asarray(part.column("vec_id"), "<i8").tobytes()], "queries": [matrix(part.column("vector")).tobytes()]}, BLOCKS)
+                yield to_batches({"query_ids": [np.asarray(part.column("vec_id"), "<i8").tobytes()], "query_keys": [np.asarray(part.column("query_key"), "<i8").tobytes()], "queries": [matrix(part.column("vector")).tobytes()]}, BLOCKS)
 
     def answers(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                query_ids, queries = np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["queries"]).reshape(-1, dims)
+                query_ids, query_keys, queries = np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["query_keys"], "<i8"), np.frombuffer(row["queries"]).reshape(-1, dims)
                 ids, owners, x = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["owners"], "<i8"), np.frombuffer(row["vectors"]).reshape(-1, dims)
                 codes, residuals = np.frombuffer(row["codes"], np.uint8).reshape(-1, len(x)), np.frombuffer(row["residuals"]).reshape(3, -1)
                 found, scores = scan(query_ids, queries, ids, owners, x, codes, residuals, quantiser, k, keep)
-                yield to_batches({"query_id": np.repeat(query_ids, [len(f) for f in found]), "vec_id": np.concatenate(found), "score": np.concatenate(scores)}, FOUND)
+                sizes = [len(f) for f in found]
+                yield to_batches({"query_id": np.repeat(query_ids, sizes), "query_key": np.repeat(query_keys, sizes), "vec_id": np.concatenate(found), "score": np.concatenate(scores)}, FOUND)
 
     dealt = rows.withColumn("group", F.pmod(F.xxhash64("vector"), F.lit(groups)).cast("int")).repartition(groups, "group")
     indexed = dealt.mapInArrow(index, "group int, ids binary, owners binary, vectors binary, codes binary, residuals binary")
-    asked = valid.where(is_query).mapInArrow(blocks, "query_ids binary, queries binary")
-    for_all = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    found = indexed.join(for_all, "group").mapInArrow(answers, "query_id long, vec_id long, score double")
-    return best_of(found, k, "double")
+    questions = asked(valid, is_query).mapInArrow(blocks, "query_ids binary, query_keys binary, queries binary")
+    for_all = questions.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    found = indexed.join(for_all, "group").mapInArrow(answers, "query_id long, query_key long, vec_id long, score double")
+    return best_of(found, k, "double").drop("query_key")
 
 
 def op10_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

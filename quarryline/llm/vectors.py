@@ -32,11 +32,26 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(rows, -1)
 
 
+def collapsed(rows: DataFrame, k: int) -> DataFrame:
+    """Each different vector once, with the rows' vec_ids, ascending: its k + 1 smallest ones, each at most k times."""
+    once = rows.groupBy("vector", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))
+    order = Window.partitionBy("vector").orderBy("vec_id")
+    # rank <= k + 1 is cut down within each task before the shuffle, so a vector with very many copies is no hot group.
+    first = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1)
+    ids = F.sort_array(F.flatten(F.collect_list(F.array_repeat("vec_id", F.col("times")))))
+    return first.groupBy("vector").agg(ids.alias("ids"))
+
+
+def asked(rows: DataFrame, is_query) -> DataFrame:
+    """vec_id, vector and query_key of the queries: each different (vec_id, vector) once."""
+    return rows.where(is_query).select("vec_id", "vector").distinct().withColumn("query_key", F.xxhash64("vector"))
+
+
 def best_of(rows: DataFrame, k: int, score_type: str) -> DataFrame:
-    """The k highest scores of each query (ties to the smaller vec_id) of rows (query_id, vec_id, score)."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    """The k highest scores of each query (ties to the smaller vec_id) of rows (query_id, query_key, vec_id, score)."""
+    order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast(score_type).alias("score"))
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast(score_type).alias("score"), "query_key")
 
 
 def top_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
