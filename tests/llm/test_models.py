@@ -198,7 +198,7 @@ def test_mtree_is_exact(vectors):
 def test_mtree_skips_products():
     rng = np.random.default_rng(0)
     x = np.concatenate([c + rng.normal(size=(64, 8)) * 0.01 for c in rng.normal(size=(8, 8)) * 100]).round()
-    row = mtree.node(0, np.arange(len(x)), x, x[0])
+    row = mtree.node(0, 0, x[0], x, [np.array([i]) for i in range(len(x))])
     _, _, products = mtree.search(row, np.array([-1]), x[:1], np.array([-np.inf]), 3)
     assert products < len(x) / 2
 
