@@ -21,15 +21,18 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import documents, slices, stored, texts, to_batches
-from quarryline.llm.token_tables import _NOT_PLAIN, library, tokenizer_path
+from quarryline.llm.token_tables import library, tokenizer_path
 
 CAPACITY = 2048
+#: Other letters are left to the tokenizers library, whose classes of letters may be of another version of Unicode.
+_NOT_PLAIN = regex.compile("[^\x00-\u017f]")
 PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "piece", "start", "length", "ids_crc32", "part", "nth")])
 PLACED = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), *((n, pa.int64()) for n in ("start", "length", "ids_crc32", "sequence_id", "offset"))])
 

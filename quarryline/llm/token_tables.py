@@ -3,9 +3,10 @@
 A slice of texts is cut into pre-tokens with array operations, the different pre-tokens are
 looked up in a bounded per-worker table, and only those not seen before are encoded: first
 as one whole token where that is proved, else by speculation (greedy longest match, every
-adjacent pair tested for compatibility), else by exact merging. Texts with the strings of
-special tokens, or with letters outside the range that the arrays cover, go through the
-tokenizers library as a whole.
+adjacent pair tested for compatibility), else by exact merging. All of Unicode goes this way:
+letters are classed by tables over all code points, filled as code points are met, and texts with
+the strings of special tokens are cut at them. Within a slice pre-tokens are told apart by 64-bit
+hashes; the worker's table knows them by their letters.
 """
 
 from __future__ import annotations
@@ -17,15 +18,12 @@ import unicodedata
 import numpy as np
 import public_tokenizers
 import regex
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from quarryline.llm.common import mix
 
 #: Different pre-tokens kept by a worker before its table starts afresh.
 TABLE_LIMIT = 600_000
-#: Code points below this, but for one whose lower case is two letters, are cut by array operations.
-PLAIN_LIMIT = 0x180
-_NOT_PLAIN = regex.compile("[^\x00-įı-ſ]")
 _LETTER, _NUMBER, _OTHER, _SPACE = 0, 1, 2, 3
 
 
@@ -42,18 +40,44 @@ def library(path: str) -> Tokenizer:
     return tokenizer
 
 
+class Letters:
+    """Class, lower case and a random 64-bit value of every code point; classes and lower cases are filled as code points are met.
+
+    The class of a code point is what the pre-tokenizer's pattern takes it for: it is asked once for each code point whether it joins
+    a letter, a number or another sign.
+    """
+
+    UNKNOWN = -2
+
+    def __init__(self):
+        self.classes = np.full(0x110000, self.UNKNOWN, np.int8)
+        self.lower = np.arange(0x110000, dtype=np.uint32)
+        self.values = np.random.default_rng(7).integers(1, 2**63, 0x110000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.learn(np.arange(0x180))
+
+    def meet(self, codes: np.ndarray) -> None:
+        new = codes[self.classes[codes] == self.UNKNOWN]
+        if len(new):
+            self.learn(np.unique(new))
+
+    def learn(self, codes: np.ndarray) -> None:
+        folded = normalizers.Lowercase()
+        for c in codes.tolist():
+            small = folded.normalize_str(chr(c))
+            if len(small) == 1:
+                self.lower[c] = ord(small)
+        codes = np.unique(np.concatenate([codes, self.lower[codes]]))
+        asked = "".join(f"\na{chr(c)}\n1{chr(c)}\n!{chr(c)}" for c in codes.tolist())
+        pieces = {span for _, span in pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str(asked)}
+        for i, c in enumerate(codes.tolist()):
+            at = 9 * i + 1
+            joins = [(at + 3 * k, at + 3 * k + 2) in pieces for k in range(3)]
+            self.classes[c] = joins.index(True) if any(joins) else _SPACE
+
+
 @functools.cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class, lower case and a random 64-bit value of each plain code point."""
-    classes = np.full(PLAIN_LIMIT, _OTHER, np.int8)
-    for c in range(PLAIN_LIMIT):
-        kind = unicodedata.category(chr(c))[0]
-        if kind in "LN":
-            classes[c] = _LETTER if kind == "L" else _NUMBER
-    classes[[*range(9, 14), 32, 0x85, 0xA0]] = _SPACE
-    lower = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(PLAIN_LIMIT)], np.uint32)
-    values = np.random.default_rng(7).integers(1, 2**63, PLAIN_LIMIT, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return classes, lower, values
+def letters_table() -> Letters:
+    return Letters()
 
 
 @functools.cache
@@ -102,7 +126,8 @@ class Vocabulary:
         model = data["model"]
         self.path = path
         self.end = model.get("end_of_word_suffix") or ""
-        self.special = [t["content"] for t in data["added_tokens"]]
+        self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
+        self.special_at = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.ids: dict[str, int] = model["vocab"]
         self.strings = {i: s for s, i in self.ids.items()}
         self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
@@ -141,7 +166,7 @@ class Vocabulary:
         self._fresh()
 
     def _fresh(self) -> None:
-        self.rows: dict[int, int] = {}
+        self.rows: dict[str, int] = {}
         self.flat, self.begin, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 15, np.int64), 0
 
     def symbols(self, string: str) -> list[str]:
@@ -153,17 +178,26 @@ class Vocabulary:
 
     # pre-tokens
 
-    def is_plain(self, text: str) -> bool:
-        return (text.isascii() or not _NOT_PLAIN.search(text)) and not any(s in text for s in self.special)
+    def prepared(self, text: str) -> str:
+        """The text as it is cut: where words end and letters are small, composed, and without the one letter whose small form is two."""
+        if not self.end or text.isascii():
+            return text
+        if not unicodedata.is_normalized("NFC", text):
+            text = normalizers.NFC().normalize_str(text)
+        return text.replace("\u0130", "i\u0307")
 
     def cut(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-        """All plain texts end to end, starts and ends of their pre-tokens, and the number of pre-tokens of each text."""
+        """All texts end to end as they are looked up, starts and ends of their pre-tokens, and the number of pre-tokens of each text."""
+        texts = [self.prepared(t) for t in texts]
         joined = "".join(texts)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        classes, lower, _ = _tables()
+        table = letters_table()
+        table.meet(codes)
         if self.end:
-            codes = lower[codes]
+            codes = table.lower[codes]
+            joined = codes.tobytes().decode("utf-32-le")
+        classes = table.classes
         self._codes = codes
         n = len(codes)
         if not n:
@@ -208,7 +242,7 @@ class Vocabulary:
         return joined, starts, ends, counts
 
     def _hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        codes, values = self._codes, _tables()[2]
+        codes, values = self._codes, letters_table().values
         power, inverse = _powers(max(1 << 22, 1 << int(len(codes)).bit_length()))
         with np.errstate(over="ignore"):
             total = np.zeros(len(codes) + 1, np.uint64)
@@ -358,17 +392,14 @@ class Vocabulary:
 
     def _rows(self, joined: str, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The table's row of each pre-token; pre-tokens not in it are encoded and added."""
-        unique, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = unique.tolist()
+        _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        keys = [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
         if len(self.rows) + len(keys) > TABLE_LIMIT:
             self._fresh()
         rows = list(map(self.rows.get, keys))
         new = [i for i, r in enumerate(rows) if r is None]
         if new:
-            s, e = starts[at[new]].tolist(), ends[at[new]].tolist()
-            pieces = [joined[a:b] for a, b in zip(s, e)]
-            if self.end:
-                pieces = [p.lower() for p in pieces]
+            pieces = [keys[i] for i in new]
             base = len(self.rows)
             flat, sizes = self.encode_pieces(pieces)
             while self.used + len(flat) > len(self.flat):
@@ -391,10 +422,26 @@ class Vocabulary:
         return self._each(texts, True)
 
     def _each(self, texts: list[str], want_ids: bool) -> tuple[np.ndarray, np.ndarray]:
-        plain = [self.is_plain(t) for t in texts]
-        chosen = [t for t, p in zip(texts, plain) if p]
-        joined, starts, ends, pieces = self.cut(chosen)
-        flat, counts = np.zeros(0, np.uint32), np.zeros(len(chosen), np.int64)
+        if self.special_at is None or not any(s in t for t in texts for s in self.special):
+            return self._ordinary(texts, want_ids)
+        # Texts are cut at special strings: every other part of a text is one of them.
+        parts = [self.special_at.split(t) for t in texts]
+        flat, counts = self._ordinary([p for found in parts for p in found[::2]], want_ids)
+        offsets, k, out, sizes = np.concatenate([[0], np.cumsum(counts)]), 0, [], []
+        for found in parts:
+            n = (len(found) + 1) // 2
+            sizes.append(int(offsets[k + n] - offsets[k]) + n - 1)
+            for i in range(n if want_ids else 0):
+                out.append(flat[offsets[k + i] : offsets[k + i + 1]])
+                if i < n - 1:
+                    out.append(np.array([self.special[found[2 * i + 1]]], np.uint32))
+            k += n
+        return np.concatenate(out) if out else flat, np.array(sizes, np.int64)
+
+    def _ordinary(self, texts: list[str], want_ids: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Texts without special strings."""
+        joined, starts, ends, pieces = self.cut(texts)
+        flat, counts = np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         if len(starts):
             rows = self._rows(joined, self._hashes(starts, ends), starts, ends)
             begin = self.begin[rows]
@@ -404,19 +451,7 @@ class Vocabulary:
             counts = total[stops[1:]] - total[stops[:-1]]
             if want_ids:
                 flat = self.flat[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
-        if all(plain):
-            return flat, counts
-        offsets, k, parts, sizes = np.concatenate([[0], np.cumsum(counts)]), 0, [], []
-        for text, p in zip(texts, plain):
-            if p:
-                sizes.append(int(counts[k]))
-                parts.append(flat[offsets[k] : offsets[k + 1]] if want_ids else flat)
-                k += 1
-            else:
-                ids = library(self.path).encode(text, add_special_tokens=False).ids
-                sizes.append(len(ids))
-                parts.append(np.array(ids, np.uint32))
-        return np.concatenate(parts) if parts else flat, np.array(sizes, np.int64)
+        return flat, counts
 
 
 @functools.cache

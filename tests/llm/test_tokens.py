@@ -34,8 +34,11 @@ def crc(ids):
 
 
 @pytest.mark.parametrize("name,speculation", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True), ("byte_bpe_50k.json", False)])
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aAtThHeE' \n\t1é.,'sre"), st.characters(max_codepoint=0x250)), max_size=60), max_size=4))
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.one_of(
+    st.text(st.sampled_from("aAtThHeE' \n\t1é.,'sre\u0301\u0307ΣσςİıΑ\u3000\u2019—Жж日本ー가각ｱ٣²Ⅷ\u200b\u200d😀🇩"), max_size=20),
+    st.text(st.characters(exclude_categories=["Cs"]), max_size=20), st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "|>"]),
+), max_size=6).map("".join), max_size=4))
 def test_encoding_equals_the_library(name, speculation, texts):
     words = vocabulary(tokenizer_path(name), speculation)
     flat, counts = words.encode(texts)
@@ -43,6 +46,21 @@ def test_encoding_equals_the_library(name, speculation, texts):
     assert flat.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
 
 
+def test_no_text_is_left_to_the_library(monkeypatch):
+    """Curly quotes, dashes, Greek, Cyrillic, CJK and emoji are encoded by the dealt method."""
+    from quarryline.llm import token_tables
+
+    texts = ["“quoted” – and don’t…", "ΟΔΥΣΣΕΥΣ και Σίσυφος", "Привет, мир! Ёлка", "日本語のテキスト、中文字符", "한국어 텍스트", "😀👍🏽 emoji 🇩🇪", "e\u0301 A\u030a \u212b", "मानक हिन्दी १२३", "x<|endoftext|>y"]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        want = [library(tokenizer_path(name)).encode(t, add_special_tokens=False).ids for t in texts]
+        with monkeypatch.context() as m:
+            m.setattr(token_tables, "library", None)
+            words = Vocabulary(tokenizer_path(name), name.startswith("byte"))
+            flat, counts = words.encode(texts)
+        assert flat.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
+        assert words.spoken_whole > 0 and words.seen > len(texts)
+
+
 def test_counts(spark, sf_dir, odd):
     lib = library(tokenizer_path("word_bpe_49k.json"))
     for docs in (spark.read.parquet(f"{sf_dir}/documents.parquet"), odd):
