@@ -2,16 +2,20 @@
 
 A rolling hash over a window of ids cuts each document's stream into chunks (the same passage gives the same
 chunks wherever it stands), each distinct chunk is stored once under its digest, and a document is a recipe: the
-digests in order. Recipes are written in ascending doc_id order. Merkle roots (of a document over its chunks,
-of a file over its documents, of the store over its files) verify what is read back.
+digests in order. Recipes are numbered and written in ascending doc_id order.
 
-Encoded slices are stored once, in a table bucketed by slice. Only digests are shuffled: each gets one slice as
-its owner, and the owners write their chunks. Likewise a document's crc32 is put together from the crc32s of its
-chunks, each read back, verified and summed once; ``read_store`` rebuilds the ids themselves.
+The manifest is a Merkle tree over the recipes: a leaf is the SHA-256 of a document's number, doc_id, start, number of tokens,
+digests and chunk sizes; an inner node that of its up to FAN children's hashes, in order, with the documents and tokens below it; the root
+stands in the store's head. All inner nodes are kept. A reader computes leaves and nodes afresh, level by level, and refuses a store in
+which one differs. Every level is a grouping of at most FAN rows each.
 
-Layout of a store's folder: ``chunks`` (digest, ids: little-endian unsigned 16- or 32-bit), ``recipes``
-(part, doc_id, start, n_tokens, digests, ids behind each chunk, root; part numbers ascend with doc_id), ``manifest`` (part, first
-and last doc_id, documents, tokens, root).
+Encoded slices are stored in a table bucketed by slice until the store is written. Only digests are shuffled: each gets one slice as
+its owner, and the owners write their chunks. Likewise ``digests_read`` puts a document's crc32 together from the crc32s of its
+chunks, each read back, verified and summed once, without rebuilding the document; ``read_store`` rebuilds the ids themselves.
+
+Layout of a store's folder: ``chunks`` (digest, ids: little-endian unsigned integers of ``width`` bytes), ``recipes``
+(part, number, doc_id, start, n_tokens, digests, ids behind each chunk; part numbers ascend with doc_id), ``manifest`` (level, number,
+documents, tokens, hash), ``head`` (width, levels, documents, tokens, root).
 
 Defined results: null text is the empty text, which still has its end id; rows without doc_id are left out;
 rows that repeat a doc_id are kept each, ordered by digests; extra columns are ignored; an empty table
@@ -31,13 +35,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import documents, mix, shared_folder, slices, stored, texts, to_batches
+from quarryline.llm.common import documents, mix, shared_folder, slices, small, stored, texts, to_batches
 from quarryline.llm.token_tables import tokenizer_path, vocabulary
 
 WINDOW = 8
 #: A cut where the rolling hash's low bits are zero: chunks of about 256 ids, of 32 at least and 2048 at most.
 CUT_MASK, LEAST, MOST = np.uint64(255), 32, 2048
 DIGEST_BYTES = 16
+#: Children of an inner node of the Merkle tree.
+FAN = 256
 SLICES = pa.schema([("slice", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("new", pa.list_(pa.binary())), ("ids", pa.list_(pa.binary()))])
 _SLICES_DDL = "slice long, doc_ids array<long>, counts array<int>, digests array<binary>, sizes array<int>, new array<binary>, ids array<binary>"
 CHUNKS = pa.schema([("digest", pa.binary()), ("ids", pa.binary())])
@@ -132,53 +138,83 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> Non
     ordered = recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "digests")
     # The parts are stored before they are summed up, so that a part keeps its documents if it is made again.
     parts = stored(ordered.withColumn("part", F.spark_partition_id()), "recipes")
-    totals = parts.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
-    # One row for each part: a bounded number.
-    bases = totals.select("part", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    within = Window.partitionBy("part").orderBy("doc_id", "digests", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    totals = stored(parts.groupBy("part").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents")), "totals")
+    # One row for each part: as many as tasks wrote recipes.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(b) for c, b in (("tokens", "base"), ("documents", "behind_all"))))
+    within = Window.partitionBy("part").orderBy("doc_id", "digests", "nth")
     placed = (
         parts.withColumn("nth", F.monotonically_increasing_id())
-        .join(F.broadcast(bases), "part")
-        .withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-        .withColumn("root", F.sha2(F.concat_ws(",", F.transform("digests", lambda d: F.hex(d))).cast("binary"), 256))
+        .join(small(bases, totals.count()), "part")
+        .withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("number", F.col("behind_all") + F.row_number().over(within) - 1)
+    )
+    placed.select("part", "number", "doc_id", "start", "n_tokens", "digests", "behind").sortWithinPartitions("part", "start").write.parquet(f"{folder}/recipes")
+
+    level, below = 0, _leaves(spark.read.parquet(f"{folder}/recipes"))
+    while level == 0 or below.count() > 1:
+        level += 1
+        _parents(below, level).write.parquet(f"{folder}/manifest/level={level}")
+        below = _level(spark, folder, level)
+    top = below.first()
+    width = 2 if max(vocabulary(path).strings) < 1 << 16 else 4
+    head = [(width, level, *((top["documents"], top["tokens"], top["hash"]) if top else (0, 0, "")))]
+    spark.createDataFrame(head, "width int, levels int, documents long, tokens long, root string").coalesce(1).write.parquet(f"{folder}/head")
+    spark.sql(f"DROP TABLE {name}")
+
+
+def _leaves(recipes: DataFrame) -> DataFrame:
+    """number, documents, tokens and hash of each recipe."""
+    told = F.concat_ws("|", "number", "doc_id", "start", "n_tokens", F.concat_ws(",", F.transform("digests", F.hex)), F.concat_ws(",", F.col("behind").cast("array<string>")))
+    return recipes.select("number", F.lit(1).cast("long").alias("documents"), F.col("n_tokens").alias("tokens"), F.sha2(told.cast("binary"), 256).alias("hash"))
+
+
+def _parents(below: DataFrame, level: int) -> DataFrame:
+    """number, documents, tokens and hash of the nodes above: each over at most FAN rows."""
+    grouped = below.groupBy(F.floor(F.col("number") / FAN).alias("above")).agg(
+        F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"), F.array_sort(F.collect_list(F.struct("number", "hash"))).alias("children")
     )
-    placed.select("part", "doc_id", "start", "n_tokens", "digests", "behind", "root").sortWithinPartitions("part", "start").write.parquet(f"{folder}/recipes")
-    _manifest(spark.read.parquet(f"{folder}/recipes")).write.parquet(f"{folder}/manifest")
+    told = F.concat_ws("|", F.lit(level), "documents", "tokens", F.concat_ws(",", F.col("children.number").cast("array<string>")), F.concat_ws(",", F.col("children.hash")))
+    return grouped.select(F.col("above").alias("number"), "documents", "tokens", F.sha2(told.cast("binary"), 256).alias("hash"))
 
 
-def _manifest(recipes: DataFrame) -> DataFrame:
-    """A row for each part. Its root is a sum of hashes of (start, root), which needs no part's documents together."""
-    leaf = F.xxhash64("start", "root").cast("decimal(38,0)")
-    return recipes.groupBy("part").agg(
-        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("documents"),
-        F.sum("n_tokens").alias("tokens"), F.sha2(F.sum(leaf).cast("string").cast("binary"), 256).alias("root"),
-    )
+def _level(spark: SparkSession, folder: str, level: int) -> DataFrame:
+    return spark.read.schema("number long, documents long, tokens long, hash string").parquet(f"{folder}/manifest/level={level}")
 
 
-def verified_recipes(spark: SparkSession, folder: str) -> DataFrame:
-    """The recipes; fails where a file's documents don't give the root in the manifest."""
-    recipes, manifest = spark.read.parquet(f"{folder}/recipes"), spark.read.parquet(f"{folder}/manifest")
-    wrong = _manifest(recipes).join(manifest, ["part", "documents", "tokens", "root"], "left_anti")
-    if wrong.take(1):
-        raise ValueError(f"recipes in {folder} do not match their manifest")
-    return recipes
+def verified_recipes(spark: SparkSession, folder: str):
+    """The recipes and the store's head; fails where a leaf, an inner node or the root isn't what is read."""
+    head = spark.read.schema("width int, levels int, documents long, tokens long, root string").parquet(f"{folder}/head").first()
+    recipes = spark.read.schema("part int, number long, doc_id long, start long, n_tokens long, digests array<binary>, behind array<long>").parquet(f"{folder}/recipes")
+    below = _leaves(recipes)
+    for level in range(1, head["levels"] + 1):
+        made, kept = _parents(below, level), _level(spark, folder, level)
+        differ = made.withColumn("s", F.lit(1)).unionByName(kept.withColumn("s", F.lit(-1))).groupBy("number", "documents", "tokens", "hash").agg(F.sum("s").alias("s"))
+        if differ.where("s <> 0").limit(1).count():
+            raise ValueError(f"level {level} of the manifest of {folder} does not match what is below it")
+        below = kept
+    top = below.limit(2).collect()
+    if [(r["documents"], r["tokens"], r["hash"]) for r in top] != ([(head["documents"], head["tokens"], head["root"])] if head["documents"] else []):
+        raise ValueError(f"the root of {folder} does not match its head")
+    return recipes, head
 
 
-def read_store(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
+def read_store(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids (little-endian unsigned 32-bit) of every document, rebuilt from its chunks.
 
-    A chunk that doesn't have its digest, or a document that doesn't have its root, fails the read.
+    A chunk that doesn't have its digest, or a recipe that isn't in the Merkle tree, fails the read.
     """
-    recipes, chunks = verified_recipes(spark, folder), spark.read.parquet(f"{folder}/chunks")
+    (recipes, head), chunks = verified_recipes(spark, folder), spark.read.parquet(f"{folder}/chunks")
+    width = head["width"]
     used = recipes.select("start", F.posexplode("digests").alias("pos", "digest")).join(chunks, "digest")
     gathered = used.groupBy("start").agg(F.collect_list(F.struct("pos", "ids")).alias("chunks"))
-    joined = recipes.select("doc_id", "start", "n_tokens", "digests").join(gathered, "start")
+    joined = recipes.select("doc_id", "start", "n_tokens", "digests").join(gathered, "start", "left")
 
     def rebuild(batches):
         for batch in batches:
             rows = {n: batch.column(n) for n in ("doc_id", "start", "n_tokens")} | {"ids": []}
             for n, wanted, found in zip(*(batch.column(c).to_pylist() for c in ("n_tokens", "digests", "chunks"))):
-                found = [c["ids"] for c in sorted(found, key=lambda c: c["pos"])]
+                found = [c["ids"] for c in sorted(found or (), key=lambda c: c["pos"])]
                 data = b"".join(found)
                 if [digest(c) for c in found] != wanted or len(data) != n * width:
                     raise ValueError("a document's chunks do not match its recipe")
@@ -215,31 +251,36 @@ def shifted(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     return crc
 
 
-def digests_read(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
+def digests_read(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 (of little-endian unsigned 32-bit ids) of every document, from the files.
 
     Every chunk is read back once, held against its digest and summed; documents put together their chunks' sums.
     """
-    recipes, chunks = verified_recipes(spark, folder), spark.read.parquet(f"{folder}/chunks")
+    (recipes, head), chunks = verified_recipes(spark, folder), spark.read.parquet(f"{folder}/chunks")
+    width = head["width"]
 
     def sums(batches):
         for batch in batches:
-            crcs, digests = [], batch.column("digest").to_pylist()
+            crcs, sizes, digests = [], [], batch.column("digest").to_pylist()
             for wanted, data in zip(digests, batch.column("ids").to_pylist()):
                 if digest(data) != wanted:
                     raise ValueError("a chunk does not match its digest")
                 crcs.append(zlib.crc32(np.frombuffer(data, f"<u{width}").astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(crcs, pa.int64())], ["digest", "crc"])
+                sizes.append(len(data) // width)
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(crcs, pa.int64()), pa.array(sizes, pa.int64())], ["digest", "crc", "size"])
 
     def part(batches):
         for batch in batches:
+            if batch.column("crc").null_count or not batch.column("size").equals(batch.column("wanted")):
+                raise ValueError("a document's chunks do not match its recipe")
             crc = shifted(np.asarray(batch.column("crc"), np.int64), 4 * np.asarray(batch.column("behind"), np.int64)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("start"), pa.array(crc)], ["start", "crc"])
 
-    summed = chunks.mapInArrow(sums, "digest binary, crc long")
-    used = recipes.select("start", F.explode(F.arrays_zip("digests", "behind")).alias("x")).select("start", F.col("x.digests").alias("digest"), F.col("x.behind").alias("behind"))
-    # A chunk that isn't found leaves a null, which fails in ``part``.
-    parts = used.join(summed, "digest", "left").select("start", "behind", "crc").mapInArrow(part, "start long, crc long")
+    summed = chunks.mapInArrow(sums, "digest binary, crc long, size long")
+    # A chunk's size is what is behind the chunk before it less what is behind itself.
+    sizes = F.transform("behind", lambda b, i: F.when(i == 0, F.col("n_tokens")).otherwise(F.get("behind", i - 1)) - b)
+    used = recipes.select("start", F.explode(F.arrays_zip(F.col("digests").alias("digest"), F.col("behind").alias("behind"), sizes.alias("wanted"))).alias("x")).select("start", "x.*")
+    parts = used.join(summed, "digest", "left").select("start", "behind", "wanted", "crc", "size").mapInArrow(part, "start long, crc long")
     found = parts.groupBy("start").agg(F.expr("bit_xor(crc)").alias("ids_crc32"))
     return recipes.select("doc_id", "start", "n_tokens").join(found, "start").select("doc_id", "start", "n_tokens", "ids_crc32")
 

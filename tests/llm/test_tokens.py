@@ -159,16 +159,26 @@ def test_store(spark, sf_dir, odd):
     assert content_store.read_store(spark, folder).where("doc_id = 11").count() == 2
 
 
-def test_store_detects_a_changed_chunk(spark, odd):
-    folder, path = shared_folder(spark, "store"), tokenizer_path("word_bpe_49k.json")
+@pytest.mark.parametrize("table,change,match", [
+    ("chunks", lambda t: t.withColumn("ids", F.expr("overlay(ids placing x'0909' from 1)")), "match"),
+    ("chunks", lambda t: t.where("digest <> (select max(digest) from chunks_seen)"), "do not match"),
+    ("recipes", lambda t: t.withColumn("digests", F.when(F.col("doc_id") == 8, F.reverse("digests")).otherwise(F.col("digests"))), "level 1"),
+    ("recipes", lambda t: t.withColumn("doc_id", F.when(F.col("doc_id") == 5, 6).when(F.col("doc_id") == 6, 5).otherwise(F.col("doc_id"))), "level 1"),
+    ("recipes", lambda t: t.where("doc_id <> 8"), "level 1"),
+    ("recipes", lambda t: t.withColumn("start", F.col("start") + 1), "level 1"),
+    ("manifest", lambda t: t.withColumn("tokens", F.when(F.col("level") == 1, F.col("tokens") + 1).otherwise(F.col("tokens"))), "level 1"),
+    ("manifest", lambda t: t.withColumn("hash", F.when(F.col("level") == 2, F.reverse("hash")).otherwise(F.col("hash"))), "level 2"),
+    ("head", lambda t: t.withColumn("root", F.reverse("root")), "root"),
+])
+def test_store_refuses_what_was_changed(spark, odd, monkeypatch, table, change, match):
+    monkeypatch.setattr(content_store, "FAN", 4)
+    folder, other, path = shared_folder(spark, "store"), shared_folder(spark, "store"), tokenizer_path("word_bpe_49k.json")
     content_store.write_store(odd, path, folder)
-    chunks = spark.read.parquet(f"{folder}/chunks").withColumn("ids", F.expr("overlay(ids placing x'0909' from 1)")).cache()
-    chunks.count()
-    other = shared_folder(spark, "store")
-    spark.read.parquet(f"{folder}/recipes").write.parquet(f"{other}/recipes")
-    spark.read.parquet(f"{folder}/manifest").write.parquet(f"{other}/manifest")
-    chunks.write.parquet(f"{other}/chunks")
-    with pytest.raises(Exception, match="do not match"):
-        content_store.read_store(spark, other).collect()
-    with pytest.raises(Exception, match="does not match"):
-        content_store.digests_read(spark, other).collect()
+    spark.read.parquet(f"{folder}/chunks").createOrReplaceTempView("chunks_seen")
+    for name in ("chunks", "recipes", "manifest", "head"):
+        t = spark.read.parquet(f"{folder}/{name}")
+        t = change(t) if name == table else t
+        (t.write.partitionBy("level") if name == "manifest" else t.write).parquet(f"{other}/{name}")
+    for read in (content_store.read_store, content_store.digests_read):
+        with pytest.raises(Exception, match=match):
+            read(spark, other).collect()
