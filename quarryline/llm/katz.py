@@ -17,6 +17,8 @@ Tables in the model's folder: ``counts<n>`` and ``backoff<n>``, partitioned by b
 and, for each, the count, or the denominator and alpha of a history. Two n-grams of one 64-bit hash would share
 their count.
 
+Words are known by 64-bit hashes too. Counts have 64 bits, weights and sums double precision.
+
 Defined results: null text is the empty text (one end token); rows without doc_id are left out; repeated rows
 are learned and scored each; extra columns are ignored; with no training rows N = V = 0 and every token is
 unknown, with probability one; an empty table gives no rows.
@@ -33,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import SLICE_BYTES, crc_remainder, documents, mix, shared_folder, slices, texts, to_batches, word_hashes
+from quarryline.llm.common import SLICE_BYTES, crc_remainder, documents, mix, shared_folder, slices, stored, texts, to_batches, word_hashes
 
 #: Highest order; counts up to TRUSTED are discounted; bytes of text of a slice and, about, of a bucket.
 ORDER, TRUSTED = 2, 5
@@ -179,13 +181,13 @@ class Slice:
 
     def probabilities(self, order: int, model: dict) -> np.ndarray:
         """p of each n-gram of the given order: the lower order first, then seen ones and backed-off ones."""
-        (count,) = self.answer("counts1", self.keys[0], "<u4")
+        (count,) = self.answer("counts1", self.keys[0], "<u8")
         p = np.where(count > 0, model["d"][1][np.minimum(count, TRUSTED + 1)] * count / model["denominator"], model["unknown"])
         for n in range(2, order + 1):
-            count, _ = self.answer(f"counts{n}", self.keys[n - 1], "<u4", "u1")
-            below, alpha = self.answer(f"backoff{n}", self.histories(n), "<u4", "<f4")
+            count, _ = self.answer(f"counts{n}", self.keys[n - 1], "<u8", "u1")
+            below, alpha = self.answer(f"backoff{n}", self.histories(n), "<u8", "<f8")
             h = self.history[n - 1]
-            p = np.where(count > 0, model["d"][n][np.minimum(count, TRUSTED + 1)] * count / np.maximum(below[h], 1), alpha[h].astype(np.float64) * p[self.shorter[n - 1]])
+            p = np.where(count > 0, model["d"][n][np.minimum(count, TRUSTED + 1)] * count / np.maximum(below[h], 1), alpha[h] * p[self.shorter[n - 1]])
         return p
 
 
@@ -193,21 +195,22 @@ def _sum_counts(buckets_done: pa.Table):
     """All slices' counts of a bucket: the table's row (slice -1), and for each slice the totals and whether it owns the n-gram."""
     rows = sorted(buckets_done.to_pylist(), key=lambda r: r["slice"])
     parts = [unpack_keys(r["keys"]) for r in rows]
-    counts = np.concatenate([unpack(r["numbers"], len(p), "<u4")[0] for r, p in zip(rows, parts)])
+    counts = np.concatenate([unpack(r["numbers"], len(p), "<u8")[0] for r, p in zip(rows, parts)])
     keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-    total = np.bincount(inverse, counts).astype(np.int64)
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, inverse, counts.astype(np.int64))
     asked = np.flatnonzero(counts > 0)[::-1]
     owner = np.full(len(keys), -1)
     owner[inverse[asked]] = asked  # the first that counted any stays
     owned = (owner[inverse] == np.arange(len(inverse))).astype("u1")
     seen = total > 0
     met = np.bincount(np.minimum(total[seen], TRUSTED + 2), minlength=TRUSTED + 3)[1 : TRUSTED + 2]
-    out = [(-1, pack_keys(keys[seen]), pack(total[seen].astype("<u4")), [int(seen.sum()), int(total.sum()), *met.tolist()])]
+    out = [(-1, pack_keys(keys[seen]), pack(total[seen].astype("<u8")), [int(seen.sum()), int(total.sum()), *met.tolist()])]
     at = 0
     for r, part in zip(rows, parts):
         own = slice(at, at + len(part))
         at += len(part)
-        out.append((r["slice"], None, pack(total[inverse[own]].astype("<u4"), owned[own]), None))
+        out.append((r["slice"], None, pack(total[inverse[own]].astype("<u8"), owned[own]), None))
     return out
 
 
@@ -216,7 +219,7 @@ def _sum_histories(buckets_done: pa.Table):
     rows = sorted(buckets_done.to_pylist(), key=lambda r: r["slice"])
     parts = [unpack_keys(r["keys"]) for r in rows]
     split = [len(p) for p in parts]
-    numbers = [unpack(r["numbers"], n, "<u4", "<f8", "<f8") for r, n in zip(rows, split)]
+    numbers = [unpack(r["numbers"], n, "<u8", "<f8", "<f8") for r, n in zip(rows, split)]
     keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
     count, discounted, lower = (np.bincount(inverse, np.concatenate(x)) for x in zip(*numbers))
     whole = count - discounted <= 1e-9 * np.maximum(count, 1)  # nothing left over: one count is set apart
@@ -224,12 +227,12 @@ def _sum_histories(buckets_done: pa.Table):
     with np.errstate(all="ignore"):
         alpha = np.where(count > 0, (below - discounted) / below / np.maximum(1 - lower, 1e-12), 1.0)
     below = np.where(count > 0, below, 1)
-    out = [(-1, pack_keys(keys), pack(below.astype("<u4"), alpha.astype("<f8")), None)]
+    out = [(-1, pack_keys(keys), pack(below.astype("<u8"), alpha.astype("<f8")), None)]
     at = 0
     for r, n in zip(rows, split):
         own = inverse[at : at + n]
         at += n
-        out.append((r["slice"], None, pack(below[own].astype("<u4"), alpha[own].astype("<f4")), None))
+        out.append((r["slice"], None, pack(below[own].astype("<u8"), alpha[own].astype("<f8")), None))
     return out
 
 
@@ -255,7 +258,8 @@ def train_and_score(docs: DataFrame, modulus: int, remainder: int, order: int =
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << max(4, (size // BUCKET).bit_length())
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SLICE + 1)
-    cut = _slices(docs, modulus, remainder, f"katz_{uuid.uuid4().hex}", parts)
+    name = f"katz_{uuid.uuid4().hex}"
+    cut = _slices(docs, modulus, remainder, name, parts)
     answers: list[DataFrame] = []
     model: dict = {"d": {}}
 
@@ -284,7 +288,7 @@ def train_and_score(docs: DataFrame, modulus: int, remainder: int, order: int =
     for n in range(1, order + 1):
         def ask(row, found, n=n):
             s = Slice(row, n, buckets, found)
-            yield from s.deal(s.keys[n - 1], s.counts[n - 1].astype("<u4"))
+            yield from s.deal(s.keys[n - 1], s.counts[n - 1].astype("<u8"))
 
         # Counting needs no answers, so the slices are read alone.
         held, answers[:] = list(answers), []
@@ -306,17 +310,17 @@ def train_and_score(docs: DataFrame, modulus: int, remainder: int, order: int =
         def weigh(row, found, n=n):
             s = Slice(row, n, buckets, found)
             lower = s.probabilities(n - 1, model)[s.shorter[n - 1]]
-            count, own = s.answer(f"counts{n}", s.keys[n - 1], "<u4", "u1")
+            count, own = s.answer(f"counts{n}", s.keys[n - 1], "<u8", "u1")
             count = count * (own > 0)
             size, h = len(s.histories(n)), s.history[n - 1]
             sums = (np.bincount(h, w, minlength=size) for w in (count, count * model["d"][n][np.minimum(count, TRUSTED + 1)], lower * (count > 0)))
-            yield from s.deal(s.histories(n), *(x.astype(t) for x, t in zip(sums, ("<u4", "<f8", "<f8"))))
+            yield from s.deal(s.histories(n), *(x.astype(t) for x, t in zip(sums, ("<u8", "<f8", "<f8"))))
 
         keep(_tally(over_slices(weigh, _SENT_DDL), _sum_histories, f"{folder}/backoff{n}"), f"backoff{n}")
 
     def score(row, found):
         s = Slice(row, order, buckets, found)
-        (count,) = s.answer("counts1", s.keys[0], "<u4")
+        (count,) = s.answer("counts1", s.keys[0], "<u8")
         stream = s.at[0]
         add = lambda x: np.add.reduceat(x, s.begins)
         base = np.log10((count + 1.0) / (model["N"] + model["V"] + 1))
@@ -326,7 +330,11 @@ def train_and_score(docs: DataFrame, modulus: int, remainder: int, order: int =
             "train_tokens": np.full(len(s.doc_ids), model["N"]), "base_score": add(base[stream]), "score": add(logs[s.at[order - 1]]),
         }, SCORES)
 
-    return over_slices(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = over_slices(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    # Stored, so that the slices can go; the model's tables stay.
+    scored = stored(scored, "scores")
+    spark.sql(f"DROP TABLE {name}")
+    return scored
 
 
 def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

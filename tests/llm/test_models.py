@@ -77,7 +77,7 @@ def test_katz_is_the_plain_recursion(spark):
         assert sum(p2(h, w) for w in [*one, "<unknown>"]) == pytest.approx(1)
     got = {r.doc_id: r.score for r in katz.train_and_score(spark.createDataFrame(texts, "doc_id long, text string"), 7, 2).collect()}
     for i, t in rows:
-        assert got[i] == pytest.approx(sum(math.log10(p2(h, w)) for h, w in zip(["<s>", *t], t)), rel=1e-5)
+        assert got[i] == pytest.approx(sum(math.log10(p2(h, w)) for h, w in zip(["<s>", *t], t)), rel=1e-9)
 
 
 def test_language(spark, sf_dir, odd):
