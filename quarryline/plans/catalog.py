@@ -11,7 +11,7 @@ from quarryline.operators import intel as i
 from quarryline.operators import report as r
 from quarryline.sources import views as v
 
-FLAGSHIP = "baseline_drift"
+FLAGSHIP = "periodic_report"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 

@@ -48,6 +48,25 @@ VIEW_SQL = {
             SELECT p_partkey, 'nvd' AS source, p_size AS published, NULL::BIGINT AS epss, FALSE AS kev FROM part WHERE p_partkey % 7 <> 0
             UNION ALL SELECT p_partkey, 'kev', p_size + 1, NULL, TRUE FROM part WHERE p_partkey % 9 = 0
             UNION ALL SELECT p_partkey, 'epss', NULL, p_partkey * 31 % 100, FALSE FROM part WHERE p_partkey % 2 = 0)""",
+    "incident": """
+        SELECT story_id, story_version, customer_id, sensor, kind, window_start, window_start + INTERVAL 1 HOUR * (1 + hours) AS window_end, received_at FROM (
+            SELECT o_orderkey AS story_id, 'v1' AS story_version, o_custkey % 5 AS customer_id, o_custkey % 7 AS sensor, CASE WHEN o_orderkey % 3 = 0 THEN 'curated' ELSE 'auto_correlated' END AS kind,
+                   TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (24 * (o_orderkey % 30) + o_custkey % 24) AS window_start, o_custkey % 30 AS hours, TIMESTAMP '2024-02-01' AS received_at FROM orders
+            UNION ALL
+            SELECT o_orderkey, 'v2', o_custkey % 5, o_custkey % 7, 'auto_correlated', TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (24 * (o_orderkey % 30) + o_custkey % 24 + 6), o_custkey % 30, TIMESTAMP '2024-02-01 06:00:00'
+            FROM orders WHERE o_orderkey % 4 = 0)""",
+    "incident_member": """
+        SELECT l_orderkey AS story_id, 'v1' AS story_version, l_partkey AS member_key FROM lineitem
+        UNION ALL SELECT l_orderkey, 'v2', l_partkey FROM lineitem WHERE l_orderkey % 4 = 0 AND l_linenumber % 2 = 1""",
+    "story_result": """
+        SELECT *, CASE WHEN s = 3 AND l >= 2 THEN 'CRITICAL' WHEN (s = 3 AND l = 1) OR (s = 2 AND l >= 2) THEN 'HIGH'
+                       WHEN (s = 3 AND l = 0) OR (s = 2 AND l = 1) OR (s = 1 AND l >= 2) THEN 'MEDIUM' ELSE 'LOW' END AS tier
+        FROM (SELECT *, (CASE WHEN severity >= 40 THEN 1 ELSE 0 END + CASE WHEN severity >= 60 THEN 1 ELSE 0 END + CASE WHEN severity >= 80 THEN 1 ELSE 0 END) AS s,
+                     (CASE WHEN likelihood >= 40 THEN 1 ELSE 0 END + CASE WHEN likelihood >= 60 THEN 1 ELSE 0 END + CASE WHEN likelihood >= 80 THEN 1 ELSE 0 END) AS l
+              FROM (SELECT o_orderkey AS story_id, 1 AS generation, 'm' || (o_orderkey % 3) AS model, o_orderkey % 5 = 0 AS superseded, o_orderkey * 31 % 100 AS severity, o_custkey * 43 % 100 AS likelihood,
+                           o_orderkey % 6 AS tag_a, o_custkey % 5 AS tag_b, 'CVE-2020-' || (1000 + o_orderkey % 50) AS cve FROM orders
+                    UNION ALL SELECT o_orderkey, 2, 'm' || (o_orderkey % 3), FALSE, o_orderkey * 47 % 100, o_custkey * 61 % 100, o_orderkey % 6, o_custkey % 5, 'CVE-2020-' || (1000 + o_orderkey % 50) FROM orders WHERE o_orderkey % 5 = 0
+                    UNION ALL SELECT o_orderkey, 1, 'm1', FALSE, o_orderkey * 29 % 100, o_custkey * 71 % 100, o_orderkey % 6, o_custkey % 5, 'CVE-2020-' || (1000 + o_orderkey % 50) FROM orders WHERE o_orderkey % 3 = 0))""",
 }
 
 
@@ -137,3 +156,39 @@ def cve(spark: SparkSession, sf_dir: str) -> DataFrame:
         struct('epss' AS source, CAST(NULL AS INT) AS published, p_partkey * 31 % 100 AS epss, false AS kev, p_partkey % 2 = 0 AS there)))""")).where("there")
     name = F.concat(F.lit("CVE-"), (2015 + k % 10).cast("string"), F.lit("-"), (10000 + k).cast("string"))
     return rows.select(name.alias("cve"), "source", "published", "epss", "kev")
+
+
+def incident(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versioned stories in the events' month: a second version of every fourth, six hours later."""
+    o = table(spark, sf_dir, "orders")
+    second = F.col("version") == 2
+    rows = o.withColumn("version", F.explode(F.when(F.col("o_orderkey") % 4 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    hours = 24 * (F.col("o_orderkey") % 30) + F.col("o_custkey") % 24 + F.when(second, 6).otherwise(0)
+    start = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=hours.cast("int"))
+    rows = rows.withColumn("window_start", start).withColumn("window_end", F.col("window_start") + F.make_dt_interval(hours=(1 + F.col("o_custkey") % 30).cast("int")))
+    return rows.select(
+        F.col("o_orderkey").alias("story_id"), F.when(second, "v2").otherwise("v1").alias("story_version"), (F.col("o_custkey") % 5).alias("customer_id"), (F.col("o_custkey") % 7).alias("sensor"),
+        F.when((F.col("o_orderkey") % 3 == 0) & ~second, "curated").otherwise("auto_correlated").alias("kind"), "window_start", "window_end",
+        F.when(second, F.lit("2024-02-01 06:00:00")).otherwise(F.lit("2024-02-01")).cast("timestamp_ntz").alias("received_at"),
+    )
+
+
+def incident_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of each version of an incident."""
+    i = table(spark, sf_dir, "lineitem")
+    again = (F.col("l_orderkey") % 4 == 0) & (F.col("l_linenumber") % 2 == 1)
+    versions = F.when(again, F.array(F.lit("v1"), F.lit("v2"))).otherwise(F.array(F.lit("v1")))
+    return i.select(F.col("l_orderkey").alias("story_id"), F.explode(versions).alias("story_version"), F.col("l_partkey").alias("member_key"))
+
+
+def story_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of incidents: generations of one model, and for every third a second model's."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select("o_orderkey", "o_custkey", F.expr("""inline(filter(array(
+        struct(1 AS generation, concat('m', o_orderkey % 3) AS model, o_orderkey % 5 = 0 AS superseded, o_orderkey * 31 % 100 AS severity, o_custkey * 43 % 100 AS likelihood, true AS there),
+        struct(2 AS generation, concat('m', o_orderkey % 3) AS model, false AS superseded, o_orderkey * 47 % 100 AS severity, o_custkey * 61 % 100 AS likelihood, o_orderkey % 5 = 0 AS there),
+        struct(1 AS generation, 'm1' AS model, false AS superseded, o_orderkey * 29 % 100 AS severity, o_custkey * 71 % 100 AS likelihood, o_orderkey % 3 = 0 AS there)), x -> x.there))"""))
+    tag = lambda c, k: F.get(F.array(*map(F.lit, TECHNIQUES)), (F.col(c) % k).cast("int"))
+    cve_id = F.concat(F.lit("CVE-2020-"), (1000 + F.col("o_orderkey") % 50).cast("string"))
+    rows = rows.select(F.col("o_orderkey").alias("story_id"), "generation", "model", "superseded", "severity", "likelihood", F.array(tag("o_orderkey", 6), tag("o_custkey", 5)).alias("tags"), cve_id.alias("cve"))
+    return rows.withColumn("tier", tier_of(F.col("severity"), F.col("likelihood")))
