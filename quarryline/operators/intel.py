@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.semantics import COVERAGE_RANK
 
-IPV4 = r"\b(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}\b"
+#: The patterns of addresses, mail addresses and file hashes.
+IPV4 = r"\b(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}\b"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 HEX = r"\b(?:[0-9a-fA-F]{64}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})\b"
 
@@ -82,12 +83,55 @@ def cve_pivot(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("cve").agg(F.coalesce(of("nvd", "published"), of("kev", "published")).alias("published"), of("epss", "epss").alias("epss"), has("kev").alias("kev"), sources.alias("sources"))
 
 
-def cve_landscape(pivoted: DataFrame, least_epss: int, cap: int) -> DataFrame:
-    """Known exploited ones first, then by score, recency and id."""
+def cve_landscape(pivoted: DataFrame, least_epss: int, cap: int, since: int | None = None) -> DataFrame:
+    """Known exploited or likely ones, published since a day if one is given: exploited ones first, then by score, recency and id."""
     rows = pivoted.where(F.col("kev") | (F.col("epss") >= least_epss))
+    rows = rows if since is None else rows.where(F.col("published") >= since)
     return rows.orderBy(F.desc("kev"), F.desc_nulls_last("epss"), F.desc_nulls_last("published"), "cve").limit(cap).select("cve", "kev", "epss", "published")
 
 
+def answered_only(catalog: DataFrame, answered: list[str]) -> DataFrame:
+    """The catalog's rows of the sources that answered: what a record is put together from."""
+    return catalog.where(F.col("source").isin(answered))
+
+
+def restricted(pivoted: DataFrame, enabled: list[str]) -> DataFrame:
+    """Records with only what enabled sources say; those of no enabled source go."""
+    kept = F.filter(F.split("sources", ","), lambda x: x.isin(enabled))
+    on = lambda source: F.array_contains(kept, F.lit(source))
+    rows = pivoted.withColumns({"epss": F.when(on("epss"), F.col("epss")), "kev": F.col("kev") & on("kev"), "sources": F.array_join(kept, ",")})
+    return rows.where("sources <> ''")
+
+
+def validate_refs(refs: DataFrame, pivoted: DataFrame, consulted: DataFrame, enabled: list[str]) -> DataFrame:
+    """Each subject's different references (subject, ref) and why one is dropped: invalid_format, could_not_consult (its subject's lookup failed), not_in_catalog, source_disabled; else kept."""
+    normal = F.upper(F.trim("ref"))
+    rows = refs.withColumn("cve", F.when(normal.rlike(r"^CVE-\d{4}-\d{4,}$"), normal)).withColumn("shown", F.coalesce("cve", "ref")).select("subject", "cve", "shown").distinct()
+    known = pivoted.select("cve", F.arrays_overlap(F.split("sources", ","), F.array(*map(F.lit, enabled))).alias("enabled"))
+    rows = rows.join(known, "cve", "left").join(consulted.select("subject", "answered"), "subject", "left")
+    reason = F.when(F.col("cve").isNull(), "invalid_format").when(~F.coalesce("answered", F.lit(False)), "could_not_consult").when(F.col("enabled").isNull(), "not_in_catalog").when(~F.col("enabled"), "source_disabled").otherwise("kept")
+    return rows.select("subject", F.col("shown").alias("ref"), reason.alias("reason"))
+
+
+def degraded(status, failed):
+    """A status after a failed preparation: complete and partial become unknown, the others stay."""
+    return F.when(failed & status.isin("complete", "partial"), "unknown").otherwise(status)
+
+
+def row_state(refs, status, tier):
+    """What is shown of a result's vulnerabilities: absent, chips, novelty (none, fully checked, high tier), irrelevant, could_not_verify."""
+    significant = tier.isin("CRITICAL", "HIGH")
+    return F.when(status.isNull(), "absent").when(refs > 0, "chips").when((status == "complete") & significant, "novelty").when(status == "complete", "irrelevant").otherwise("could_not_verify")
+
+
+def payload_text(score, kev, epss, percentile, in_the_wild):
+    """The line of a vulnerability: what is known, each with its source. Labels and their order."""
+    parts = [F.when(score.isNotNull(), F.concat(F.lit("CVSS "), score.cast("string"), F.lit(" [NVD]"))), F.when(kev, "KEV [CISA]"),
+             F.when(epss.isNotNull(), F.concat(F.lit("EPSS "), epss.cast("string"), F.lit(" / p"), F.round(percentile * 100).cast("int").cast("string"), F.lit(" [FIRST]"))),
+             F.when(in_the_wild & ~F.coalesce(kev, F.lit(False)), "In the wild [CISA]")]
+    return F.concat_ws(" \u00b7 ", *parts)
+
+
 def cve_validate(refs: DataFrame, pivoted: DataFrame) -> DataFrame:
     """Each reference's normal form and why it is dropped, if it is."""
     normal = F.upper(F.trim("ref"))

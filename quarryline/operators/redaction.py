@@ -1,7 +1,9 @@
 """Redaction of personal data to tokens, with a map of each scope's values, and its way back.
 
 A scope (an event, say) is a row: its text and its map from values to tokens. All of it stays in built-in expressions.
-Null texts stay null and leave the map as it is.
+Null texts stay null and leave the map as it is; a null map is an empty one. A map that gives one value two tokens can't
+be, as values are its keys; one that gives two values one token is not injective: ``conflicts`` lists such rows, and restoring
+leaves their shared tokens as they are.
 """
 
 from __future__ import annotations
@@ -13,10 +15,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions import network
 from quarryline.operators.intel import EMAIL, IPV4, ip_number, is_private
 
+#: The patterns of hardware addresses and of what may be an IPv6 address; its grammar is tested after.
 MAC = r"\b[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}\b"
-IPV6 = r"(?:[0-9a-fA-F]{1,4}:){1,7}(?::?[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4}){0,6}|:)"
+IPV6 = r"(?<![A-Za-z0-9:.])[A-Fa-f0-9]{0,4}(?::[A-Fa-f0-9]{0,4}){2,}(?![A-Za-z0-9:.])"
 DOMAIN = r"\b(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}\b"
 #: The form of tokens, by scope.
 TOKEN = r"<<REDACTED_(IP|EMAIL|MAC|DOMAIN)_(\d+)>>"
@@ -51,8 +55,11 @@ def _number(n: Column) -> Column:
     return F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))
 
 
-def sensitive(ranges: Sequence[tuple[int, int]] = (), domains: Sequence[str] = ()) -> list[tuple[str, str, Callable[[Column], Column]]]:
-    """The passes in order: kind, pattern, and which matches count. ``ranges`` are a customer's own IPv4 ranges (first, last)."""
+def sensitive(ranges: Sequence[tuple[int, int]] = (), domains: Sequence[str] = (), ranges6: Sequence[tuple[str, str]] = ()) -> list[tuple[str, str, Callable[[Column], Column]]]:
+    """The passes in order: kind, pattern, and which matches count.
+
+    ``ranges`` are a customer's own IPv4 ranges (first, last, as numbers), ``ranges6`` those of IPv6 (as 32 hexadecimal digits).
+    """
 
     def own4(m: Column) -> Column:
         number = ip_number(m)
@@ -69,17 +76,28 @@ def sensitive(ranges: Sequence[tuple[int, int]] = (), domains: Sequence[str] = (
         return out
 
     every = lambda m: F.lit(True)
-    own6 = lambda m: m.rlike(r"(?i)^(?:f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|::1$)")
+
+    def own6(m: Column) -> Column:
+        def test(digits: Column) -> Column:
+            out = network.private(digits)
+            for low, high in ranges6:
+                out = out | digits.between(low, high)
+            return F.coalesce(out, F.lit(False))
+
+        return network.let(network.ipv6_hex(m), test)
+
     return [("EMAIL", EMAIL, every), ("MAC", MAC, every), ("IP", IPV6, own6), ("IP", IPV4, own4)] + ([("DOMAIN", DOMAIN, owned)] if domains else [])
 
 
-def redact(rows: DataFrame, text: str = "text", known: str = "known", ranges: Sequence[tuple[int, int]] = (), domains: Sequence[str] = ()) -> DataFrame:
-    """Rows with ``text`` redacted and ``known`` (value to token) extended; a value met again keeps its token, counters go on."""
-    for kind, pattern, counts in sensitive(ranges, domains):
+def redact(rows: DataFrame, text: str = "text", known: str = "known", ranges: Sequence[tuple[int, int]] = (), domains: Sequence[str] = (), ranges6: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Rows with ``text`` redacted and ``known`` (value to token) extended; a value met again keeps its token, new ones are numbered on from the highest number of their kind."""
+    rows = rows.withColumn(known, F.coalesce(F.col(known), F.expr(EMPTY)))
+    for kind, pattern, counts in sensitive(ranges, domains, ranges6):
         prefix = f"<<REDACTED_{kind}_"
         rows = rows.withColumn("_found", matches(F.col(text), pattern))
         fresh = F.array_except(F.filter(F.array_distinct("_found"), counts), F.map_keys(known))
-        offset = F.size(F.filter(F.map_values(known), lambda t: t.startswith(prefix)))  # noqa: B023
+        numbers = F.transform(F.map_values(known), lambda t: F.regexp_extract(t, prefix + r"(\d+)>>$", 1).try_cast("int"))  # noqa: B023
+        offset = F.coalesce(F.array_max(numbers), F.lit(0))
         rows = rows.withColumns({"_fresh": fresh, "_offset": offset})
         token = F.transform("_fresh", lambda v, i: F.concat(F.lit(prefix), _number(F.col("_offset") + i + 1), F.lit(">>")))  # noqa: B023
         rows = rows.withColumn(known, F.map_concat(known, F.map_from_arrays("_fresh", token)))
@@ -89,14 +107,49 @@ def redact(rows: DataFrame, text: str = "text", known: str = "known", ranges: Se
 
 
 def restore(text: Column, known: Column) -> Column:
-    """Tokens turned back to their values; tokens that the map lacks stay."""
-    back = F.map_from_arrays(F.map_values(known), F.map_keys(known))
-    return replaced(text, TOKEN, lambda t: F.coalesce(F.try_element_at(back, t), t))
+    """Tokens turned back to their values; tokens that the map lacks, or gives to two values, stay."""
+
+    def backward(pairs: Column) -> Column:
+        lone = lambda tokens: F.filter(pairs, lambda e: F.size(F.filter(tokens, lambda t: t == e["value"])) == 1)
+        turned = lambda e: F.struct(e["value"].alias("key"), e["key"].alias("value"))
+        return network.let(F.transform(pairs, lambda e: e["value"]), lambda tokens: F.map_from_entries(F.transform(lone(tokens), turned)))
+
+    back = network.let(F.map_entries(F.coalesce(known, F.expr(EMPTY))), backward)
+    return network.let(F.struct(text.alias("t"), back.alias("b")), lambda s: replaced(s["t"], TOKEN, lambda t: F.coalesce(F.try_element_at(s["b"], t), t)))
+
+
+def conflicts(rows: DataFrame, key: str, known: str = "known") -> DataFrame:
+    """(key, token, values) of maps that give one token to several values: they can't be restored and are to be mended first."""
+    entries = rows.select(key, F.explode(F.map_entries(known)).alias("e")).groupBy(key, F.col("e.value").alias("token")).agg(F.count("*").alias("values"))
+    return entries.where("values > 1")
+
+
+def redact_again(rows: DataFrame, version: str, text: str = "text", known: str = "known", ranges: Sequence[tuple[int, int]] = (), domains: Sequence[str] = (), most_failures: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Rows of another policy version, restored and redacted under this one; and one row of counts: items, failed, stopped.
+
+    Items keep their number in the order of their key. A row whose map is not injective fails and stays as it is; the job counts as
+    stopped with more than ``most_failures`` of them. The new map starts from the old one, so values keep their tokens.
+    """
+    old = rows.where(F.col("version") != version)
+    pairs = F.coalesce(F.map_values(known), F.array().cast("array<string>"))
+    failed = F.size(F.array_distinct(pairs)) != F.size(pairs)
+    marked = old.withColumn("failed", failed)
+    restored = marked.withColumn(text, F.when(~F.col("failed"), restore(F.col(text), F.col(known))))
+    again = redact(restored.where("not failed"), text, known, ranges, domains).withColumn("version", F.lit(version))
+    counts = marked.agg(F.count("*").alias("items"), F.count_if("failed").alias("failed"))
+    return again.drop("failed"), counts.withColumn("stopped", F.col("failed") > most_failures)
+
+
+def allowed_tokens(maps: DataFrame, key: str, scope: str, index: str, known: str = "known") -> DataFrame:
+    """(key, tokens): the tokens of a wider scope that its members' maps allow, in order; ``index`` is a member's place in it."""
+    tokens = maps.select(key, F.explode(F.map_values(known)).alias("t"), index)
+    return tokens.select(key, to_scope(F.col("t"), scope, F.col(index)).alias("t")).groupBy(key).agg(F.array_sort(F.collect_set("t")).alias("tokens"))
 
 
 def verify_answer(rows: DataFrame, text: str = "text", known: str = "known", ranges: Sequence[tuple[int, int]] = (), domains: Sequence[str] = ()) -> DataFrame:
     """An answer's plain values: known ones become their token, others ``<<UNVERIFIED_KIND_NNN>>``, counted in ``unverified``."""
     total, met = F.lit(0), {}
+    rows = rows.withColumn(known, F.coalesce(F.col(known), F.expr(EMPTY)))
     for kind, pattern, counts in sensitive(ranges, domains):
         unknown = lambda m: counts(m) & F.try_element_at(F.col(known), m).isNull()  # noqa: E731, B023
         rows = rows.withColumn("_found", matches(F.col(text), pattern))

@@ -7,7 +7,7 @@ import tempfile
 import duckdb
 import pytest
 
-from quarryline.plans import catalog, further, periodic  # noqa: F401
+from quarryline.plans import catalog, further, periodic, threats  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 

@@ -25,7 +25,7 @@ def test_redaction_keeps_and_continues_tokens(spark):  # noqa: F811
     rows = spark.createDataFrame(texts, "id int, text string, known map<string,string>")
     out = redaction.redact(rows, ranges=[(134744072, 134744072)], domains=["own.test"])
     got = {r.id: r for r in out.collect()}
-    assert got[1].text == "<<REDACTED_EMAIL_002>> wrote to <<REDACTED_EMAIL_004>> and <<REDACTED_EMAIL_002>> from <<REDACTED_IP_001>>, <<REDACTED_IP_002>>, <<REDACTED_IP_003>>"
+    assert got[1].text == "<<REDACTED_EMAIL_005>> wrote to <<REDACTED_EMAIL_004>> and <<REDACTED_EMAIL_005>> from <<REDACTED_IP_001>>, <<REDACTED_IP_002>>, <<REDACTED_IP_003>>"
     assert got[2].text is None and got[2].known == {} and got[3].text == ""
     assert got[4].text == "mac <<REDACTED_MAC_001>> host <<REDACTED_IP_001>> on <<REDACTED_DOMAIN_001>>, not other.test; at 12:30:45"
     back = out.select("id", redaction.restore(F.col("text"), F.col("known")).alias("text"))
