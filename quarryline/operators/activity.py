@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.semantics import within
@@ -91,10 +91,11 @@ def backfill_plan(latest: DataFrame, live: DataFrame, model: str, cap: int) -> D
     """Newest first, each event's class; only those to analyse again count against the cap."""
     done = live.where(F.col("model") == model).select("sensor", "event_key", F.lit(True).alias("current"))
     rows = latest.join(done, ["sensor", "event_key"], "left").withColumn("actionable", F.col("current").isNull() & F.col("category").isNotNull())
-    order = Window.partitionBy("customer_id", "actionable").orderBy(F.desc("event_time"), "event_key")
-    nth = F.row_number().over(order)
-    kind = F.when(F.col("current"), "already_current").when(F.col("category").isNull(), "source_unavailable").when(nth <= cap, "reanalyze").otherwise("cap_excluded")
-    return rows.withColumn("class", kind).groupBy("customer_id", "class").agg(F.count("*").alias("n"))
+    # Newest first, the cap's rows are as many as there are, up to the cap: counts tell it, no customer's rows are ranked.
+    kind = F.when(F.col("current"), "already_current").when(F.col("category").isNull(), "source_unavailable").otherwise("reanalyze")
+    told = rows.withColumn("class", kind).groupBy("customer_id", "class").agg(F.count("*").alias("n"))
+    beyond = told.where((F.col("class") == "reanalyze") & (F.col("n") > cap)).select("customer_id", F.lit("cap_excluded").alias("class"), (F.col("n") - cap).alias("n"))
+    return told.withColumn("n", F.when(F.col("class") == "reanalyze", F.least("n", F.lit(cap))).otherwise(F.col("n"))).unionByName(beyond)
 
 
 def calendar(rollup: DataFrame, first: str, last: str, oldest: str, today: str) -> DataFrame:

@@ -65,6 +65,18 @@ def pinned(refs: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return found.join(whole, "report", "left_semi").drop("_found")
 
 
+def citing_reports(reports: DataFrame, order: Sequence[Column], **reference: object) -> DataFrame:
+    """Live reports whose ``refs`` hold the reference (field=value, ...), the first of each bucket in the given order."""
+    from quarryline.operators.workflow import contains_ref
+
+    return latest_by(reports.where(~F.col("superseded") & contains_ref(F.col("refs"), **reference)), ["bucket"], order)
+
+
+def policy_of_all(subjects: DataFrame, agreement: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``policy_agreement`` of every subject; those without any leaf stand on the baseline alone: baseline-only."""
+    return subjects.join(agreement, list(keys), "left").withColumn("state", F.coalesce("state", F.lit("baseline-only")))
+
+
 def policy_agreement(rows: DataFrame, keys: Sequence[str], order: str, version: str) -> DataFrame:
     """For each key ok, missing or mismatched over its rows' versions; the first offender in scan order decides.
 

@@ -14,20 +14,18 @@ def category_counts(latest: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def drift(latest: DataFrame, previous: str, start: str, end: str) -> DataFrame:
-    """Counts of both windows for each category in one pass, and the change in percent of the former (one at least)."""
+    """Counts of both windows for each category in one pass, and the change as a fraction of the former (one at least)."""
     now, before = within("event_time", start, end), within("event_time", previous, start)
     counts = latest.where(now | before).groupBy("category").agg(F.count_if(now).alias("current_n"), F.count_if(before).alias("previous_n"))
-    change = F.floor((F.col("current_n") - F.col("previous_n")) * 100 / F.greatest("previous_n", F.lit(1)))
-    return counts.withColumn("delta_percent", change.cast("long"))
+    return counts.withColumn("delta", (F.col("current_n") - F.col("previous_n")) / F.greatest("previous_n", F.lit(1)))
 
 
 def drift_scores(latest: DataFrame, previous: str, start: str, end: str) -> DataFrame:
-    """severity (percent, at most 100) and likelihood (100 if any category moved by over 30 %); 0 without a former period."""
-    d = drift(latest, previous, start, end).withColumn("moved", F.abs(F.col("current_n") - F.col("previous_n")))
+    """severity (largest change over all former events, at most 1) and likelihood (1 if any change is above 0.3); 0 without a former period."""
+    d = drift(latest, previous, start, end)
     total = F.coalesce(F.sum("previous_n"), F.lit(0))
-    severity = F.when(total == 0, 0).otherwise(F.least(F.lit(100), F.floor(F.max("moved") * 100 / F.greatest(total, F.lit(1)))))
-    noisy = F.max(F.when(F.col("moved") * 10 > 3 * F.greatest("previous_n", F.lit(1)), 100).otherwise(0))
-    return d.agg(severity.cast("long").alias("severity"), F.when(total == 0, 0).otherwise(noisy).cast("long").alias("likelihood"))
+    severity = F.when(total == 0, 0.0).otherwise(F.least(F.lit(1.0), F.max(F.abs(F.col("current_n") - F.col("previous_n"))) / F.greatest(total, F.lit(1))))
+    return d.agg(severity.alias("severity"), F.when((total > 0) & (F.max(F.abs("delta")) > 0.3), 1.0).otherwise(0.0).alias("likelihood"))
 
 
 def window_totals(latest: DataFrame, start: str, end: str) -> DataFrame:
@@ -110,7 +108,8 @@ def report_index(states: DataFrame, caps: dict[str, int]) -> DataFrame:
     """Of each period the newest buckets, as many as the period's cap."""
     order = Window.partitionBy("period").orderBy(F.desc("bucket"), "customer_id")
     cap = F.create_map(*(F.lit(x) for kv in caps.items() for x in kv))[F.col("period")]
-    return states.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= cap).select("period", "nth", "bucket", "customer_id")
+    most = max(caps.values(), default=0)  # as a literal, so that each task cuts its rows down before the shuffle
+    return states.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).where(F.col("nth") <= cap).select("period", "nth", "bucket", "customer_id")
 
 
 def newest_report(states: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.functions.semantics import admitted
+
 #: The units of the three calendar periods; tokens an event and a member cost a month; dollars a thousand tokens.
 PERIODS = {"DAILY": "day", "WEEKLY": "week", "MONTHLY": "month"}
 EVENT_TOKENS, MEMBER_TOKENS, DOLLARS = 12, 20_000, 0.01
@@ -81,7 +83,11 @@ def sticky_evidence(held: DataFrame, new: DataFrame) -> DataFrame:
 def supersede(results: DataFrame, new: DataFrame, keys: Sequence[str], at: Column) -> DataFrame:
     """Results with new rows appended as generation max + 1; the live row that one follows is stamped."""
     last = results.groupBy(*keys).agg(F.max("generation").alias("_last"))
-    added = new.join(last, list(keys), "left").select(*keys, "payload", (F.coalesce("_last", F.lit(0)) + 1).alias("generation"), F.lit(None).cast("timestamp_ntz").alias("superseded_at"))
+    # Of several new rows of a key each supersedes the one before, in the order of their payloads.
+    order = Window.partitionBy(*keys).orderBy("payload")
+    nth, more = F.row_number().over(order), F.lead(F.lit(True)).over(order)
+    added = new.select(*keys, "payload", nth.alias("_nth"), more.alias("_more")).join(last, list(keys), "left")
+    added = added.select(*keys, "payload", (F.coalesce("_last", F.lit(0)) + F.col("_nth")).alias("generation"), F.when(F.col("_more"), at).cast("timestamp_ntz").alias("superseded_at"))
     stamped = results.join(new.select(*keys).distinct().withColumn("_new", F.lit(True)), list(keys), "left")
     stamp = F.coalesce("superseded_at", F.when(F.col("_new"), at))
     return stamped.select(*keys, "payload", "generation", stamp.alias("superseded_at")).unionByName(added)
@@ -121,9 +127,9 @@ def work_tiers(verdicts: DataFrame, cap: int) -> DataFrame:
     """Events' tiers: A with a known hit; B if the run and its coverage are complete, up to ``cap`` a customer and day; else held."""
     kind = F.when(F.col("hit"), "A").when((F.col("status") == "complete") & (F.col("coverage") == "complete"), "B").otherwise("held")
     rows = verdicts.withColumn("tier", kind)
-    place = F.row_number().over(Window.partitionBy("customer_id", "day").orderBy("event_key"))
-    admitted = rows.where("tier = 'B'").withColumn("_n", place).withColumn("tier", F.when(F.col("_n") <= cap, "B").otherwise("held")).drop("_n")
-    return rows.where("tier <> 'B'").unionByName(admitted)
+    # Only the first rows of a customer and day are ranked together.
+    first = admitted(rows.where("tier = 'B'"), ["customer_id", "day"], ["event_key"], cap)
+    return rows.where("tier <> 'B'").unionByName(first.withColumn("tier", F.when(F.col("admitted"), "B").otherwise("held")).drop("admitted"))
 
 
 def kept_factors(factors: Column) -> Column:
@@ -167,9 +173,10 @@ def refresh_plan(variants: DataFrame, cap: int, most: int = 50) -> DataFrame:
     done = F.coalesce(F.col("generation") >= most, F.lit(False))
     before = F.when(F.col("archived"), "source_unavailable").when(queued, "already_queued").when(done, "capped").when(~F.col("drained"), "gated").otherwise("refreshable")
     rows = variants.withColumn("outcome", before)
-    nth = F.row_number().over(Window.partitionBy("subject", "outcome").orderBy(F.desc("bucket"), "variant"))
-    final = F.when(F.col("outcome") != "refreshable", F.col("outcome")).when(nth <= cap, "refreshed").otherwise("limited")
-    return rows.withColumn("outcome", final)
+    # Only the first rows of a subject are ranked together; the others are told by their last one.
+    marked = admitted(rows.withColumn("_open", F.col("outcome") == "refreshable").withColumn("_age", -F.unix_micros(F.col("bucket").cast("string").cast("timestamp"))), ["subject", "_open"], ["_age", "variant"], cap)
+    final = F.when(~F.col("_open"), F.col("outcome")).when(F.col("admitted"), "refreshed").otherwise("limited")
+    return marked.withColumn("outcome", final).drop("_open", "_age", "admitted")
 
 
 def unreferenced(maps: DataFrame, referents: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

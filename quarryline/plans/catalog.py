@@ -8,6 +8,7 @@ from quarryline.functions import semantics as s
 from quarryline.operators import activity as a
 from quarryline.operators import audit as u
 from quarryline.operators import intel as i
+from quarryline.operators import lineage as g
 from quarryline.operators import report as r
 from quarryline.sources import views as v
 
@@ -65,13 +66,13 @@ DRIFT = f"""SELECT category, count(*) FILTER (WHERE {IN_DAY}) AS current_n, coun
     WHERE event_time >= TIMESTAMP '{DAY_BEFORE}' AND event_time < TIMESTAMP '{DAY_AFTER}' GROUP BY category"""
 
 
-@query("baseline_drift", f"SELECT *, CAST(floor((current_n - previous_n) * 100.0 / greatest(previous_n, 1)) AS BIGINT) AS delta_percent FROM ({DRIFT})", "latest")
+@query("baseline_drift", f"SELECT *, (current_n - previous_n) / greatest(previous_n, 1) AS delta FROM ({DRIFT})", "latest")
 def _(spark, d):
     return r.drift(_latest(spark, d), DAY_BEFORE, DAY, DAY_AFTER)
 
 
-@query("drift_scores", f"""SELECT CAST(CASE WHEN sum(previous_n) = 0 THEN 0 ELSE least(100, floor(max(abs(current_n - previous_n)) * 100.0 / greatest(sum(previous_n), 1))) END AS BIGINT) AS severity,
-    CAST(CASE WHEN sum(previous_n) = 0 THEN 0 ELSE max(CASE WHEN abs(current_n - previous_n) * 10 > 3 * greatest(previous_n, 1) THEN 100 ELSE 0 END) END AS BIGINT) AS likelihood FROM ({DRIFT})""", "latest")
+@query("drift_scores", f"""SELECT CASE WHEN sum(previous_n) = 0 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, max(abs(current_n - previous_n)) / greatest(sum(previous_n), 1)) END AS severity,
+    CASE WHEN sum(previous_n) > 0 AND max(abs((current_n - previous_n) / greatest(previous_n, 1))) > 0.3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS likelihood FROM ({DRIFT})""", "latest")
 def _(spark, d):
     return r.drift_scores(_latest(spark, d), DAY_BEFORE, DAY, DAY_AFTER)
 
@@ -274,10 +275,13 @@ def _(spark, d):
     return r.neighbors(days.select("customer_id", "bucket"))
 
 
-@query("cited_by", """SELECT story_id, count(DISTINCT customer_id) AS customers, min(event_key) AS first_event FROM member JOIN latest ON event_key = member_key GROUP BY story_id""", "latest", "member")
+@query("cited_by", """SELECT report, bucket, generation FROM (SELECT l_orderkey AS report, l_orderkey % 40 AS bucket, l_orderkey % 6 AS generation, row_number() OVER (PARTITION BY l_orderkey % 40 ORDER BY l_orderkey % 6 DESC, l_orderkey) AS rn FROM lineitem
+    WHERE l_partkey % 10 = 3 AND l_linenumber % 2 = 1 AND l_orderkey % 5 > 0 GROUP BY l_orderkey) WHERE rn = 1""")
 def _(spark, d):
-    cited = v.member(spark, d).join(_latest(spark, d).withColumnRenamed("event_key", "member_key"), "member_key")
-    return cited.groupBy("story_id").agg(F.count_distinct("customer_id").alias("customers"), F.min("member_key").alias("first_event"))
+    # A report's references are an array of at most its own citations, as line numbers are.
+    refs = v.member(spark, d).groupBy("story_id").agg(F.collect_list(F.struct((F.col("member_key") % 10).alias("source"), (F.col("member_no") % 2).alias("kind"))).alias("refs"))
+    reports = refs.select(F.col("story_id").alias("report"), (F.col("story_id") % 40).alias("bucket"), (F.col("story_id") % 6).alias("generation"), (F.col("story_id") % 5 == 0).alias("superseded"), "refs")
+    return g.citing_reports(reports, [F.desc("generation"), F.asc("report")], source=3, kind=1).select("report", "bucket", "generation")
 
 
 A, B = "2024-01-15 00:00:00", "2024-01-15 12:00:00"
@@ -306,8 +310,8 @@ def _(spark, d):
 
 @query("audit_cooldown", f", {RECENT}, {ALERTS} SELECT * FROM alerts WHERE NOT (indicator = 'denials_ip' AND key IN ('1', '3'))", "audit")
 def _(spark, d):
-    earlier = spark.createDataFrame([("denials_ip", "1"), ("denials_ip", "3")], "indicator string, key string")
-    return u.fresh_alerts(u.all_alerts(v.audit(spark, d), A, B), earlier)
+    earlier = spark.createDataFrame([("denials_ip", "1", "2024-01-15 11:00:00"), ("denials_ip", "3", "2024-01-15 11:59:00"), ("denials_ip", "2", "2024-01-15 10:59:59")], "indicator string, key string, at string")
+    return u.fresh_alerts(u.all_alerts(v.audit(spark, d), A, B), earlier.withColumn("at", F.col("at").cast("timestamp_ntz")), B)
 
 
 @query("audit_search", f"SELECT id, actor_id, action, ip FROM audit WHERE action = 'report.read' AND logged_at >= TIMESTAMP '2024-01-10' AND logged_at <= TIMESTAMP '{DAY}' AND id < 1000000 ORDER BY id DESC LIMIT 50", "audit")
@@ -349,22 +353,22 @@ def _(spark, d):
     return i.cidr_match(_addresses(spark, d), feed).select("doc_id", "value", "source")
 
 
-MATCHES = "(SELECT user_id AS indicator, event_id % 4 AS source, event_id * 29 % 80 AS confidence, event_id % 97 = 0 AS negative FROM events WHERE event_id % 23 = 0)"
+MATCHES = "(SELECT user_id AS indicator, event_id % 4 AS source, event_id * 29 % 80 AS confidence, event_id % 97 = 0 AS negative FROM events)"
 
 
 @query("ioc_verdicts", f"""SELECT indicator, CASE WHEN bool_or(negative) THEN 'suppressed' WHEN max(confidence) FILTER (WHERE NOT negative) >= 70 OR count(DISTINCT source) FILTER (WHERE NOT negative) >= 2 THEN 'promoted' ELSE 'held' END AS verdict,
     count(DISTINCT source) FILTER (WHERE NOT negative) AS sources FROM {MATCHES} GROUP BY indicator""")
 def _(spark, d):
-    e = v.table(spark, d, "events").where("event_id % 23 = 0")
+    e = v.table(spark, d, "events")
     return i.judge(e.selectExpr("user_id AS indicator", "event_id % 4 AS source", "event_id * 29 % 80 AS confidence", "event_id % 97 = 0 AS negative"))
 
 
 COVERAGE = """(SELECT subject, count(*) FILTER (WHERE answered) AS answered_n, count(*) FILTER (WHERE answered AND age > 50) AS stale_n, count(*) FILTER (WHERE NOT answered) AS unavailable_n FROM (
-    SELECT user_id AS subject, event_id % 3 AS source, bool_or(event_id % 7 <> 0) AS answered, min(event_id % 60) FILTER (WHERE event_id % 7 <> 0) AS age FROM events WHERE event_id % 5 = 0 GROUP BY 1, 2) GROUP BY subject)"""
+    SELECT user_id AS subject, event_id % 3 AS source, bool_or(event_id % 7 <> 0) AS answered, min(event_id % 60) FILTER (WHERE event_id % 7 <> 0) AS age FROM events GROUP BY 1, 2) GROUP BY subject)"""
 
 
 def _coverage(spark, d):
-    e = v.table(spark, d, "events").where("event_id % 5 = 0")
+    e = v.table(spark, d, "events")
     return i.coverage(e.selectExpr("user_id AS subject", "event_id % 3 AS source", "event_id % 7 <> 0 AS answered", "event_id % 60 AS age"), 3, 50)
 
 
