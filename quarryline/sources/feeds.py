@@ -160,3 +160,125 @@ def vulnerability_pages(pages: DataFrame) -> DataFrame:
         name.alias("cve"), published.alias("published"), best["baseScore"].alias("score"), best["vectorString"].alias("vector"),
         F.coalesce(english, F.get(texts, F.lit(0))["value"]).alias("description"), F.array_distinct(F.filter(flat, lambda x: x.rlike(r"^CWE-\d+$"))).alias("weaknesses"),
     )
+
+
+#: Kinds of feed files and what parses each.
+KINDS = ("ip-blocklist", "urlhaus-csv", "urlhaus-payloads-csv", "spamhaus-drop", "spamhaus-drop-ndjson", "generic-list", "csv-column", "free-text", "misp-warninglist")
+
+
+def parse_feed(lines: DataFrame, kind: str, **options) -> DataFrame:
+    """Rows (entity, match_value, cidr) of a file's lines by its kind; ``options`` are those of the kind's parser (``entity`` for lists of one type)."""
+    none = lambda: F.lit(None).cast("string")
+    exact = lambda rows, entity: rows.select(entity.alias("entity"), F.col("indicator").alias("match_value"), none().alias("cidr"))
+    ranges = lambda rows: rows.select(F.lit("IP").alias("entity"), none().alias("match_value"), "cidr")
+    fixed = F.lit(options.pop("entity", "IP"))
+    if kind == "ip-blocklist":
+        rows = generic_list(lines, ("#",)).select(F.col("indicator"))
+        slash = F.contains("indicator", F.lit("/"))
+        return rows.select(F.lit("IP").alias("entity"), F.when(~slash, F.col("indicator")).alias("match_value"), F.when(slash, F.col("indicator")).alias("cidr"))
+    if kind == "urlhaus-csv":
+        return exact(url_rows(lines), F.col("entity"))
+    if kind == "urlhaus-payloads-csv":
+        return exact(payload_hashes(lines), F.lit("HASH"))
+    if kind == "spamhaus-drop":
+        return ranges(drop_ranges(lines))
+    if kind == "spamhaus-drop-ndjson":
+        return ranges(drop_ranges_json(lines))
+    if kind == "generic-list":
+        return exact(generic_list(lines, **options), fixed)
+    if kind == "csv-column":
+        return exact(csv_columns(lines, **options), F.col("entity"))
+    if kind == "free-text":
+        found = free_text_all(lines.select(F.lit(1).alias("k"), "value"), "k", "value", **options)
+        return exact(found.select("entity", "indicator").distinct(), F.col("entity"))
+    if kind == "misp-warninglist":
+        return warning_lists(lines).select(F.lit("IP").alias("entity"), F.col("ip").alias("match_value"), "cidr")
+    raise ValueError(f"unknown kind of feed: {kind}")
+
+
+def csv_columns(lines: DataFrame, header: Sequence[str] | None = None, n: int | None = None, static: Mapping[str, str] | None = None, typed: tuple[str, str, Mapping[str, str]] | None = None, shape: str | None = None, keep: Mapping[str, Sequence[str]] | None = None, delimiter: str = ",", comments: Sequence[str] = ("#",)) -> DataFrame:
+    """(entity, indicator) of a table's columns, in one of three ways.
+
+    ``static`` maps columns to entities; ``typed`` is (value column, type column, entities by type); ``shape`` is a column read as free
+    text. Columns are named by ``header``, whose line is passed over where it stands, else c0 to c<n-1>. ``keep`` lists allowed values.
+    """
+    if sum(x is not None for x in (static, typed, shape)) != 1:
+        raise ValueError("one of static, typed and shape is needed")
+    names = list(header) if header else [f"c{i}" for i in range(n or 1)]
+    rows = columns(lines.select(F.regexp_replace("value", "^﻿", "").alias("value")), len(names), comments, delimiter).toDF(*names)
+    rows = rows.where(~F.coalesce(F.lower(F.trim(F.col(names[0]))) == names[0].lower(), F.lit(False))) if header else rows
+    for column, allowed in (keep or {}).items():
+        rows = rows.where(F.col(column).isin(list(allowed)))
+    if static:
+        pairs = F.array(*(F.struct(F.lit(e).alias("entity"), F.trim(F.col(c)).alias("indicator")) for c, e in static.items()))
+        return rows.select(F.inline(pairs)).where("indicator <> ''").distinct()
+    if typed:
+        value, kind, kinds = typed
+        entity = F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv))[F.lower(F.col(kind))]
+        return rows.select(entity.alias("entity"), F.trim(F.col(value)).alias("indicator")).where("entity is not null and indicator <> ''").distinct()
+    return free_text_all(rows.select(F.lit(1).alias("k"), F.col(shape).alias("t")), "k", "t").select("entity", "indicator").distinct()
+
+
+#: Endings of file names, which are no domains.
+FILE_ENDINGS = ("exe", "dll", "doc", "docx", "xls", "xlsx", "pdf", "zip", "rar", "js", "vbs", "ps1", "php", "html", "txt")
+
+
+def free_text_all(rows: DataFrame, key: str, text: str, keep_line: str | None = None) -> DataFrame:
+    """``free_text`` with a last pass for domains: names that end in no file's ending, lower case, once each; ``keep_line`` is a pattern that texts must match."""
+    rows = rows.where(F.col(text).rlike(keep_line)) if keep_line else rows
+    left = F.col(text)
+    for pattern in (URL, HEX, IPV4):
+        left = F.regexp_replace(left, pattern, " ")
+    names = F.transform(F.regexp_extract_all(left, F.lit(r"\b(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}\b"), F.lit(0)), F.lower)
+    names = F.filter(names, lambda x: ~F.element_at(F.split(x, r"\."), -1).isin(list(FILE_ENDINGS)))
+    domains = rows.select(key, F.explode(F.array_distinct(names)).alias("indicator")).select(key, F.lit("DOMAIN").alias("entity"), "indicator")
+    return free_text(rows, key, text).unionByName(domains)
+
+
+def snapshot_rows(rows: DataFrame, source: str, polarity: str, overrides: DataFrame | None = None) -> DataFrame:
+    """A source's new snapshot (source, entity, match_value, cidr, polarity, hit_type, classification); overrides (match_value, hit_type, classification) win by row; negative rows have no hit type."""
+    own = rows.select(F.lit(source).alias("source"), "entity", "match_value", "cidr", F.lit(polarity).alias("polarity"), "hit_type", "classification")
+    if overrides is not None:
+        o = overrides.select("match_value", F.col("hit_type").alias("_h"), F.col("classification").alias("_c"))
+        own = own.join(o, "match_value", "left").withColumns({"hit_type": F.coalesce("_h", "hit_type"), "classification": F.coalesce("_c", "classification")}).drop("_h", "_c")
+    return own.withColumn("hit_type", F.when(F.col("polarity") == "positive", F.col("hit_type"))).select("source", "entity", "match_value", "cidr", "polarity", "hit_type", "classification")
+
+
+def source_policies(spark, policies: Sequence[tuple]) -> DataFrame:
+    """The registry of sources: (source, entities, polarity, max_age_hours, floor). A source given twice is an error."""
+    names = [p[0] for p in policies]
+    if len(set(names)) < len(names):
+        raise ValueError("a source is registered twice")
+    return spark.createDataFrame(list(policies), "source string, entities array<string>, polarity string, max_age_hours int, floor boolean")
+
+
+def relevant(policies: DataFrame, entity: str) -> DataFrame:
+    """Positive sources that a type of indicator is looked up in."""
+    return policies.where((F.col("polarity") == "positive") & F.array_contains("entities", entity)).select("source", "floor", "max_age_hours")
+
+
+def repository_rows(files: DataFrame, rules: Sequence[tuple[str, str]], entity: str = "DOMAIN") -> DataFrame:
+    """(path, group, campaign, indicator) of a vendor's file tree: files (path, content) by the first rule (pattern with one group, parser) that matches the path.
+
+    Parsers: ``list`` (a line each) or ``text`` (free text). ``campaign`` is the title of the README in the nearest folder above, as an
+    equi-join on the folders above each file. Repeated rows are one.
+    """
+    number = F.coalesce(*(F.when(F.col("path").rlike(p), F.lit(i)) for i, (p, _) in enumerate(rules)))
+    group = F.coalesce(*(F.when(F.col("path").rlike(p), F.regexp_extract("path", p, 1)) for p, _ in rules))
+    chosen = files.withColumn("rule", number).withColumn("group", group).where("rule is not null")
+    parser = F.get(F.array(*(F.lit(k) for _, k in rules)), F.col("rule"))
+    listed = chosen.where(parser == "list").select("path", "group", F.explode(F.split("content", "\n")).alias("line")).select("path", "group", F.trim("line").alias("indicator")).where("indicator <> '' and not startswith(indicator, '#')")
+    texts = chosen.where(parser == "text")
+    found = free_text_all(texts, "path", "content").join(texts.select("path", "group"), "path").where(F.col("entity") == entity).select("path", "group", "indicator")
+    readme = files.where(F.col("path").rlike(r"(?i)(^|/)readme\.md$")).select(F.regexp_replace("path", r"(?i)/?readme\.md$", "").alias("folder"), F.regexp_extract("content", r"(?m)^title:\s*(.+?)\s*$", 1).alias("title")).where("title <> ''")
+    parts = F.split(F.col("path"), "/")
+    folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    above = chosen.select("path", F.posexplode(folders).alias("depth", "folder")).join(readme, "folder").groupBy("path").agg(F.max_by("title", "depth").alias("campaign"))
+    return listed.unionByName(found).join(above, "path", "left").select("path", "group", "campaign", "indicator").distinct()
+
+
+def unparsed(lines: DataFrame, parsed: DataFrame, header: bool = False, filtered: bool = False) -> DataFrame:
+    """One row: whether there are data lines but no rows. A lone header line, or rows that a filter may have dropped, are no fault."""
+    some = content(lines, ("#", ";")).limit(2).agg(F.count("*").alias("data"))
+    least = 1 if header else 0
+    return some.crossJoin(parsed.limit(1).agg(F.count("*").alias("rows"))).select(((F.col("data") > least) & (F.col("rows") == 0) & F.lit(not filtered)).alias("unparseable"))
