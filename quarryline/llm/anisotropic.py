@@ -3,14 +3,17 @@
 A vector is a code of four bits for each pair of components. Codebooks and codes are chosen for a loss that
 weighs the residual along the vector (which moves high inner products) more than the residual across it. A
 query makes one table of 16 values for each code place; tables of two places are joined, so a byte of
-code is one look-up. The best ``keep`` of each group of codes are scored exactly on the original vectors, in
-double precision, in the same task; the k-th of these scores is a floor. Then every further vector whose residual
-lets it reach the floor is scored exactly too, so no vector of the k best is missed, however many share a code
-or lie close together; ``keep`` sets only how tight the floor is.
+code is one look-up.
+
+Vectors lie in cells around centres of the sample; a cell is cut into groups by hash, so that none gathers in one task. The search has two
+rounds. In the first a query scans the cell that promises most; the best ``keep`` of each group of codes are scored exactly on the original
+vectors, in double precision, in the same task, and the k-th score that is found in all is the query's floor. In the second it scans the
+cells whose covering radius lets them reach the floor, and every vector whose residual lets it reach the floor is scored exactly, so no
+vector of the k best is missed, however many share a code or lie close together; ``keep`` sets only how tight the first floor is. Where
+vectors form no clusters, radii exclude no cell, and each query scans all codes.
 
 Equal vectors are indexed once, with their vec_ids; of these the ``k + 1`` smallest can be in an answer.
-The codebooks are fitted on a bounded sample (``SAMPLE`` vectors by hash); every vector is indexed. Every group of
-codes is scanned for every block of queries; both are rows, joined on the group's number.
+Codebooks and centres are fitted on a bounded sample (``SAMPLE`` vectors by hash); every vector is indexed.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and vectors of another
 length than the commonest, take no part; repeated rows count each as candidates, but a repeated query row is asked once; a query id with
@@ -27,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import stored, to_batches
-from quarryline.llm.vectors import asked, best_of, collapsed, matrix, top_rows, valid_vectors
+from quarryline.llm.vectors import asked, best_of, collapsed, distances, matrix, to_balls, top_rows, unblocked, valid_vectors
 
-#: Bounds: rows to fit on, queries of a block, vectors of a group (about).
-SAMPLE, QUERIES, GROUP = 4096, 512, 16384
-GROUPS = pa.schema([("group", pa.int32()), ("ids", pa.binary()), ("owners", pa.binary()), ("vectors", pa.binary()), ("codes", pa.binary()), ("residuals", pa.binary())])
-BLOCKS = pa.schema([("query_ids", pa.binary()), ("query_keys", pa.binary()), ("queries", pa.binary())])
+#: Bounds: rows to fit on, queries of a block, vectors of a group, and cells (one for GROUP vectors, from LEAST to MOST).
+SAMPLE, QUERIES, GROUP, LEAST_CELLS, MOST_CELLS = 4096, 512, 16384, 12, 1024
+GROUPS = pa.schema([("cell", pa.int32()), ("radius", pa.float64()), ("ids", pa.binary()), ("owners", pa.binary()), ("vectors", pa.binary()), ("codes", pa.binary()), ("residuals", pa.binary())])
+BLOCKS = pa.schema([("cell", pa.int32()), ("query_ids", pa.binary()), ("query_keys", pa.binary()), ("queries", pa.binary()), ("thresholds", pa.binary())])
 FOUND = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -122,8 +125,8 @@ def tables(query: np.ndarray, q: Quantiser) -> tuple[np.ndarray, float, float]:
     return whole, scale / 255, float(low.sum())
 
 
-def scan(query_ids, queries, ids, owners, x, codes, residuals, q: Quantiser, k: int, keep: int):
-    """The k best rows of a group for each query: four-bit scan, a floor from the best ``keep``, exact scores of all that can reach it.
+def scan(query_ids, queries, floors, ids, owners, x, codes, residuals, q: Quantiser, k: int, keep: int):
+    """The k best rows of a group for each query: four-bit scan, exact scores of all that can reach its floor; without one, the best ``keep`` give it.
 
     ``ids`` are the rows' vec_ids by vector, ascending; ``owners`` the vectors' positions in them (one more than vectors).
     """
@@ -132,19 +135,21 @@ def scan(query_ids, queries, ids, owners, x, codes, residuals, q: Quantiser, k:
     largest = float(length.max())
     first, last = ids[owners[:-1]], ids[owners[1:] - 1]
     lone = first == last
-    for query_id, query in zip(query_ids.tolist(), queries):
+    for query_id, query, floor in zip(query_ids.tolist(), queries, floors.tolist()):
         table, step, base = tables(query, q)
         about = table[0].take(codes[0])
         for m in range(1, len(codes)):
             about += table[m].take(codes[m])
         # Vectors that only the query's own rows hold take no part.
         own = np.flatnonzero(lone & (first == query_id))
-        if len(about) > keep + len(own):
+        if floor > -np.inf or len(about) > keep + len(own):
             rated = about.astype(np.float64)
-            rated[own] = -np.inf
-            at = np.argpartition(rated, len(rated) - keep)[len(rated) - keep :]
-            sure = (x[at] * query).sum(axis=1)
-            floor = float(np.partition(sure, keep - k)[keep - k])
+            if floor == -np.inf:
+                rated[own] = -np.inf
+                at = np.argpartition(rated, len(rated) - keep)[len(rated) - keep :]
+                sure = (x[at] * query).sum(axis=1)
+                floor = float(np.partition(sure, keep - k)[keep - k])
+                rated[own] = about[own]
             # What a code stands for is along * x and a part across x, so its product is along * score, give or take
             # across * (the query's length across x); tables round by half a step a place, sums by far less than 1e-9.
             size = float((query**2).sum())
@@ -155,6 +160,8 @@ def scan(query_ids, queries, ids, owners, x, codes, residuals, q: Quantiser, k:
         else:
             at = np.setdiff1d(np.arange(len(about)), own)
         exact = (x[at] * query).sum(axis=1)
+        enough = exact >= floor - 1e-9 * float((query**2).sum()) ** 0.5 * largest
+        at, exact = at[enough], exact[enough]
         if len(exact) > k:
             held = np.flatnonzero(exact >= np.partition(exact, len(exact) - k)[len(exact) - k])
             at, exact = at[held], exact[held]
@@ -169,6 +176,18 @@ def scan(query_ids, queries, ids, owners, x, codes, residuals, q: Quantiser, k:
     return out_ids, out_scores
 
 
+def centres_of(sample: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
+    """Centres of cells: k-means on the sample, from different vectors of it."""
+    different = np.unique(sample, axis=0)
+    centres = different[np.random.default_rng(4).permutation(len(different))[:count]]
+    for _ in range(rounds):
+        near = distances(sample, centres).argmin(axis=1)
+        sums, sizes = np.zeros_like(centres), np.bincount(near, minlength=len(centres))
+        np.add.at(sums, near, sample)
+        centres = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centres)
+    return centres
+
+
 def nearest(table: DataFrame, is_query, k: int, keep: int = 96) -> DataFrame:
     """query_id, rank, vec_id and score (inner product in double precision) of each query's k nearest."""
     spark, keep = table.sparkSession, max(k, keep)
@@ -179,56 +198,74 @@ def nearest(table: DataFrame, is_query, k: int, keep: int = 96) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     quantiser = fit(sample)
     dims = sample.shape[1]
-    groups = max(12, rows.count() // GROUP)
-
-    def index(batches):
-        """A group's codes and vectors, in rows of at most GROUP vectors."""
-        held: dict[int, list] = {}
-
-        def made(g):
-            ids, count, x = (np.concatenate(p) for p in zip(*held.pop(g)))
-            ends = np.append(0, np.cumsum(count))
-            for a in range(0, len(x), GROUP):
-                part = x[a : a + GROUP]
-                owners = ends[a : a + len(part) + 1]
-                codes = np.concatenate([quantiser.encode(part[b : b + 1024]) for b in range(0, len(part), 1024)])
-                residuals = np.concatenate([quantiser.residuals(part[b : b + 1024], codes[b : b + 1024]) for b in range(0, len(part), 1024)], axis=1)
-                row = (ids[owners[0] : owners[-1]], owners - owners[0], part, packed(codes), residuals)
-                yield to_batches({"group": [g], **{n: [r.tobytes()] for n, r in zip(GROUPS.names[1:], row)}}, GROUPS)
+    centres = centres_of(sample, max(LEAST_CELLS, min(MOST_CELLS, rows.count() // GROUP)))
 
+    def place(batches):
         for batch in batches:
             if batch.num_rows:
-                lists, x, group = batch.column("ids"), matrix(batch.column("vector")), np.asarray(batch.column("group"))
-                ids, count = np.asarray(lists.flatten(), "<i8"), np.asarray(pa.compute.list_value_length(lists), "<i8")
-                for g in np.unique(group).tolist():
-                    held.setdefault(g, []).append((ids[np.repeat(group == g, count)], count[group == g], x[group == g]))
-                    if sum(len(c) for _, c, _ in held[g]) >= GROUP:
-                        yield from made(g)
-        for g in list(held):
-            yield from made(g)
-
-    def blocks(batches):
+                x = matrix(batch.column("vector"))
+                cell = np.concatenate([distances(x[a : a + 1024], centres).argmin(axis=1) for a in range(0, len(x), 1024)])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], ["vector", "ids", "cell"])
+
+    placed = stored(rows.select("vector", "ids").mapInArrow(place, "vector array<double>, ids array<long>, cell int"), "placed")
+    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / GROUP).alias("parts"))  # one row for each cell, MOST_CELLS at most
+    dealt = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("vector"), "parts")).repartition("cell", "part").sortWithinPartitions("cell", "part")
+
+    def index(batches):
+        """Codes and vectors of each part of a cell, in rows of about GROUP vectors."""
+        held, key, size = [], None, 0
+
+        def made():
+            nonlocal held, size
+            ids, count, x = (np.concatenate(p) for p in zip(*held))
+            owners, held, size = np.append(0, np.cumsum(count)), [], 0
+            codes = np.concatenate([quantiser.encode(x[b : b + 1024]) for b in range(0, len(x), 1024)])
+            residuals = np.concatenate([quantiser.residuals(x[b : b + 1024], codes[b : b + 1024]) for b in range(0, len(x), 1024)], axis=1)
+            radius = float(np.sqrt(((x - centres[key[0]]) ** 2).sum(axis=1)).max())
+            return to_batches({"cell": [key[0]], "radius": [radius], **{n: [r.tobytes()] for n, r in zip(GROUPS.names[2:], (ids, owners, x, packed(codes), residuals))}}, GROUPS)
+
         for batch in batches:
-            for a in range(0, batch.num_rows, QUERIES):
-                part = batch.slice(a, QUERIES)
-                yield to_batches({"query_ids": [np.asarray(part.column("vec_id"), "<i8").tobytes()], "query_keys": [np.asarray(part.column("query_key"), "<i8").tobytes()], "queries": [matrix(part.column("vector")).tobytes()]}, BLOCKS)
+            if not batch.num_rows:
+                continue
+            lists, x = batch.column("ids"), matrix(batch.column("vector"))
+            ids, count = np.asarray(lists.flatten(), "<i8"), np.asarray(pa.compute.list_value_length(lists), "<i8")
+            stops = np.append(0, np.cumsum(count))
+            keys = list(zip(batch.column("cell").to_pylist(), batch.column("part").to_pylist()))
+            edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for a, b in zip(edges, edges[1:]):
+                if held and (keys[a] != key or size >= 2 * GROUP):
+                    yield made()
+                key = keys[a]
+                held.append((ids[stops[a] : stops[b]], count[a:b], x[a:b]))
+                size += b - a
+        if held:
+            yield made()
+
+    made_of = "cell int, radius double, ids binary, owners binary, vectors binary, codes binary, residuals binary"
+    indexed = stored(dealt.select("vector", "ids", "cell", "part").mapInArrow(index, made_of), "codes")
+    held = {r["cell"]: r["radius"] for r in indexed.groupBy("cell").agg(F.max("radius").alias("radius")).collect()}
+    radius, filled = np.array([held.get(c, 0.0) for c in range(len(centres))]), np.array([c in held for c in range(len(centres))])
 
     def answers(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                query_ids, query_keys, queries = np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["query_keys"], "<i8"), np.frombuffer(row["queries"]).reshape(-1, dims)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                query_ids, query_keys, queries, floors = unblocked(row, dims)
                 ids, owners, x = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["owners"], "<i8"), np.frombuffer(row["vectors"]).reshape(-1, dims)
                 codes, residuals = np.frombuffer(row["codes"], np.uint8).reshape(-1, len(x)), np.frombuffer(row["residuals"]).reshape(3, -1)
-                found, scores = scan(query_ids, queries, ids, owners, x, codes, residuals, quantiser, k, keep)
+                found, scores = scan(query_ids, queries, floors, ids, owners, x, codes, residuals, quantiser, k, keep)
                 sizes = [len(f) for f in found]
                 yield to_batches({"query_id": np.repeat(query_ids, sizes), "query_key": np.repeat(query_keys, sizes), "vec_id": np.concatenate(found), "score": np.concatenate(scores)}, FOUND)
 
-    dealt = rows.withColumn("group", F.pmod(F.xxhash64("vector"), F.lit(groups)).cast("int")).repartition(groups, "group")
-    indexed = dealt.mapInArrow(index, "group int, ids binary, owners binary, vectors binary, codes binary, residuals binary")
-    questions = asked(valid, is_query).mapInArrow(blocks, "query_ids binary, query_keys binary, queries binary")
-    for_all = questions.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    found = indexed.join(for_all, "group").mapInArrow(answers, "query_id long, query_key long, vec_id long, score double")
-    return best_of(found, k, "double").drop("query_key")
+    def visit(queries: DataFrame) -> DataFrame:
+        blocks = queries.mapInArrow(to_balls(centres, radius, filled, QUERIES, BLOCKS), "cell int, query_ids binary, query_keys binary, queries binary, thresholds binary")
+        return indexed.drop("radius").join(blocks, "cell").mapInArrow(answers, "query_id long, query_key long, vec_id long, score double")
+
+    questions = stored(asked(valid, is_query), "queries")
+    near = best_of(visit(questions), k, "double").where(F.col("rank") == k)
+    floors = stored(near.select(F.col("query_id").alias("vec_id"), "query_key", F.col("score").alias("threshold")), "floors")
+    # The second round finds all that reach the floor, what the first found included.
+    return best_of(visit(questions.join(floors, ["vec_id", "query_key"], "left")), k, "double").drop("query_key")
 
 
 def op10_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm.common import stored, to_batches
-from quarryline.llm.vectors import asked, best_of, collapsed, matrix, top_rows, valid_vectors
+from quarryline.llm.vectors import asked, best_of, block, collapsed, distances, matrix, to_balls, top_rows, unblocked, valid_vectors
 
 #: Bounds: routing objects (from LEAST to MOST, one for ROUTED vectors), subtrees of an inner node, entries of a subtree and of a page,
 #: queries of a block, vectors that a task holds to cut them into subtrees.
@@ -64,11 +64,6 @@ def routing_objects(entries: DataFrame, count: int) -> np.ndarray:
     return x[chosen]
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    squares = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * a @ b.T
-    return np.sqrt(np.maximum(squares, 0))
-
-
 def halved(x: np.ndarray, most: int) -> list[np.ndarray]:
     """Positions of x in groups of at most ``most`` that lie close together: halved along the direction of a far vector."""
     groups, left = [], [np.arange(len(x))]
@@ -109,7 +104,7 @@ def build(entries: DataFrame, routes: np.ndarray) -> DataFrame:
             if batch.num_rows:
                 x, near = matrix(batch.column("vector")), []
                 for a in range(0, len(x), 1024):
-                    near.append(_distances(x[a : a + 1024], routes).argmin(axis=1))
+                    near.append(distances(x[a : a + 1024], routes).argmin(axis=1))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(near).astype(np.int32))], ["vector", "ids", "route"])
 
     routed = stored(entries.select("vector", "ids").mapInArrow(route, "vector array<long>, ids array<long>, route int"), "routed")
@@ -166,7 +161,7 @@ def search(row: dict, query_ids: np.ndarray, queries: np.ndarray, thresholds: np
     slack = 1e-6 * (1 + largest)
     exact = largest < 2**52  # else floats only choose what whole numbers decide
     bounds = queries @ centres.T + lengths[:, None] * radii[None, :] + slack
-    away = _distances(queries, centres)
+    away = distances(queries, centres)
     order = np.argsort(-bounds, axis=1)
     limit = thresholds.astype(np.float64).copy()
     best_ids, best = [np.zeros(0, np.int64)] * len(queries), [np.zeros(0, np.int64)] * len(queries)
@@ -203,15 +198,6 @@ def search(row: dict, query_ids: np.ndarray, queries: np.ndarray, thresholds: np
     return best_ids, best, products
 
 
-def _asked_of(row: dict, dims: int):
-    return np.frombuffer(row["query_ids"], "<i8"), np.frombuffer(row["query_keys"], "<i8"), np.frombuffer(row["queries"], "<f8").reshape(-1, dims), np.frombuffer(row["thresholds"], "<f8")
-
-
-def _block(key, ids, keys, x, limits, schema: pa.Schema) -> pa.RecordBatch:
-    data = (np.asarray(v, t).tobytes() for v, t in ((ids, "<i8"), (keys, "<i8"), (x, "<f8"), (limits, "<f8")))
-    return to_batches({schema.names[0]: [key]} | {n: [v] for n, v in zip(schema.names[1:], data)}, schema)
-
-
 def top_k(rows: DataFrame, is_query, k: int) -> DataFrame:
     """query_id, rank, vec_id and score (long) of each query's k highest products with the other rows."""
     spark = rows.sparkSession
@@ -227,35 +213,12 @@ def top_k(rows: DataFrame, is_query, k: int) -> DataFrame:
     held = {r["route"]: r["radius"] for r in nodes.groupBy("route").agg(F.max(F.col("parent") + F.col("radius")).alias("radius")).collect()}
     radius, filled = np.array([held.get(r, 0.0) for r in range(len(routes))]), np.array([r in held for r in range(len(routes))])
 
-    def to_routes(batches):
-        """Blocks of queries for the routing object of the best bound, or, with thresholds, for all that reach them."""
-        waiting: dict[int, list] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, keys, x = np.asarray(batch.column("vec_id"), np.int64), np.asarray(batch.column("query_key"), np.int64), matrix(batch.column("vector"))
-            products, length = x @ routes.T, np.sqrt((x**2).sum(axis=1))[:, None]
-            bounds = products + length * radius[None, :] + 1e-6 * (1 + length * (radius + np.sqrt((routes**2).sum(axis=1)))[None, :])
-            bounds = np.where(filled, bounds, -np.inf)
-            if "threshold" in batch.schema.names:
-                limits = np.array([-np.inf if t is None else float(t) for t in batch.column("threshold").to_pylist()])
-                wanted = (bounds >= limits[:, None]) & filled
-            else:
-                limits, wanted = np.full(len(ids), -np.inf), np.arange(len(routes)) == bounds.argmax(axis=1)[:, None]
-            for r in np.flatnonzero(wanted.any(axis=0)).tolist():
-                at = np.flatnonzero(wanted[:, r])
-                waiting.setdefault(r, []).append((ids[at], keys[at], x[at], limits[at]))
-                if sum(len(w[0]) for w in waiting[r]) >= QUERIES:
-                    yield _block(r, *(np.concatenate(v) for v in zip(*waiting.pop(r))), BLOCK)
-        for r, found in waiting.items():
-            yield _block(r, *(np.concatenate(v) for v in zip(*found)), BLOCK)
-
     def to_subtrees(first: bool):
         def work(batches):
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = batch.slice(i, 1).to_pylist()[0]
-                    ids, keys, x, limits = _asked_of(row, dims)
+                    ids, keys, x, limits = unblocked(row, dims)
                     subtrees = row["subtrees"]
                     radii, parents, longest = (np.array([s[n] for s in subtrees]) for n in ("radius", "parent", "longest"))
                     length = np.sqrt((x**2).sum(axis=1))
@@ -273,7 +236,7 @@ def top_k(rows: DataFrame, is_query, k: int) -> DataFrame:
                     for j, s in enumerate(some.tolist()):
                         at = np.flatnonzero(wanted[:, j])
                         if len(at):
-                            yield _block(subtrees[s]["node"], ids[at], keys[at], x[at], limits[at], VISIT)
+                            yield block(subtrees[s]["node"], ids[at], keys[at], x[at], limits[at], VISIT)
 
         return work
 
@@ -281,13 +244,13 @@ def top_k(rows: DataFrame, is_query, k: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                query_ids, query_keys, x, limits = _asked_of(row, dims)
+                query_ids, query_keys, x, limits = unblocked(row, dims)
                 ids, scores, _ = search(row, query_ids, x, limits, k)
                 sizes = [len(i) for i in ids]
                 yield to_batches({"query_id": np.repeat(query_ids, sizes), "query_key": np.repeat(query_keys, sizes), "vec_id": np.concatenate(ids), "score": np.concatenate(scores)}, FOUND)
 
     def visit(queries: DataFrame, first: bool) -> DataFrame:
-        blocks = queries.mapInArrow(to_routes, f"route int, {_ASKED_DDL}")
+        blocks = queries.mapInArrow(to_balls(routes, radius, filled, QUERIES, BLOCK), f"route int, {_ASKED_DDL}")
         visits = inner.join(blocks, "route").mapInArrow(to_subtrees(first), f"node long, {_ASKED_DDL}")
         return nodes.drop("route", "centre", "radius", "parent", "longest").join(visits, "node").mapInArrow(answers, "query_id long, query_key long, vec_id long, score long")
 
