@@ -106,7 +106,16 @@ def redact(rows: DataFrame, text: str = "text", known: str = "known", ranges: Se
     return rows.drop("_fresh", "_offset", "_found")
 
 
-def restore(text: Column, known: Column) -> Column:
+#: Tokens of any scope: an event's, a story's (E), a fact's (F), a report's (R).
+SCOPED_TOKEN = r"<<REDACTED_(?:IP|EMAIL|MAC|DOMAIN)_(?:[EFR]\d+_)?\d+>>"
+
+
+def restore_scoped(text: Column, known: Column) -> Column:
+    """``restore`` for texts of stories, facts and reports, whose maps hold tokens of their own scope."""
+    return restore(text, known, SCOPED_TOKEN)
+
+
+def restore(text: Column, known: Column, pattern: str = TOKEN) -> Column:
     """Tokens turned back to their values; tokens that the map lacks, or gives to two values, stay."""
 
     def backward(pairs: Column) -> Column:
@@ -115,7 +124,7 @@ def restore(text: Column, known: Column) -> Column:
         return network.let(F.transform(pairs, lambda e: e["value"]), lambda tokens: F.map_from_entries(F.transform(lone(tokens), turned)))
 
     back = network.let(F.map_entries(F.coalesce(known, F.expr(EMPTY))), backward)
-    return network.let(F.struct(text.alias("t"), back.alias("b")), lambda s: replaced(s["t"], TOKEN, lambda t: F.coalesce(F.try_element_at(s["b"], t), t)))
+    return network.let(F.struct(text.alias("t"), back.alias("b")), lambda s: replaced(s["t"], pattern, lambda t: F.coalesce(F.try_element_at(s["b"], t), t)))
 
 
 def conflicts(rows: DataFrame, key: str, known: str = "known") -> DataFrame:

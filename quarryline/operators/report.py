@@ -104,6 +104,24 @@ def neighbors(buckets: DataFrame) -> DataFrame:
     return buckets.select("customer_id", "bucket", F.lag("bucket").over(w).alias("previous_bucket"), F.lead("bucket").over(w).alias("next_bucket"))
 
 
+def eligible_neighbors(buckets: DataFrame, eligible: DataFrame) -> DataFrame:
+    """The eligible bucket before and after each bucket, within the customer and period; (customer_id, period, bucket) of both."""
+    keys = ["customer_id", "period", "bucket"]
+    marked = buckets.select(*keys).distinct().withColumn("asked", F.lit(True)).join(eligible.select(*keys).distinct().withColumn("open", F.lit(True)), keys, "full")
+    w = Window.partitionBy("customer_id", "period").orderBy("bucket")
+    open_ = F.when(F.col("open"), F.col("bucket"))
+    before = F.last(open_, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(open_, True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    return marked.select(*keys, "asked", before.alias("previous_bucket"), after.alias("next_bucket")).where("asked").drop("asked")
+
+
+def listed_since(live: DataFrame, tiers: list[str] | None, window: str, now: str) -> DataFrame:
+    """Rows of some tiers (all if none are given) and of the last 24h, 7d or 30d before now (``all``: of any time)."""
+    hours = {"24h": 24, "7d": 168, "30d": 720}.get(window)
+    rows = live.where(F.col("tier").isin(tiers)) if tiers else live
+    return rows if hours is None else rows.where(F.col("event_time") >= F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(hours)))
+
+
 def report_index(states: DataFrame, caps: dict[str, int]) -> DataFrame:
     """Of each period the newest buckets, as many as the period's cap."""
     order = Window.partitionBy("period").orderBy(F.desc("bucket"), "customer_id")

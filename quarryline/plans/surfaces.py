@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarryline.functions import semantics as s
+from quarryline.operators import activity as a
 from quarryline.operators import audit as u
+from quarryline.operators import indicators as k
 from quarryline.operators import lineage as g
 from quarryline.operators import overview as o
 from quarryline.operators import periodic as p
+from quarryline.operators import redaction as x
+from quarryline.operators import report as r
 from quarryline.operators import workflow as w
-from quarryline.plans.catalog import A, ALERTS, B, RANK, RECENT, _live, query, with_live
+from quarryline.plans.catalog import A, ALERTS, B, NOW, RANK, RECENT, ROLLUP, _live, query, with_live
 from quarryline.sources import feeds as f
 from quarryline.sources import views as v
 
@@ -290,3 +294,31 @@ def _(spark, d):
     text = f"concat('{{\"vulnerabilities\":[{{\"cveID\":\" cve-2021-', 10000 + {K}, '\",\"dateAdded\":\"2021-02-', CASE WHEN {K} % 3 > 0 THEN '03' ELSE '30' END, '\"}}]}}', CASE WHEN {K} % 5 = 0 THEN '' ELSE '' END)"
     lines = v.table(spark, d, "part").selectExpr(f"CASE WHEN {K} % 5 = 0 THEN '{{' ELSE {text} END AS value")
     return f.exploited(lines).withColumn("added", F.col("added").cast("string"))
+
+
+@query("list_filters", with_live(f"SELECT event_key, sensor, tier FROM live WHERE tier IN ('HIGH', 'CRITICAL') AND event_time >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY"), "result")
+def _(spark, d):
+    return r.listed_since(_live(spark, d), ["HIGH", "CRITICAL"], "7d", NOW).select("event_key", "sensor", "tier")
+
+
+@query("eligible_neighbors", f""", {ROLLUP}, e AS (SELECT * FROM rollup WHERE n % 3 > 0) SELECT customer_id, period, strftime(bucket, '%Y-%m-%d') AS bucket, strftime((SELECT max(bucket) FROM e WHERE e.customer_id = q.customer_id AND e.period = q.period AND e.bucket < q.bucket), '%Y-%m-%d') AS previous_bucket,
+    strftime((SELECT min(bucket) FROM e WHERE e.customer_id = q.customer_id AND e.period = q.period AND e.bucket > q.bucket), '%Y-%m-%d') AS next_bucket FROM rollup q""", "baseline")
+def _(spark, d):
+    rows = a.bucket_rollup(v.baseline(spark, d))
+    out = r.eligible_neighbors(rows, rows.where("n % 3 > 0"))
+    return out.select("customer_id", "period", *(F.col(c).cast("string").alias(c) for c in ("bucket", "previous_bucket", "next_bucket")))
+
+
+@query("redact_restore_scopes", "SELECT p_partkey, 'h a@b.co and 10.0.0.' || p_partkey % 9 || ' <<REDACTED_MAC_F1_002>>' AS text FROM part")
+def _(spark, d):
+    ip = F.concat(F.lit("10.0.0."), (F.col("p_partkey") % 9).cast("string"))
+    known = F.create_map(F.lit("a@b.co"), F.lit("<<REDACTED_EMAIL_E3_001>>"), ip, F.lit("<<REDACTED_IP_R12_004>>"))
+    text = F.lit("h <<REDACTED_EMAIL_E3_001>> and <<REDACTED_IP_R12_004>> <<REDACTED_MAC_F1_002>>")
+    return v.table(spark, d, "part").select("p_partkey", x.restore_scoped(text, known).alias("text"))
+
+
+@query("evidence_order", "SELECT event_id FROM events WHERE event_id % 4 = 1 ORDER BY ts DESC, event_id LIMIT 15")
+def _(spark, d):
+    kind = F.get(F.array(*map(F.lit, k.CLASSES)), ((F.col("event_id") + 3) % 4).cast("int"))
+    rows = v.table(spark, d, "events").select("event_id", kind.alias("class"), F.col("ts").alias("checked_at")).where("class is not null")
+    return k.ordered_evidence(rows).limit(15).select("event_id")

@@ -44,3 +44,14 @@ def test_spans_and_cursors_in_any_order_of_batches(spark):  # noqa: F811
     rows = [("a", 5, "soft"), ("a", 5, "strict"), ("a", 4, "soft"), ("b", 1, "soft"), ("b", None, "strict")]
     marks = spark.createDataFrame(rows, "subject string, at int, quality string")
     assert _streamed(spark, marks, activity.cursor_watermarks, "cursors") == [("a", 5, "strict"), ("b", 1, "soft")]
+
+
+def test_a_replayed_batch_adds_nothing(spark):  # noqa: F811
+    rows = views.baseline(spark, SF).where("event_time is not null and baseline_version = 'v1'").limit(500).cache()
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows.write.mode("append").parquet(folder)
+    rows.write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    first = activity.first_arrivals(stream.withColumn("event_time", F.col("event_time").cast("timestamp")), ["event_key"], "event_time", "60 days")
+    first.writeStream.format("memory").queryName("arrivals").outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(r.event_key for r in spark.table("arrivals").collect()) == sorted(r.event_key for r in rows.collect())
