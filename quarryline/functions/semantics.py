@@ -23,6 +23,15 @@ def latest_baseline(df: DataFrame) -> DataFrame:
     return latest_by(df, ["sensor", "event_key"], [F.desc_nulls_last("received_at"), F.desc_nulls_last("baseline_version")])
 
 
+def latest_within(df: DataFrame, start: str, end: str) -> DataFrame:
+    """Of ``latest_baseline`` what can lie in a window: keys with any version in it, whose filter reaches the scan, and only their versions are ranked.
+
+    The latest version of such a key may still lie outside: filter by the window after.
+    """
+    keys = df.where(within("event_time", start, end)).select("sensor", "event_key").distinct()
+    return latest_baseline(df.join(keys, ["sensor", "event_key"], "left_semi"))
+
+
 def canonical_story(df: DataFrame) -> DataFrame:
     return latest_by(df, ["story_id"], [F.desc_nulls_last("received_at"), F.desc_nulls_last("story_version")])
 

@@ -40,6 +40,10 @@ def _latest(spark, d):
     return s.latest_baseline(v.baseline(spark, d))
 
 
+def _latest_in(spark, d, start=DAY_BEFORE, end=DAY_AFTER):
+    return s.latest_within(v.baseline(spark, d), start, end)
+
+
 def _live(spark, d):
     return s.live(v.result(spark, d))
 
@@ -59,7 +63,7 @@ def _(spark, d):
 
 @query("category_counts", f"SELECT category, count(*) AS n FROM latest WHERE {IN_DAY} GROUP BY category", "latest")
 def _(spark, d):
-    return r.category_counts(_latest(spark, d), DAY, DAY_AFTER)
+    return r.category_counts(_latest_in(spark, d), DAY, DAY_AFTER)
 
 
 DRIFT = f"""SELECT category, count(*) FILTER (WHERE {IN_DAY}) AS current_n, count(*) FILTER (WHERE NOT ({IN_DAY})) AS previous_n FROM latest
@@ -68,23 +72,23 @@ DRIFT = f"""SELECT category, count(*) FILTER (WHERE {IN_DAY}) AS current_n, coun
 
 @query("baseline_drift", f"SELECT *, (current_n - previous_n) / greatest(previous_n, 1) AS delta FROM ({DRIFT})", "latest")
 def _(spark, d):
-    return r.drift(_latest(spark, d), DAY_BEFORE, DAY, DAY_AFTER)
+    return r.drift(_latest_in(spark, d), DAY_BEFORE, DAY, DAY_AFTER)
 
 
 @query("drift_scores", f"""SELECT CASE WHEN sum(previous_n) = 0 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, max(abs(current_n - previous_n)) / greatest(sum(previous_n), 1)) END AS severity,
     CASE WHEN sum(previous_n) > 0 AND max(abs((current_n - previous_n) / greatest(previous_n, 1))) > 0.3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS likelihood FROM ({DRIFT})""", "latest")
 def _(spark, d):
-    return r.drift_scores(_latest(spark, d), DAY_BEFORE, DAY, DAY_AFTER)
+    return r.drift_scores(_latest_in(spark, d), DAY_BEFORE, DAY, DAY_AFTER)
 
 
 @query("window_totals", f"SELECT count(*) AS events, count(DISTINCT primary_asset) AS assets FROM latest WHERE {IN_DAY}", "latest")
 def _(spark, d):
-    return r.window_totals(_latest(spark, d), DAY, DAY_AFTER)
+    return r.window_totals(_latest_in(spark, d), DAY, DAY_AFTER)
 
 
 @query("top_sensors", f"SELECT sensor, count(*) AS n FROM latest WHERE {IN_DAY} GROUP BY sensor ORDER BY n DESC, sensor LIMIT 5", "latest")
 def _(spark, d):
-    return r.top_sensors(_latest(spark, d), DAY, DAY_AFTER, 5)
+    return r.top_sensors(_latest_in(spark, d), DAY, DAY_AFTER, 5)
 
 
 @query("story_overlap_count", "SELECT count(*) AS stories FROM canonical WHERE window_start < TIMESTAMP '1997-02-01' AND window_end > TIMESTAMP '1997-01-01'", "canonical")

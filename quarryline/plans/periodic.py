@@ -8,7 +8,7 @@ from quarryline.functions import calendar as c
 from quarryline.functions import semantics as s
 from quarryline.operators import activity as a
 from quarryline.operators import periodic as p
-from quarryline.plans.catalog import DAY, DAY_AFTER, DAY_BEFORE, NOW, RANK, ROLLUP, TECH, _latest, query
+from quarryline.plans.catalog import DAY, DAY_AFTER, DAY_BEFORE, NOW, RANK, ROLLUP, TECH, _latest_in, query
 from quarryline.sources import views as v
 
 MODELS = ["m0", "m1"]
@@ -44,7 +44,7 @@ def _scope(spark, subject="customer_id"):
 
 
 def _parts(spark, d, subject="customer_id"):
-    return p.report_parts(_scope(spark, subject), v.incident(spark, d), v.incident_member(spark, d), v.story_result(spark, d), v.result(spark, d), _latest(spark, d), MODELS, DAY_BEFORE, DAY, DAY_AFTER)
+    return p.report_parts(_scope(spark, subject), v.incident(spark, d), v.incident_member(spark, d), v.story_result(spark, d), v.result(spark, d), _latest_in(spark, d), MODELS, DAY_BEFORE, DAY, DAY_AFTER)
 
 
 @query("report_top_stories", _report_sql("customer_id", "SELECT subject_id, CAST(place AS INTEGER) AS place, story_id, story_version, model, generation, tier FROM top_story"), *VIEWS)
@@ -100,7 +100,7 @@ def _whole_sql(subject: str) -> str:
 
 
 def _report(spark, d, subject):
-    return p.periodic_report(_scope(spark, subject), v.incident(spark, d), v.incident_member(spark, d), v.story_result(spark, d), v.result(spark, d), _latest(spark, d), MODELS, DAY_BEFORE, DAY, DAY_AFTER)
+    return p.periodic_report(_scope(spark, subject), v.incident(spark, d), v.incident_member(spark, d), v.story_result(spark, d), v.result(spark, d), _latest_in(spark, d), MODELS, DAY_BEFORE, DAY, DAY_AFTER)
 
 
 @query("periodic_report", _whole_sql("customer_id"), *VIEWS)
