@@ -130,5 +130,12 @@ def report_index(states: DataFrame, caps: dict[str, int]) -> DataFrame:
     return states.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).where(F.col("nth") <= cap).select("period", "nth", "bucket", "customer_id")
 
 
+def report_list(states: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """Of each period (LIVE included) the first reports by bucket, last change and zone, as many as the period's cap."""
+    order = Window.partitionBy("period").orderBy(F.desc("bucket"), F.desc("updated_at"), F.asc("zone"), F.asc("customer_id"))
+    cap = F.create_map(*(F.lit(x) for kv in caps.items() for x in kv))[F.col("period")]
+    return states.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= max(caps.values(), default=0)).where(F.col("nth") <= cap)
+
+
 def newest_report(states: DataFrame) -> DataFrame:
     return latest_by(states, ["customer_id", "period"], [F.desc("bucket")])

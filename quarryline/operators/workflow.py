@@ -138,6 +138,19 @@ def kept_factors(factors: Column) -> Column:
     return F.when(F.size(good) > 0, F.slice(good, 1, FACTORS)).otherwise(F.array(F.lit(NO_FACTOR)))
 
 
+def factor_report(factors: Column) -> Column:
+    """kept (as ``kept_factors``), dropped (blank, long or a sentence) and truncated (good, but beyond the first five)."""
+    good = F.filter(factors, lambda x: (F.trim(x) != "") & (F.length(x) <= FACTOR_LENGTH) & ~x.startswith(SENTENCES[0]) & ~x.startswith(SENTENCES[1]))
+    return F.struct(kept_factors(factors).alias("kept"), (F.size(factors) - F.size(good)).alias("dropped"), F.greatest(F.size(good) - FACTORS, F.lit(0)).alias("truncated"))
+
+
+def creation_floors(groups: DataFrame) -> DataFrame:
+    """(group_id, period, floor): the bucket in the group's own zone that its creation (an instant) falls in; earlier ones are not seeded."""
+    local = F.from_utc_timestamp(F.col("created_at").cast("string"), F.col("zone"))
+    floors = F.array(*(F.struct(F.lit(p).alias("period"), F.to_date(F.date_trunc(u, local)).alias("floor")) for p, u in PERIODS.items()))
+    return groups.select("group_id", F.inline(floors))
+
+
 def technique_tags(tags: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Each different tag's fate: valid, invalid_format or unknown."""
     known = dictionary.select("tag").distinct().withColumn("known", F.lit(True))

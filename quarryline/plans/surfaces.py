@@ -322,3 +322,49 @@ def _(spark, d):
     kind = F.get(F.array(*map(F.lit, k.CLASSES)), ((F.col("event_id") + 3) % 4).cast("int"))
     rows = v.table(spark, d, "events").select("event_id", kind.alias("class"), F.col("ts").alias("checked_at")).where("class is not null")
     return k.ordered_evidence(rows).limit(15).select("event_id")
+
+
+@query("story_page_all_keys", f""", c AS (SELECT *, {RANK} AS rank FROM (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY received_at DESC, story_version DESC) AS rn FROM incident) WHERE rn = 1) JOIN (SELECT story_id, tier, severity, likelihood FROM story_result WHERE generation = 1 AND model = 'm' || (story_id % 3) AND NOT superseded) USING (story_id))
+    SELECT story_id, tier, severity, likelihood FROM c WHERE (rank, severity, likelihood) < (2, 80, 40) OR ((rank, severity, likelihood) = (2, 80, 40) AND (window_end < TIMESTAMP '2024-01-10' OR (window_end = TIMESTAMP '2024-01-10' AND story_id > 50))) ORDER BY rank DESC, severity DESC, likelihood DESC, window_end DESC, story_id LIMIT 25""".replace(", c AS", ", c AS", 1), "incident", "story_result")
+def _(spark, d):
+    results = v.story_result(spark, d).where("generation = 1 AND model = concat('m', story_id % 3) AND NOT superseded").select("story_id", "tier", "severity", "likelihood")
+    rows = s.canonical_story(v.incident(spark, d)).join(results, "story_id").withColumn("rank", s.tier_rank())
+    order = [("rank", True), ("severity", True), ("likelihood", True), ("window_end", True), ("story_id", False)]
+    return s.page(rows, order, [2, 80, 40, F.lit("2024-01-10").cast("timestamp_ntz"), 50], 25).select("story_id", "tier", "severity", "likelihood")
+
+
+@query("factor_report", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'a|b|c|d|e' ELSE 'insufficient evidence' END AS kept, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 3 END AS dropped, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS truncated FROM part")
+def _(spark, d):
+    factors = F.when(F.col("p_partkey") % 2 == 0, F.split(F.lit("The x|a| |b|c|d|e|f"), r"\|")).otherwise(F.array(F.lit("This y"), F.lit("z" * 81), F.lit("")))
+    rows = v.table(spark, d, "part").select("p_partkey", w.factor_report(factors).alias("r"))
+    return rows.select("p_partkey", F.array_join("r.kept", "|").alias("kept"), "r.dropped", "r.truncated")
+
+
+@query("redact_masked_facts", "SELECT p_partkey, 'x [redacted] <<REDACTED_IP_E1_002>> [redacted]' || p_partkey AS text FROM part")
+def _(spark, d):
+    text = F.concat(F.lit("x <<REDACTED_IP_F1_002>> <<REDACTED_IP_E1_002>> <<REDACTED_MAC_F20_1000>>"), F.col("p_partkey").cast("string"))
+    return v.table(spark, d, "part").select("p_partkey", x.mask_facts(text).alias("text"))
+
+
+@query("report_list", f""", {ROLLUP}, q AS (SELECT period, bucket, last_received AS updated_at, CASE WHEN customer_id % 2 = 0 THEN 'UTC' ELSE 'Asia/Seoul' END AS zone, customer_id FROM rollup UNION ALL SELECT DISTINCT 'LIVE', DATE '1970-01-01', TIMESTAMP '2024-01-31', 'UTC', customer_id FROM rollup)
+    SELECT period, CAST(nth AS INTEGER) AS nth, strftime(bucket, '%Y-%m-%d') AS bucket, zone, customer_id FROM (SELECT *, row_number() OVER (PARTITION BY period ORDER BY bucket DESC, updated_at DESC, zone, customer_id) AS nth FROM q) WHERE nth <= CASE period WHEN 'LIVE' THEN 1 WHEN 'DAILY' THEN 14 WHEN 'WEEKLY' THEN 8 ELSE 12 END""", "baseline")
+def _(spark, d):
+    zone = F.when(F.col("customer_id") % 2 == 0, "UTC").otherwise("Asia/Seoul").alias("zone")
+    rows = a.bucket_rollup(v.baseline(spark, d))
+    live = rows.select("customer_id").distinct().select(F.lit("LIVE").alias("period"), F.lit("1970-01-01").cast("date").alias("bucket"), F.lit("2024-01-31").cast("timestamp_ntz").alias("updated_at"), F.lit("UTC").alias("zone"), "customer_id")
+    rows = rows.select("period", "bucket", F.col("last_received").alias("updated_at"), zone, "customer_id").unionByName(live)
+    return r.report_list(rows, {"LIVE": 1, "DAILY": 14, "WEEKLY": 8, "MONTHLY": 12}).select("period", "nth", F.col("bucket").cast("string").alias("bucket"), "zone", "customer_id")
+
+
+@query("creation_floors", """SELECT c_custkey AS group_id, period, strftime(date_trunc(unit, TIMESTAMP '2024-01-01 16:00:00' + INTERVAL 1 DAY * (c_custkey % 90) + INTERVAL 9 HOUR * (c_custkey % 2)), '%Y-%m-%d') AS floor FROM customer, (VALUES ('DAILY', 'day'), ('WEEKLY', 'week'), ('MONTHLY', 'month')) u(period, unit)""")
+def _(spark, d):
+    created = F.lit("2024-01-01 16:00:00").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("c_custkey") % 90).cast("int"))
+    groups = v.table(spark, d, "customer").select(F.col("c_custkey").alias("group_id"), created.alias("created_at"), F.when(F.col("c_custkey") % 2 == 0, "UTC").otherwise("Asia/Seoul").alias("zone"))
+    return w.creation_floors(groups).withColumn("floor", F.col("floor").cast("string"))
+
+
+@query("indicators_in_payloads", "SELECT DISTINCT event_id, 'DOMAIN' AS entity, 'h' || event_id % 97 || '.bad.test' AS value FROM events UNION ALL SELECT event_id, 'IP', '9.8.7.' || event_id % 256 FROM events")
+def _(spark, d):
+    payload = F.expr("concat('{\"a\":{\"host\":\"H', event_id % 97, '.bad.test\",\"n\":1},\"b\":[\"x\",[\"9.8.7.', event_id % 256, '\"]]}')")
+    leaves = o.string_leaves(v.table(spark, d, "events").select("event_id", payload.alias("payload")), "event_id", "payload")
+    return k.extract_all(leaves, "event_id", "leaf").select("event_id", "entity", "value").distinct()

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.network import cidr, ip_hex
 from quarryline.operators.intel import HEX, IPV4
 
 URL = r"[hH][tT][tT][pP][sS]?://[^\s\"\x27<>]+"
@@ -90,10 +91,10 @@ def free_text(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def warning_lists(lists: DataFrame) -> DataFrame:
-    """(name, cidr, ip) of JSON lists (column ``value``): ranges of type cidr, single addresses of type string or hostname."""
+    """(name, cidr, ip) of JSON lists (column ``value``): ranges of type cidr, single addresses of type string or hostname, of both kinds; the name is their classification."""
     parsed = lists.select(F.from_json("value", "name string, type string, list array<string>").alias("l")).select("l.name", "l.type", F.explode("l.list").alias("item"))
-    address = F.col("item").rlike(f"^{IPV4}$")
-    rows = parsed.select("name", F.when(F.col("type") == "cidr", F.col("item")).alias("cidr"), F.when(F.col("type").isin("string", "hostname") & address, F.col("item")).alias("ip"))
+    address = ip_hex(F.col("item")).isNotNull()
+    rows = parsed.select("name", F.when((F.col("type") == "cidr") & cidr(F.col("item")).isNotNull(), F.col("item")).alias("cidr"), F.when(F.col("type").isin("string", "hostname") & address, F.col("item")).alias("ip"))
     return rows.where("cidr is not null or ip is not null")
 
 
