@@ -135,6 +135,8 @@ def scan(query_ids, queries, floors, ids, owners, x, codes, residuals, q: Quanti
     largest = float(length.max())
     first, last = ids[owners[:-1]], ids[owners[1:] - 1]
     lone = first == last
+    along4, across4, odd = along.astype(np.float32), across.astype(np.float32), np.flatnonzero(along <= 0)
+    most_along, most_across = float(np.abs(along).max()), float(across.max())
     for query_id, query, floor in zip(query_ids.tolist(), queries, floors.tolist()):
         table, step, base = tables(query, q)
         about = table[0].take(codes[0])
@@ -143,19 +145,25 @@ def scan(query_ids, queries, floors, ids, owners, x, codes, residuals, q: Quanti
         # Vectors that only the query's own rows hold take no part.
         own = np.flatnonzero(lone & (first == query_id))
         if floor > -np.inf or len(about) > keep + len(own):
-            rated = about.astype(np.float64)
             if floor == -np.inf:
+                rated = about.astype(np.float64)
                 rated[own] = -np.inf
                 at = np.argpartition(rated, len(rated) - keep)[len(rated) - keep :]
                 sure = (x[at] * query).sum(axis=1)
                 floor = float(np.partition(sure, keep - k)[keep - k])
-                rated[own] = about[own]
             # What a code stands for is along * x and a part across x, so its product is along * score, give or take
             # across * (the query's length across x); tables round by half a step a place, sums by far less than 1e-9.
             size = float((query**2).sum())
-            wide = np.sqrt(np.maximum(0, size - (max(0.0, floor) / length) ** 2))
             slack = base + 0.5 * step * len(table) + 1e-9 * size**0.5 * largest
-            at = np.flatnonzero(~(rated * step + slack < along * floor - across * wide) | (along <= 0))
+            # A first test with the query's whole length in single precision, then the exact one on what it leaves.
+            scale, width = floor / step, size**0.5 / step
+            margin = slack / step + 1e-5 * (abs(scale) * most_along + width * most_across + len(table) * 255)
+            if abs(scale) * most_along + width * most_across + abs(margin) < 1e30:
+                at = np.union1d(np.flatnonzero(about >= along4 * np.float32(scale) - across4 * np.float32(width) - np.float32(margin)), odd)
+            else:
+                at = np.arange(len(about))
+            wide = np.sqrt(np.maximum(0, size - (max(0.0, floor) / length[at]) ** 2))
+            at = at[~(about[at] * step + slack < along[at] * floor - across[at] * wide) | (along[at] <= 0)]
             at = at[~np.isin(at, own)] if len(own) else at
         else:
             at = np.setdiff1d(np.arange(len(about)), own)
