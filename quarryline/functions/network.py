@@ -90,6 +90,16 @@ def masked(digits: Column, bits: Column, last: bool = False) -> Column:
     return let(F.struct(digits.alias("h"), bits.cast("int").alias("b"), F.floor(bits / 4).cast("int").alias("w")), cut)
 
 
+def masked_columns(digits: str, bits: str) -> Column:
+    """``masked`` of two columns that are there already: they may be named often, so it stays in compiled code."""
+    h, b = F.col(digits), F.col(bits)
+    whole = F.floor(b / 4).cast("int")
+    step = F.element_at(F.array(*map(F.lit, (16, 8, 4, 2))), b % 4 + 1)
+    digit = F.conv(F.substring(h, whole + 1, F.lit(1)), 16, 10).cast("int")
+    filled = F.rpad(F.concat(F.substring(h, F.lit(1), whole), F.lower(F.hex(digit - digit % step))), F.length(h), F.lit("0"))
+    return F.when(whole < F.length(h), filled).otherwise(h)
+
+
 def cidr(text: Column) -> Column:
     """low, high and bits of ``address/bits`` (all bits where none are given), cut to the range; null if it is none."""
 
@@ -111,7 +121,7 @@ def range_matches(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     every = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(b).alias("bits")) for n, b in sorted(sizes))) if sizes else F.array().cast("array<struct<n: int, bits: int>>")
     fit = F.filter(every, lambda x: x["n"] == F.length("digits"))
     rows = addresses.withColumn("bits", F.explode(F.transform(fit, lambda x: x["bits"])))
-    return rows.withColumn("low", masked(F.col("digits"), F.col("bits"))).join(ranges, ["low", "bits"])
+    return rows.withColumn("low", masked_columns("digits", "bits")).join(ranges, ["low", "bits"])
 
 
 def range_faults(new: DataFrame, held: DataFrame, cap: int) -> DataFrame:
