@@ -5,7 +5,8 @@ weighs the residual along the vector (which moves high inner products) more than
 query makes one table of 16 values for each code place; tables of two places are joined, so a byte of
 code is one look-up.
 
-Vectors lie in cells around centres of the sample; a cell is cut into groups by hash, so that none gathers in one task. The search has two
+Vectors lie in cells around centres of the sample; a cell is cut into groups by hash, and a task takes a few groups (a side) and a share of the
+queries (a lane), so that neither a cell that holds most vectors nor one that all queries visit gathers in one task. The search has two
 rounds. In the first a query scans the cell that promises most; the best ``keep`` of each group of codes are scored exactly on the original
 vectors, in double precision, in the same task, and the k-th score that is found in all is the query's floor. In the second it scans the
 cells whose covering radius lets them reach the floor, and every vector whose residual lets it reach the floor is scored exactly, so no
@@ -34,7 +35,9 @@ from quarryline.llm.vectors import asked, best_of, collapsed, distances, matrix,
 
 #: Bounds: rows to fit on, queries of a block, vectors of a group, and cells (one for GROUP vectors, from LEAST to MOST).
 SAMPLE, QUERIES, GROUP, LEAST_CELLS, MOST_CELLS = 4096, 512, 16384, 12, 1024
-GROUPS = pa.schema([("cell", pa.int32()), ("radius", pa.float64()), ("ids", pa.binary()), ("owners", pa.binary()), ("vectors", pa.binary()), ("codes", pa.binary()), ("residuals", pa.binary())])
+#: A join key holds at most about so many groups of a cell (a side) and queries that visit them (a lane); tasks of a round at most.
+SIDE, LANE, TASKS = 4, 1 << 14, 1 << 15
+GROUPS = pa.schema([("cell", pa.int32()), ("side", pa.int32()), ("radius", pa.float64()), ("ids", pa.binary()), ("owners", pa.binary()), ("vectors", pa.binary()), ("codes", pa.binary()), ("residuals", pa.binary())])
 BLOCKS = pa.schema([("cell", pa.int32()), ("query_ids", pa.binary()), ("query_keys", pa.binary()), ("queries", pa.binary()), ("thresholds", pa.binary())])
 FOUND = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -230,7 +233,7 @@ def nearest(table: DataFrame, is_query, k: int, keep: int = 96) -> DataFrame:
             codes = np.concatenate([quantiser.encode(x[b : b + 1024]) for b in range(0, len(x), 1024)])
             residuals = np.concatenate([quantiser.residuals(x[b : b + 1024], codes[b : b + 1024]) for b in range(0, len(x), 1024)], axis=1)
             radius = float(np.sqrt(((x - centres[key[0]]) ** 2).sum(axis=1)).max())
-            return to_batches({"cell": [key[0]], "radius": [radius], **{n: [r.tobytes()] for n, r in zip(GROUPS.names[2:], (ids, owners, x, packed(codes), residuals))}}, GROUPS)
+            return to_batches({"cell": [key[0]], "side": [key[1] // SIDE], "radius": [radius], **{n: [r.tobytes()] for n, r in zip(GROUPS.names[3:], (ids, owners, x, packed(codes), residuals))}}, GROUPS)
 
         for batch in batches:
             if not batch.num_rows:
@@ -249,10 +252,12 @@ def nearest(table: DataFrame, is_query, k: int, keep: int = 96) -> DataFrame:
         if held:
             yield made()
 
-    made_of = "cell int, radius double, ids binary, owners binary, vectors binary, codes binary, residuals binary"
+    made_of = "cell int, side int, radius double, ids binary, owners binary, vectors binary, codes binary, residuals binary"
     indexed = stored(dealt.select("vector", "ids", "cell", "part").mapInArrow(index, made_of), "codes")
-    held = {r["cell"]: r["radius"] for r in indexed.groupBy("cell").agg(F.max("radius").alias("radius")).collect()}
-    radius, filled = np.array([held.get(c, 0.0) for c in range(len(centres))]), np.array([c in held for c in range(len(centres))])
+    # One row for each cell, MOST_CELLS at most.
+    sides = stored(indexed.groupBy("cell").agg(F.max("radius").alias("radius"), F.max("side").alias("last")), "sides")
+    held = {r["cell"]: r for r in sides.collect()}
+    radius, filled = np.array([held[c]["radius"] if c in held else 0.0 for c in range(len(centres))]), np.array([c in held for c in range(len(centres))])
 
     def answers(batches):
         for batch in batches:
@@ -265,11 +270,20 @@ def nearest(table: DataFrame, is_query, k: int, keep: int = 96) -> DataFrame:
                 sizes = [len(f) for f in found]
                 yield to_batches({"query_id": np.repeat(query_ids, sizes), "query_key": np.repeat(query_keys, sizes), "vec_id": np.concatenate(found), "score": np.concatenate(scores)}, FOUND)
 
+    questions = stored(asked(valid, is_query), "queries")
+    lanes = questions.count() // LANE + 1
+    keys = lanes * sum(r["last"] + 1 for r in held.values())
+    # Bytes don't tell a key's work, so tasks are dealt by key and not merged by size.
+    tasks = min(TASKS, max(2 * keys, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
     def visit(queries: DataFrame) -> DataFrame:
         blocks = queries.mapInArrow(to_balls(centres, radius, filled, QUERIES, BLOCKS), "cell int, query_ids binary, query_keys binary, queries binary, thresholds binary")
-        return indexed.drop("radius").join(blocks, "cell").mapInArrow(answers, "query_id long, query_key long, vec_id long, score double")
+        blocks = blocks.join(F.broadcast(sides.select("cell", "last")), "cell").withColumn("lane", F.pmod(F.xxhash64("query_ids", "query_keys"), F.lit(lanes)).cast("int"))
+        blocks = blocks.select(*BLOCKS.names, "lane", F.explode(F.sequence(F.lit(0), "last")).alias("side"))
+        groups = indexed.drop("radius").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+        at = ["cell", "side", "lane"]
+        return groups.repartition(tasks, *at).join(blocks.repartition(tasks, *at), at).mapInArrow(answers, "query_id long, query_key long, vec_id long, score double")
 
-    questions = stored(asked(valid, is_query), "queries")
     near = best_of(visit(questions), k, "double").where(F.col("rank") == k)
     floors = stored(near.select(F.col("query_id").alias("vec_id"), "query_key", F.col("score").alias("threshold")), "floors")
     # The second round finds all that reach the floor, what the first found included.

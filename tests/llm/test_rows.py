@@ -154,6 +154,25 @@ def test_searches_ask_a_repeated_query_once(spark):
             assert [found[q, r] for r in range(1, 6)] == order
 
 
+def test_anisotropic_splits_cells_and_queries(spark, monkeypatch):
+    """Two thirds of the rows in one cell, several sides of it, several lanes of queries."""
+    for name, value in (("SAMPLE", 200), ("GROUP", 64), ("SIDE", 2), ("LANE", 8), ("QUERIES", 4), ("LEAST_CELLS", 3), ("TASKS", 5)):
+        monkeypatch.setattr(anisotropic, name, value)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 6))
+    x[:600] = x[0] + 0.01 * rng.normal(size=(600, 6))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in anisotropic.nearest(table, F.col("vec_id") % 20 == 0, 5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert len(got) == 45
+    for q, found in got.items():
+        scores = (x * x[q]).sum(axis=1)
+        others = sorted((i for i in range(len(x)) if i != q), key=lambda i: (-scores[i], i))[:5]
+        assert [v for _, v, _ in sorted(found)] == others
+        assert np.allclose([s for _, _, s in sorted(found)], scores[others])
+
+
 def test_mtree_is_exact_with_many_subtrees(spark, monkeypatch):
     for name, value in (("SUBTREE", 32), ("HELD", 64), ("FAN", 4), ("PAGE", 8), ("QUERIES", 7), ("LEAST_ROUTES", 6)):
         monkeypatch.setattr(mtree, name, value)
