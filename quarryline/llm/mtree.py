@@ -141,11 +141,11 @@ def build(entries: DataFrame, routes: np.ndarray) -> DataFrame:
 
 
 def inner_nodes(nodes: DataFrame) -> DataFrame:
-    """route, and of about FAN subtrees each its number, centre, radius, parent distance and longest vector."""
+    """route and part, and of about FAN subtrees each its number, centre, radius, parent distance and longest vector."""
     listed = nodes.select("route", "node", "centre", "radius", "parent", "longest")
     parts = listed.groupBy("route").agg(F.ceil(F.count("*") / FAN).alias("parts"))  # MOST_ROUTES rows at most
-    dealt = listed.join(F.broadcast(parts), "route").withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
-    return dealt.groupBy("route", "part").agg(F.collect_list(F.struct("node", "centre", "radius", "parent", "longest")).alias("subtrees")).drop("part")
+    dealt = listed.join(F.broadcast(parts), "route").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    return dealt.groupBy("route", "part").agg(F.collect_list(F.struct("node", "centre", "radius", "parent", "longest")).alias("subtrees"))
 
 
 def search(row: dict, query_ids: np.ndarray, queries: np.ndarray, thresholds: np.ndarray, k: int):
@@ -208,6 +208,7 @@ def top_k(rows: DataFrame, is_query, k: int) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     nodes = stored(build(entries, routes), "mtree")
     inner = stored(inner_nodes(nodes), "inner")
+    lasts = inner.groupBy("route").agg(F.max("part").alias("last"))  # one row for each routing object
     dims = routes.shape[1]
     # One row for each routing object, MOST_ROUTES at most.
     held = {r["route"]: r["radius"] for r in nodes.groupBy("route").agg(F.max(F.col("parent") + F.col("radius")).alias("radius")).collect()}
@@ -251,7 +252,9 @@ def top_k(rows: DataFrame, is_query, k: int) -> DataFrame:
 
     def visit(queries: DataFrame, first: bool) -> DataFrame:
         blocks = queries.mapInArrow(to_balls(routes, radius, filled, QUERIES, BLOCK), f"route int, {_ASKED_DDL}")
-        visits = inner.join(blocks, "route").mapInArrow(to_subtrees(first), f"node long, {_ASKED_DDL}")
+        # To each inner node of the routing object on its own, so that one with most subtrees is no hot key.
+        blocks = blocks.join(F.broadcast(lasts), "route").withColumn("part", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
+        visits = inner.join(blocks, ["route", "part"]).mapInArrow(to_subtrees(first), f"node long, {_ASKED_DDL}")
         return nodes.drop("route", "centre", "radius", "parent", "longest").join(visits, "node").mapInArrow(answers, "query_id long, query_key long, vec_id long, score long")
 
     queries = stored(asked(rows, is_query), "queries")
