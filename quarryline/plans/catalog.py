@@ -121,9 +121,9 @@ def _(spark, d):
 
 
 @query("top_events", with_live(f"""SELECT event_key, sensor, tier, severity, likelihood FROM live WHERE tier <> 'LOW' AND event_key NOT IN
-    (SELECT member_key FROM member WHERE story_id % 50 = 0) ORDER BY {RANK} DESC, severity + likelihood DESC, sensor, event_key LIMIT 10"""), "member", "result")
+    (SELECT member_key FROM member WHERE story_id IN (SELECT story_id FROM canonical ORDER BY window_end DESC, story_id LIMIT 5)) ORDER BY {RANK} DESC, severity + likelihood DESC, sensor, event_key LIMIT 10"""), "canonical", "member", "result")
 def _(spark, d):
-    stories = v.story(spark, d).where("story_id % 50 = 0")
+    stories = s.canonical_story(v.story(spark, d)).orderBy(F.desc("window_end"), "story_id").limit(5)
     return r.top_events(_live(spark, d), r.covered_members(stories, v.member(spark, d)), 10)
 
 
