@@ -129,7 +129,7 @@ def tables(query: np.ndarray, q: Quantiser) -> tuple[np.ndarray, float, float]:
 
 
 def scan(query_ids, queries, floors, ids, owners, x, codes, residuals, q: Quantiser, k: int, keep: int):
-    """The k best rows of a group for each query: four-bit scan, exact scores of all that can reach its floor; without one, the best ``keep`` give it.
+    """The k best rows of a group for each query: four-bit scan, exact scores of all that can reach its floor; without one, the best ``keep`` by their codes (or all, if fewer) give it.
 
     ``ids`` are the rows' vec_ids by vector, ascending; ``owners`` the vectors' positions in them (one more than vectors).
     """
@@ -147,13 +147,14 @@ def scan(query_ids, queries, floors, ids, owners, x, codes, residuals, q: Quanti
             about += table[m].take(codes[m])
         # Vectors that only the query's own rows hold take no part.
         own = np.flatnonzero(lone & (first == query_id))
-        if floor > -np.inf or len(about) > keep + len(own):
-            if floor == -np.inf:
-                rated = about.astype(np.float64)
-                rated[own] = -np.inf
-                at = np.argpartition(rated, len(rated) - keep)[len(rated) - keep :]
-                sure = (x[at] * query).sum(axis=1)
-                floor = float(np.partition(sure, keep - k)[keep - k])
+        best = min(keep, len(about) - len(own))
+        if floor == -np.inf and best >= k:
+            rated = about.astype(np.float64)
+            rated[own] = -np.inf
+            at = np.argpartition(rated, len(rated) - best)[len(rated) - best :]
+            sure = (x[at] * query).sum(axis=1)
+            floor = float(np.partition(sure, best - k)[best - k])
+        if floor > -np.inf:
             # What a code stands for is along * x and a part across x, so its product is along * score, give or take
             # across * (the query's length across x); tables round by half a step a place, sums by far less than 1e-9.
             size = float((query**2).sum())
@@ -168,7 +169,7 @@ def scan(query_ids, queries, floors, ids, owners, x, codes, residuals, q: Quanti
             wide = np.sqrt(np.maximum(0, size - (max(0.0, floor) / length[at]) ** 2))
             at = at[~(about[at] * step + slack < along[at] * floor - across[at] * wide) | (along[at] <= 0)]
             at = at[~np.isin(at, own)] if len(own) else at
-        else:
+        else:  # fewer than k candidates: each is an answer
             at = np.setdiff1d(np.arange(len(about)), own)
         exact = (x[at] * query).sum(axis=1)
         enough = exact >= floor - 1e-9 * float((query**2).sum()) ** 0.5 * largest

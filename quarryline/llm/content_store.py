@@ -42,6 +42,8 @@ WINDOW = 8
 #: A cut where the rolling hash's low bits are zero: chunks of about 256 ids, of 32 at least and 2048 at most.
 CUT_MASK, LEAST, MOST = np.uint64(255), 32, 2048
 DIGEST_BYTES = 16
+#: Bytes of text for each bucket of the table of slices, at the most.
+BUCKET = 64 << 20
 #: Children of an inner node of the Merkle tree.
 FAN = 256
 SLICES = pa.schema([("slice", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("new", pa.list_(pa.binary())), ("ids", pa.list_(pa.binary()))])
@@ -126,9 +128,18 @@ def _owned(batches):
 def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> None:
     """Encodes docs and writes the store: chunks once each, recipes in ascending doc_id order, the manifest."""
     spark = docs.sparkSession
-    name, buckets = f"slices_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    encoded_slices(docs, path, end_id).write.option("compression", "zstd").bucketBy(buckets, "slice").saveAsTable(name)
-    cut = spark.table(name)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    name, buckets = f"slices_{uuid.uuid4().hex}", max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET + 1)
+    try:
+        encoded_slices(docs, path, end_id).write.option("compression", "zstd").bucketBy(buckets, "slice").saveAsTable(name)
+        _write_store(spark.table(name), path, folder, buckets)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _write_store(cut: DataFrame, path: str, folder: str, buckets: int) -> None:
+    """Writes the store from the table of slices, which has ``buckets`` buckets."""
+    spark = cut.sparkSession
     owners = cut.select("slice", F.explode("new").alias("digest")).groupBy("digest").agg(F.min("slice").alias("slice"))
     # Dealt as the table is, so that its data needs no shuffle.
     owned = owners.repartition(buckets, "slice").groupBy("slice").agg(F.collect_list("digest").alias("owned"))
@@ -160,7 +171,6 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> Non
     width = 2 if max(vocabulary(path).strings) < 1 << 16 else 4
     head = [(width, level, *((top["documents"], top["tokens"], top["hash"]) if top else (0, 0, "")))]
     spark.createDataFrame(head, "width int, levels int, documents long, tokens long, root string").coalesce(1).write.parquet(f"{folder}/head")
-    spark.sql(f"DROP TABLE {name}")
 
 
 def _leaves(recipes: DataFrame) -> DataFrame:

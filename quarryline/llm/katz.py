@@ -259,7 +259,15 @@ def train_and_score(docs: DataFrame, modulus: int, remainder: int, order: int =
     buckets = 1 << max(4, (size // BUCKET).bit_length())
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SLICE + 1)
     name = f"katz_{uuid.uuid4().hex}"
-    cut = _slices(docs, modulus, remainder, name, parts)
+    try:
+        return _trained(_slices(docs, modulus, remainder, name, parts), order, folder, buckets, parts)
+    finally:
+        # The scores are stored, so that the slices can go; the model's tables stay.
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _trained(cut: DataFrame, order: int, folder: str, buckets: int, parts: int) -> DataFrame:
+    """The scores of all documents of a table of slices; writes the model's tables to folder."""
     answers: list[DataFrame] = []
     model: dict = {"d": {}}
 
@@ -330,11 +338,7 @@ def train_and_score(docs: DataFrame, modulus: int, remainder: int, order: int =
             "train_tokens": np.full(len(s.doc_ids), model["N"]), "base_score": add(base[stream]), "score": add(logs[s.at[order - 1]]),
         }, SCORES)
 
-    scored = over_slices(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    # Stored, so that the slices can go; the model's tables stay.
-    scored = stored(scored, "scores")
-    spark.sql(f"DROP TABLE {name}")
-    return scored
+    return stored(over_slices(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
 
 
 def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

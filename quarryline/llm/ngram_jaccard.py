@@ -298,14 +298,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component: the row of smallest doc_id (and, of several texts under it, smallest hash of the text), once.
 
-    Rows without text or words are linked with nothing and stay, each different (doc_id, text) once; rows without doc_id go; all
-    columns of docs are returned, whatever their names.
+    Rows without text or words are linked with nothing and stay, each different (doc_id, text) once, a null text being the empty one; of
+    rows that share doc_id and text the first stays, all their columns compared in order, nulls first; rows without doc_id go; all columns of docs, which must be
+    such as can be compared, are returned, whatever their names.
     """
     sets, found = _grouped(docs)
     first = found.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
     kept = first.unionByName(sets.where("n = 0").select("doc_id", "h")).distinct()
     match = (docs["doc_id"].cast("long") == kept["doc_id"]) & (_text_hash(docs) == kept["h"])
-    return docs.join(kept, match, "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    alike = docs.join(kept, match, "left_semi")
+    whole = F.struct(*(alike[c] for c in docs.columns))
+    return alike.groupBy(alike["doc_id"].cast("long").alias("id"), _text_hash(alike).alias("h")).agg(F.min(whole).alias("row")).select("row.*")
 
 
 def _sizes_fit():

@@ -5,14 +5,14 @@ Two zstandard dictionaries hold labelled good and bad text. All blocks of a text
 their sum becomes a probability by logistic calibration on labelled texts that are in neither dictionary,
 weighted to the labels' true shares.
 
-Bounds of the sample (parameters): ``per_label`` different texts of each label, chosen by a hash of the text. Half of them fill the
-dictionaries with pieces from hashed places all over the texts; the whole texts of the other half are compressed, by tasks,
-for the calibration. Scores always compress the whole text.
+Bounds of the sample (parameters): ``per_label`` different texts of each label, chosen by a hash of the text. In the order of their
+hashes, every other one of a label (the first among them) fills its dictionary with pieces from hashed places all over the texts; the whole texts of the
+others are compressed, by tasks, for the calibration. Scores always compress the whole text.
 
 Defined results: a null or empty text has the score that a difference of 0 gets; rows without doc_id are left
 out; repeated rows are scored each; documents without a label, or with a null one, are scored, not learned
-from; repeated labels of a document count once for each value; extra columns are ignored; with one label or
-none to learn from, all scores are 0.5; an empty table gives no rows.
+from; repeated labels of a document count once for each value; extra columns are ignored; with fewer than two different texts of
+either label to learn from, all scores are 0.5, as one text can't both fill a dictionary and calibrate; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,13 +93,15 @@ def pieces(raw: bytes, wanted: int) -> bytes:
 
 
 def fit(sample: DataFrame, good_share: float = 0.5, dictionary_bytes: int = 1 << 19) -> Model:
-    """Half of the sample (quality, h, text), by its hashes, fills the dictionaries; the other half calibrates.
+    """Every other text of a label of the sample (quality, h, text), by its hashes, fills the dictionaries; the rest calibrate.
 
     The driver gets ``dictionary_bytes`` of pieces of each label and a number for each calibrating text.
     """
     sample = stored(sample, "sample")
-    half = (F.pmod(F.shiftright("h", 20), F.lit(2)) == 0) if sample.limit(64).count() == 64 else F.lit(True)
-    counts = {r["quality"]: (r["n"], r["bytes"]) for r in sample.where(half).groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()}
+    turn = F.row_number().over(Window.partitionBy("quality").orderBy("h"))
+    # As many short rows as the sample has texts.
+    sample = sample.join(F.broadcast(sample.select("quality", "h", (turn % 2 == 1).alias("fills"))), ["quality", "h"])
+    counts = {r["quality"]: (r["n"], r["bytes"]) for r in sample.groupBy("quality").agg(F.count_if("fills").alias("n"), F.sum(F.when(F.col("fills"), F.octet_length("text"))).alias("bytes"), F.count("*").alias("all")).where("all > 1").collect()}
     if set(counts) != {0, 1}:
         return Model(b"", b"", 1.0, 0.0)
     size = min(dictionary_bytes, min(b for _, b in counts.values()))  # alike for both labels
@@ -111,17 +113,16 @@ def fit(sample: DataFrame, good_share: float = 0.5, dictionary_bytes: int = 1 <<
             yield pa.RecordBatch.from_arrays([batch.column("quality"), batch.column("h"), pa.array(found, pa.binary())], ["quality", "h", "piece"])
 
     parts: dict[int, list] = {0: [], 1: []}
-    for r in sample.where(half).mapInArrow(cut, "quality int, h long, piece binary").collect():
+    for r in sample.where("fills").select("quality", "h", "text").mapInArrow(cut, "quality int, h long, piece binary").collect():
         parts[r["quality"]].append((r["h"], bytes(r["piece"])))
     good, bad = (b"\n".join(p for _, p in sorted(parts[q]))[:size] for q in (1, 0))
-    rest = ~half if sample.where(~half).select("quality").distinct().count() == 2 else F.lit(True)
 
     def measure(batches):
         for batch in slices(batches):
             found = [difference(t, good, bad) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(found, pa.float64())], ["quality", "x"])
 
-    rows = sorted((r["x"], r["quality"]) for r in sample.where(rest).mapInArrow(measure, "quality int, x double").collect())
+    rows = sorted((r["x"], r["quality"]) for r in sample.where("not fills").select("quality", "text").mapInArrow(measure, "quality int, x double").collect())
     slope, shift = calibrate(np.array([x for x, _ in rows]), np.array([q for _, q in rows], float), good_share)
     return Model(good, bad, slope, shift)
 

@@ -12,6 +12,7 @@ hashes; the worker's table knows them by their letters.
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import unicodedata
 
@@ -24,6 +25,8 @@ from quarryline.llm.common import mix
 
 #: Different pre-tokens kept by a worker before its table starts afresh.
 TABLE_LIMIT = 600_000
+#: Bytes of a pre-token beyond which it is merged by a heap of its own; ids are the same either way.
+LONG = 1024
 _LETTER, _NUMBER, _OTHER, _SPACE = 0, 1, 2, 3
 
 
@@ -147,6 +150,7 @@ class Vocabulary:
         keys = np.array([(self.ids[a] << 32) | self.ids[b] for a, b in self.ranks], np.int64)
         made = np.array([self.ids[a + b] for a, b in self.ranks], np.int64)
         self.merge_keys, self.merge_rank, self.merge_made = keys, np.arange(len(keys)), made
+        self._merge_ranks: dict[int, int] | None = None
         self.hash_at = np.full(1 << self.HASH_BITS, -1, np.int32)
         with np.errstate(over="ignore"):
             slots = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.HASH_BITS)).tolist()
@@ -344,11 +348,63 @@ class Vocabulary:
             slot[open_] = (slot[open_] + 1) & ((1 << self.HASH_BITS) - 1)
         return rank, made
 
+    def merge_long(self, piece: bytes) -> list[int]:
+        """Exact merging of one long pre-token: a heap of (rank, place) over neighbours, the leftmost among equals first."""
+        raw = np.frombuffer(piece, np.uint8)
+        symbols = self.base[raw]
+        symbols[-1] = self.base_end[raw[-1]]
+        none = np.int64(1 << 40)
+        rank, _ = self._ranks(symbols[:-1], symbols[1:], np.ones(len(raw) - 1, bool), none)
+        at = np.flatnonzero(rank < none)
+        ids, n, merges = symbols.tolist(), len(raw), self._merges()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap, bits = np.sort((rank[at] << 32) | at).tolist(), (1 << 32) - 1  # sorted, so a heap
+        pop, push, get, pairs = heapq.heappop, heapq.heappush, merges.get, self._merge_pairs
+        while heap:
+            top = pop(heap)
+            i, (left, right, made) = top & bits, pairs[top >> 32]
+            j = after[i]
+            if ids[i] != left or j >= n or ids[j] != right:
+                continue  # one of the two has been merged since
+            k = after[j]
+            ids[i], ids[j], after[i] = made, -1, k
+            if k < n:
+                before[k] = i
+                if (r := get((made << 32) | ids[k])) is not None:
+                    push(heap, (r << 32) | i)
+            h = before[i]
+            if h >= 0 and (r := get((ids[h] << 32) | made)) is not None:
+                push(heap, (r << 32) | h)
+        return [x for x in ids if x >= 0]
+
+    def _merges(self) -> dict[int, int]:
+        """The rank of each pair of ids; made when a worker meets its first long pre-token."""
+        if self._merge_ranks is None:
+            keys, made = self.merge_keys.tolist(), self.merge_made.tolist()
+            self._merge_pairs = [(k >> 32, k & 0xFFFFFFFF, m) for k, m in zip(keys, made)]
+            self._merge_ranks = dict(zip(keys, self.merge_rank.tolist()))
+        return self._merge_ranks
+
     def merge_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of many pre-tokens: those of more than LONG bytes one by one, the rest at once."""
+        long = [i for i, p in enumerate(pieces) if len(p) > LONG]
+        if not long:
+            return self.merge_short(pieces)
+        short = [i for i, p in enumerate(pieces) if len(p) <= LONG]
+        flat, sizes = self.merge_short([pieces[i] for i in short])
+        parts: list = [None] * len(pieces)
+        for i, found in zip(short, np.split(flat, np.cumsum(sizes)[:-1]) if short else []):
+            parts[i] = found
+        for i in long:
+            parts[i] = np.array(self.merge_long(pieces[i]), np.uint32)
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+    def merge_short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Exact merging of many pre-tokens at once, as arrays.
 
         In each round every pre-token merges all places of its pair of lowest rank. Where they overlap (runs
-        of one letter) every other one is taken, from the left.
+        of one letter) every other one is taken, from the left. A round passes over all that is left, and a pre-token has
+        as many rounds as pairs of different rank, so that this is for pre-tokens of ordinary length.
         """
         lengths = np.array([len(p) for p in pieces], np.int64)
         if not len(pieces):
