@@ -115,16 +115,20 @@ def restore_scoped(text: Column, known: Column) -> Column:
     return restore(text, known, SCOPED_TOKEN)
 
 
-def restore(text: Column, known: Column, pattern: str = TOKEN) -> Column:
-    """Tokens turned back to their values; tokens that the map lacks, or gives to two values, stay."""
+def backward(known: Column) -> Column:
+    """A map of values to tokens turned round; tokens that it gives to two values are left out."""
 
-    def backward(pairs: Column) -> Column:
+    def turn(pairs: Column) -> Column:
         lone = lambda tokens: F.filter(pairs, lambda e: F.size(F.filter(tokens, lambda t: t == e["value"])) == 1)
         turned = lambda e: F.struct(e["value"].alias("key"), e["key"].alias("value"))
         return network.let(F.transform(pairs, lambda e: e["value"]), lambda tokens: F.map_from_entries(F.transform(lone(tokens), turned)))
 
-    back = network.let(F.map_entries(F.coalesce(known, F.expr(EMPTY))), backward)
-    return network.let(F.struct(text.alias("t"), back.alias("b")), lambda s: replaced(s["t"], pattern, lambda t: F.coalesce(F.try_element_at(s["b"], t), t)))
+    return network.let(F.map_entries(F.coalesce(known, F.expr(EMPTY))), turn)
+
+
+def restore(text: Column, known: Column, pattern: str = TOKEN) -> Column:
+    """Tokens turned back to their values; tokens that the map lacks, or gives to two values, stay."""
+    return network.let(F.struct(text.alias("t"), backward(known).alias("b")), lambda s: replaced(s["t"], pattern, lambda t: F.coalesce(F.try_element_at(s["b"], t), t)))
 
 
 def conflicts(rows: DataFrame, key: str, known: str = "known") -> DataFrame:

@@ -12,7 +12,7 @@ from quarryline.plans.catalog import DAY, DAY_AFTER, DAY_BEFORE, NOW, RANK, ROLL
 from quarryline.sources import views as v
 
 MODELS = ["m0", "m1"]
-VIEWS = ("latest", "result", "incident", "incident_member", "story_result")
+VIEWS = ("latest", "result", "incident", "story_state", "report_member", "story_result")
 _PREFERRED = "model IN ('m0', 'm1') AND NOT superseded"
 _EVENT = f"{RANK} DESC, severity + likelihood DESC, customer_id, sensor, event_key"
 
@@ -20,17 +20,18 @@ _EVENT = f"{RANK} DESC, severity + likelihood DESC, customer_id, sensor, event_k
 def _report_sql(subject: str, sql: str) -> str:
     """The parts of the report of subjects (an expression over customer_id) on DAY."""
     tagged = lambda t: f"(SELECT *, {TECH}[tag_a + 1] AS ta, {TECH}[tag_b + 1] AS tb FROM {t})"
-    return f""", canonical_incident AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY received_at DESC, story_version DESC) AS rn FROM incident) WHERE rn = 1),
+    return f""", canonical_incident AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY received_at DESC, story_version DESC) AS rn FROM incident SEMI JOIN (SELECT story_id, customer_id FROM story_state WHERE status = 'ready') USING (story_id, customer_id)) WHERE rn = 1),
     story_leaf AS (SELECT * EXCLUDE (rn) FROM (SELECT c.story_version, c.customer_id, c.window_start, c.window_end, r.*, {subject} AS subject_id, row_number() OVER (PARTITION BY story_id ORDER BY model, generation DESC) AS rn
         FROM canonical_incident c JOIN story_result r USING (story_id) WHERE {_PREFERRED} AND window_start < TIMESTAMP '{DAY_AFTER}' AND window_end > TIMESTAMP '{DAY}') WHERE rn = 1),
-    universe AS (SELECT * EXCLUDE (rn) FROM (SELECT *, {subject} AS subject_id, row_number() OVER (PARTITION BY sensor, event_key ORDER BY model, generation DESC) AS rn FROM result
+    event_leaf AS (SELECT * EXCLUDE (rn) FROM (SELECT *, {subject} AS subject_id, row_number() OVER (PARTITION BY customer_id, sensor, event_key ORDER BY model, generation DESC) AS rn FROM result
         WHERE {_PREFERRED} AND event_time >= TIMESTAMP '{DAY}' AND event_time < TIMESTAMP '{DAY_AFTER}') WHERE rn = 1),
     top_story AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY {RANK} DESC, severity + likelihood DESC, customer_id, story_id) AS place FROM story_leaf) WHERE place <= 5),
-    covered AS (SELECT DISTINCT subject_id, member_key AS event_key FROM incident_member JOIN top_story USING (story_id, story_version)),
-    top_event AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY {_EVENT}) AS place FROM universe ANTI JOIN covered USING (subject_id, event_key) WHERE tier <> 'LOW') WHERE place <= 10),
+    covered AS (SELECT DISTINCT subject_id, customer_id, m.sensor, member_key AS event_key FROM report_member m JOIN top_story USING (story_id, story_version)),
+    universe AS (SELECT * FROM event_leaf ANTI JOIN covered USING (subject_id, customer_id, sensor, event_key)),
+    top_event AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY {_EVENT}) AS place FROM universe WHERE tier <> 'LOW') WHERE place <= 10),
     uncited AS (SELECT *, {RANK} AS tier_rank FROM universe ANTI JOIN top_event USING (subject_id, customer_id, sensor, event_key)),
-    tagged AS (SELECT subject_id, unnest([ta, tb]) AS technique, tier_rank, severity + likelihood AS score, customer_id, sensor, event_key FROM {tagged("uncited")}),
-    cluster AS (SELECT subject_id, technique, n, tier_rank, customer_id, sensor, event_key FROM (SELECT *, count(*) OVER (PARTITION BY subject_id, technique) AS n,
+    tagged AS (SELECT subject_id, unnest([ta, tb]) AS technique, tier_rank, severity + likelihood AS score, customer_id, sensor, event_key, generation, model FROM {tagged("uncited")}),
+    cluster AS (SELECT subject_id, technique, n, tier_rank, customer_id, sensor, event_key, generation, model FROM (SELECT *, count(*) OVER (PARTITION BY subject_id, technique) AS n,
         row_number() OVER (PARTITION BY subject_id, technique ORDER BY tier_rank DESC, score DESC, customer_id, sensor, event_key) AS rn FROM tagged) WHERE rn = 1),
     exemplar AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY tier_rank DESC, n DESC, technique) AS place, count(*) OVER (PARTITION BY subject_id) AS total FROM cluster) WHERE place <= 10),
     scoped AS (SELECT *, {subject} AS subject_id FROM latest WHERE event_time >= TIMESTAMP '{DAY_BEFORE}' AND event_time < TIMESTAMP '{DAY_AFTER}'),
@@ -44,7 +45,7 @@ def _scope(spark, subject="customer_id"):
 
 
 def _parts(spark, d, subject="customer_id"):
-    return p.report_parts(_scope(spark, subject), v.incident(spark, d), v.incident_member(spark, d), v.story_result(spark, d), v.result(spark, d), _latest_in(spark, d), MODELS, DAY_BEFORE, DAY, DAY_AFTER)
+    return p.report_parts(_scope(spark, subject), v.incident(spark, d), v.story_state(spark, d), v.report_member(spark, d), v.story_result(spark, d), v.result(spark, d), _latest_in(spark, d), MODELS, DAY_BEFORE, DAY, DAY_AFTER)
 
 
 @query("report_top_stories", _report_sql("customer_id", "SELECT subject_id, CAST(place AS INTEGER) AS place, story_id, story_version, model, generation, tier FROM top_story"), *VIEWS)
@@ -77,7 +78,16 @@ def _(spark, d):
     return p.drift_scores(_parts(spark, d)["drift"])
 
 
-def _whole_sql(subject: str) -> str:
+def _refs_sql(rows: str, qualified: bool, keys: tuple[str, ...]) -> str:
+    """Each subject's references as JSON, by name and generation."""
+    fields = [("customer_id", "customer_id" if qualified else "nullif(customer_id, subject_id)"), *sorted([("generation", "generation"), ("model", "model"), *((k, k) for k in keys)])]
+    fields = sorted(fields)
+    told = " || ".join(f"coalesce('\"{name}\":' || " + (f"'\"' || {c} || '\"'" if name == "model" else c) + " || ',', '')" for name, c in fields)
+    return f"(SELECT subject_id, '[' || string_agg('{{' || rtrim({told}, ',') || '}}', ',' ORDER BY {', '.join(keys)}, generation, model, customer_id) || ']' AS t FROM {rows} GROUP BY subject_id)"
+
+
+def _whole_sql(subject: str, qualified: bool) -> str:
+    text = lambda c, quoted=True: f"""coalesce(',"{c}":{'"' if quoted else ''}' || {c} || '{'"' if quoted else ''}', '')"""
     listed = lambda t, text: f"(SELECT subject_id, string_agg({text}, ',' ORDER BY place) AS t FROM {t} GROUP BY subject_id)"
     return _report_sql(subject, f""", cited AS (SELECT subject_id, [{TECH}[tag_a + 1], {TECH}[tag_b + 1]] AS tags, cve, model, severity, likelihood, {RANK} AS r FROM top_story
         UNION ALL SELECT subject_id, [{TECH}[tag_a + 1], {TECH}[tag_b + 1]], NULL, model, severity, likelihood, {RANK} FROM top_event),
@@ -85,7 +95,7 @@ def _whole_sql(subject: str) -> str:
         max(likelihood) FILTER (WHERE model = 'm0') AS ol, max(r) FILTER (WHERE model = 'm0') AS own FROM cited GROUP BY subject_id),
     technique AS (SELECT subject_id, technique, n, row_number() OVER (PARTITION BY subject_id ORDER BY n DESC, technique) AS place FROM (SELECT subject_id, technique, count(*) AS n FROM (SELECT subject_id, unnest(tags) AS technique FROM cited) GROUP BY ALL)),
     sensor_top AS (SELECT * FROM (SELECT subject_id, customer_id, sensor, count(*) AS n, row_number() OVER (PARTITION BY subject_id ORDER BY count(*) DESC, customer_id, sensor) AS place FROM scoped WHERE event_time >= TIMESTAMP '{DAY}' GROUP BY subject_id, customer_id, sensor) WHERE place <= 10),
-    assembled AS (SELECT subject_id, coalesce(t.events_total, 0) AS events_total, coalesce(t.hosts, 0) AS hosts, coalesce(st.stories_total, 0) AS stories_total, s.t AS stories, e.t AS events, x.t AS exemplars, q.t AS techniques, k.t AS sensors,
+    assembled AS (SELECT subject_id, coalesce(t.events_total, 0) AS events_total, coalesce(t.hosts, 0) AS hosts, coalesce(st.stories_total, 0) AS stories_total, s.t AS stories, e.t AS events, x.t AS exemplars, q.t AS techniques, k.t AS sensors, sr.t AS story_refs, er.t AS event_refs, xr.t AS exemplar_refs,
         coalesce(ttp_tags, '') AS ttp_tags, coalesce(cve_refs, '') AS cve_refs, greatest(coalesce(drift_severity, 0) * 100, CAST(coalesce(os, 0) AS DOUBLE)) AS severity, greatest(coalesce(drift_likelihood, 0) * 100, CAST(coalesce(ol, 0) AS DOUBLE)) AS likelihood,
         ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][1 + greatest(coalesce(own, 0), CASE WHEN ds = 3 AND dl >= 2 THEN 3 WHEN (ds = 3 AND dl = 1) OR (ds = 2 AND dl >= 2) THEN 2 WHEN (ds = 3 AND dl = 0) OR (ds = 2 AND dl = 1) OR (ds = 1 AND dl >= 2) THEN 1 ELSE 0 END)] AS tier
         FROM (SELECT DISTINCT {subject} AS subject_id FROM range(5) r(customer_id))
@@ -94,23 +104,24 @@ def _whole_sql(subject: str) -> str:
         LEFT JOIN (SELECT *, (CASE WHEN drift_severity * 100 >= 40 THEN 1 ELSE 0 END + CASE WHEN drift_severity * 100 >= 60 THEN 1 ELSE 0 END + CASE WHEN drift_severity * 100 >= 80 THEN 1 ELSE 0 END) AS ds, CASE WHEN drift_likelihood = 1 THEN 3 ELSE 0 END AS dl FROM drift_score) USING (subject_id)
         LEFT JOIN score USING (subject_id) LEFT JOIN {listed("top_story", "story_id::VARCHAR")} s USING (subject_id) LEFT JOIN {listed("top_event", "event_key::VARCHAR")} e USING (subject_id)
         LEFT JOIN {listed("exemplar", "technique || ':' || n || ':' || event_key")} x USING (subject_id) LEFT JOIN {listed("technique", "technique || ':' || n")} q USING (subject_id) LEFT JOIN {listed("sensor_top", "customer_id || ':' || sensor || ':' || n")} k USING (subject_id)
+        LEFT JOIN {_refs_sql("top_story", qualified, ("story_id",))} sr USING (subject_id) LEFT JOIN {_refs_sql("top_event", qualified, ("sensor", "event_key"))} er USING (subject_id) LEFT JOIN {_refs_sql("exemplar", qualified, ("sensor", "event_key"))} xr USING (subject_id)
         WHERE t.events_total IS NOT NULL OR st.stories_total IS NOT NULL)
-    SELECT *, sha256('{{"cve_refs":"' || cve_refs || '","end":"{DAY_AFTER}"' || coalesce(',"events":"' || events || '"', '') || ',"events_total":' || events_total || coalesce(',"exemplars":"' || exemplars || '"', '') || ',"hosts":' || hosts || ',"model":"m0","start":"{DAY}"'
-        || coalesce(',"stories":"' || stories || '"', '') || ',"subject":' || subject_id || ',"tier":"' || tier || '","ttp_tags":"' || ttp_tags || '"}}') AS input_hash FROM assembled""")
+    SELECT * EXCLUDE (story_refs, event_refs, exemplar_refs), sha256('{{"cve_refs":"' || cve_refs || '","end":"{DAY_AFTER}"' || {text("event_refs", False)} || {text("events")} || ',"events_total":' || events_total || {text("exemplar_refs", False)} || {text("exemplars")} || ',"hosts":' || hosts
+        || ',"language":"EN","model":"m0","period":"DAILY"' || {text("sensors")} || ',"start":"{DAY}"' || {text("stories")} || ',"stories_total":' || stories_total || {text("story_refs", False)} || ',"subject":' || subject_id || {text("techniques")} || ',"tier":"' || tier || '","ttp_tags":"' || ttp_tags || '","zone":"UTC"}}') AS input_hash FROM assembled""")
 
 
-def _report(spark, d, subject):
-    return p.periodic_report(_scope(spark, subject), v.incident(spark, d), v.incident_member(spark, d), v.story_result(spark, d), v.result(spark, d), _latest_in(spark, d), MODELS, DAY_BEFORE, DAY, DAY_AFTER)
+def _report(spark, d, subject, qualified=False):
+    return p.periodic_report(_scope(spark, subject), v.incident(spark, d), v.story_state(spark, d), v.report_member(spark, d), v.story_result(spark, d), v.result(spark, d), _latest_in(spark, d), MODELS, DAY_BEFORE, DAY, DAY_AFTER, qualified)
 
 
-@query("periodic_report", _whole_sql("customer_id"), *VIEWS)
+@query("periodic_report", _whole_sql("customer_id", False), *VIEWS)
 def _(spark, d):
     return _report(spark, d, "customer_id")
 
 
-@query("group_report", _whole_sql("customer_id % 2"), *VIEWS)
+@query("group_report", _whole_sql("customer_id % 2", True), *VIEWS)
 def _(spark, d):
-    return _report(spark, d, "customer_id % 2")
+    return _report(spark, d, "customer_id % 2", True)
 
 
 @query("pinned_inputs", """SELECT report, position, customer_id, story_id, tier FROM (SELECT *, bool_and(tier IS NOT NULL) OVER (PARTITION BY report) AS whole FROM (

@@ -58,6 +58,8 @@ VIEW_SQL = {
     "incident_member": """
         SELECT l_orderkey AS story_id, 'v1' AS story_version, l_partkey AS member_key FROM lineitem
         UNION ALL SELECT l_orderkey, 'v2', l_partkey FROM lineitem WHERE l_orderkey % 4 = 0 AND l_linenumber % 2 = 1""",
+    "story_state": "SELECT o_orderkey AS story_id, o_custkey % 5 AS customer_id, CASE o_orderkey % 6 WHEN 5 THEN 'dirty' WHEN 4 THEN 'pending' ELSE 'ready' END AS status FROM orders",
+    "report_member": "SELECT m.*, coalesce(user_id + CASE WHEN story_id % 5 = 0 THEN 1 ELSE 0 END, member_key) % 7 AS sensor FROM incident_member m LEFT JOIN events ON event_id = member_key",
     "story_result": """
         SELECT *, CASE WHEN s = 3 AND l >= 2 THEN 'CRITICAL' WHEN (s = 3 AND l = 1) OR (s = 2 AND l >= 2) THEN 'HIGH'
                        WHEN (s = 3 AND l = 0) OR (s = 2 AND l = 1) OR (s = 1 AND l >= 2) THEN 'MEDIUM' ELSE 'LOW' END AS tier
@@ -72,7 +74,7 @@ VIEW_SQL = {
 
 def with_views(sql: str, *names: str) -> str:
     """An oracle's SQL over the named views, and those that they stand on."""
-    needs = {"latest": ("baseline",), "canonical": ("story",)}
+    needs = {"latest": ("baseline",), "canonical": ("story",), "report_member": ("incident_member",)}
     order = [n for n in VIEW_SQL if n in {*names, *(x for y in names for x in needs.get(y, ()))}]
     return "WITH " + ",\n".join(f"{n} AS ({VIEW_SQL[n]})" for n in order) + "\n" + sql
 
@@ -181,6 +183,20 @@ def incident_member(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select(F.col("l_orderkey").alias("story_id"), F.explode(versions).alias("story_version"), F.col("l_partkey").alias("member_key"))
 
 
+def story_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each story is analysed: a third of them isn't."""
+    status = F.when(F.col("o_orderkey") % 6 == 5, "dirty").when(F.col("o_orderkey") % 6 == 4, "pending").otherwise("ready")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("story_id"), (F.col("o_custkey") % 5).alias("customer_id"), status.alias("status"))
+
+
+def report_member(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of incidents with their sensor; a fifth of the stories names events of another sensor."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("member_key"), "user_id")
+    rows = incident_member(spark, sf_dir).join(e, "member_key", "left")
+    sensor = F.coalesce(F.col("user_id") + F.when(F.col("story_id") % 5 == 0, 1).otherwise(0), "member_key") % 7
+    return rows.select("story_id", "story_version", "member_key", sensor.alias("sensor"))
+
+
 def story_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of incidents: generations of one model, and for every third a second model's."""
     o = table(spark, sf_dir, "orders")
