@@ -1,109 +1,164 @@
 """Rewriting of JSON payloads at any depth: string values are mapped, keys, order and everything between them stay as they are.
 
 A payload is cut at its string literals, keys are told by the colon behind them, and values are decoded, mapped and encoded again; a literal whose value
-doesn't change keeps its own escapes. All string values of a row share one map. Everything is built-in expressions, whatever the depth.
+doesn't change keeps its own escapes, and numbers keep their digits. All string values of a row share one map. The work is on Arrow batches: nested
+expressions would repeat themselves at every pass (measured: 468 s for 5,000 rows redacted again, as built-in expressions).
 
-A null payload stays null; one that is no JSON is taken as a single text, so that nothing in it escapes redaction. Half a surrogate pair in a
-value that changes becomes a question mark.
+A null payload stays null; one that is no JSON is taken as a single text, so that nothing in it escapes redaction; a null map is an empty one. Half a
+surrogate pair in a value that changes is written as an escape.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+import json
+import re
+import socket
+from collections import Counter
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.functions.network import let
+from quarryline.functions import network
 from quarryline.operators import redaction as x
+from quarryline.operators.intel import EMAIL, IPV4
+
+#: A string literal, with the colon that makes it a key.
+LITERAL = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(\s*+:)?', re.DOTALL)
+_MAP = pa.map_(pa.string(), pa.string())
+
+
+def map_values(payload: str, change: Callable[[str], str]) -> str:
+    """The payload with each string value v replaced by change(v)."""
+    try:
+        json.loads(payload)
+    except ValueError:
+        return change(payload)
+
+    def told(m: re.Match) -> str:
+        if m[1] is not None:
+            return m[0]
+        old = json.loads(m[0])
+        new = change(old)
+        return m[0] if new == old else _literal(new)
+
+    return LITERAL.sub(told, payload)
+
+
+def _literal(value: str) -> str:
+    try:
+        value.encode()
+        return json.dumps(value, ensure_ascii=False)
+    except UnicodeEncodeError:
+        return json.dumps(value)
+
+
+def _digits(text: str) -> str | None:
+    """An address as hexadecimal digits, as ``network.ip_hex`` has it."""
+    if "%" in text:
+        return None
+    try:
+        return socket.inet_pton(socket.AF_INET6 if ":" in text else socket.AF_INET, text).hex()
+    except OSError:
+        return None
+
+
+class Redactor:
+    """The passes of ``redaction.sensitive`` for one text after another, with one map; new values are numbered on from the highest number of their kind."""
+
+    def __init__(self, ranges: Sequence[tuple[int, int]] = (), domains: Sequence[str] = (), ranges6: Sequence[tuple[str, str]] = ()):
+        own = [*network.PRIVATE4, *network.PRIVATE6, *((f"{a:08x}", f"{b:08x}") for a, b in ranges), *ranges6]
+        owned = tuple(d.lower() for d in domains)
+
+        @functools.lru_cache(1 << 16)
+        def inside(text: str) -> bool:
+            h = _digits(text)
+            return h is not None and any(len(a) == len(h) and a <= h <= b for a, b in own)
+
+        every = lambda m: True
+        domain = lambda m: any(m.lower() == d or m.lower().endswith("." + d) for d in owned)
+        plain = lambda p: re.compile(p, re.ASCII)
+        self.passes = [("EMAIL", "@", plain(EMAIL), every), ("MAC", "", plain(x.MAC), every), ("IP", ":", plain(x.IPV6), inside), ("IP", ".", plain(IPV4), inside)]
+        if owned:
+            self.passes.append(("DOMAIN", ".", plain(x.DOMAIN), domain))
+
+    def start(self, known: dict[str, str]) -> Callable[[str], str]:
+        """A function that redacts texts and extends known."""
+        highest: Counter = Counter()
+        for token in known.values():
+            if m := re.fullmatch(r"<<REDACTED_([A-Z]+)_(\d+)>>", token):
+                highest[m[1]] = max(highest[m[1]], int(m[2]))
+
+        def change(text: str) -> str:
+            for kind, needs, pattern, counts in self.passes:
+                if needs in text:
+                    text = pattern.sub(lambda m: token(kind, m[0]) if counts(m[0]) else m[0], text)  # noqa: B023
+            return text
+
+        def token(kind: str, value: str) -> str:
+            if value not in known:
+                highest[kind] += 1
+                known[value] = f"<<REDACTED_{kind}_{highest[kind]:03d}>>"
+            return known[value]
+
+        return change
+
+
+def _over(rows: DataFrame, payload: str, known: str, begin: Callable[[dict[str, str]], Callable[[str], str]]) -> DataFrame:
+    """rows with payload rewritten by begin(map of the row), which may extend the map."""
+    schema = rows.schema
+
+    def work(batches):
+        for batch in batches:
+            texts, maps = [], []
+            for text, pairs in zip(batch.column(payload).to_pylist(), batch.column(known).to_pylist()):
+                held = dict(pairs or ())
+                texts.append(None if text is None else map_values(text, begin(held)))
+                maps.append(list(held.items()))
+            made = {payload: pa.array(texts, pa.string()), known: pa.array(maps, _MAP)}
+            yield pa.RecordBatch.from_arrays([made.get(n, batch.column(n)) for n in batch.schema.names], batch.schema.names)
+
+    return rows.mapInArrow(work, schema)
 
-#: A string literal, with the colon that makes it a key. Possessive, so that long literals need no stack.
-LITERAL = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\s*+:)?'
-
-
-def is_json(payload: Column) -> Column:
-    return F.coalesce(F.try_parse_json(payload).isNotNull(), F.lit(False))
-
-
-def literals(payload: Column) -> Column:
-    return F.regexp_extract_all(payload, F.lit(LITERAL), F.lit(0))
-
-
-def values(found: Column) -> Column:
-    """The decoded value of each literal, null for a key: one parse a payload."""
-    bare = F.transform(found, lambda t: F.regexp_replace(t, r"\s*+:$", ""))
-    told = F.from_json(F.concat(F.lit("["), F.array_join(bare, ","), F.lit("]")), "array<string>")
-    return F.zip_with(found, told, lambda t, v: F.when(~t.endswith(":"), v))
-
-
-def rebuilt(payload: Column, found: Column, old: Column, new: Column) -> Column:
-    """The payload with the values of its literals replaced; equal ones keep their literal."""
-    encoded = F.transform(new, lambda v: F.when(v.isNotNull(), F.to_json(F.array(v))))
-    pairs = F.zip_with(F.zip_with(old, new, lambda a, b: a.eqNullSafe(b)), encoded, lambda same, t: F.when(~same, F.substring(t, F.lit(2), F.length(t) - 2)))
-    marks = F.zip_with(found, pairs, lambda t, changed: F.coalesce(changed, t))
-    return x.joined(payload, LITERAL, marks)
-
-
-def _opened(rows: DataFrame, payload: str) -> DataFrame:
-    """Rows with ``_json``, ``_found`` and ``_old``: a payload that is no JSON is its own only value."""
-    rows = rows.withColumn("_json", is_json(F.col(payload)))
-    rows = rows.withColumn("_found", F.when(F.col("_json"), literals(F.col(payload))).otherwise(F.array().cast("array<string>")))
-    return rows.withColumn("_old", F.when(F.col("_json"), values(F.col("_found"))).otherwise(F.array(payload)))
 
+def redact_json(rows: DataFrame, payload: str = "payload", known: str = "known", ranges: Sequence[tuple[int, int]] = (), domains: Sequence[str] = (), ranges6: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Rows with the string values of ``payload`` redacted at any depth and ``known`` (value to token) extended; keys stay."""
+    held: list[Redactor] = []  # a task's own
 
-def _closed(rows: DataFrame, payload: str, new: str) -> DataFrame:
-    whole = F.when(F.col("_json"), rebuilt(F.col(payload), F.col("_found"), F.col("_old"), F.col(new))).otherwise(F.get(new, F.lit(0)))
-    return rows.withColumn(payload, F.when(F.col(payload).isNotNull(), whole)).drop("_json", "_found", "_old", new)
+    def begin(values: dict[str, str]) -> Callable[[str], str]:
+        if not held:
+            held.append(Redactor(ranges, domains, ranges6))
+        return held[0].start(values)
 
+    return _over(rows, payload, known, begin)
 
-def redact_values(rows: DataFrame, texts: str, known: str = "known", ranges: Sequence[tuple[int, int]] = (), domains: Sequence[str] = (), ranges6: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """``redact`` of an array of texts (nulls stay) with one map: new values are numbered in the order of the texts."""
-    rows = rows.withColumn(known, F.coalesce(F.col(known), F.expr(x.EMPTY)))
-    passes: dict[str, list] = {}
-    for kind, pattern, counts in x.sensitive(ranges, domains, ranges6):
-        passes.setdefault(kind, []).append((pattern, counts))
-    for kind, parts in passes.items():
-        prefix = f"<<REDACTED_{kind}_"
-        met = F.flatten(F.transform(texts, lambda t: F.concat(*(F.filter(x.matches(t, p), c) for p, c in parts))))  # noqa: B023
-        fresh = F.array_except(F.array_distinct(met), F.map_keys(known))
-        numbers = F.transform(F.map_values(known), lambda t: F.regexp_extract(t, prefix + r"(\d+)>>$", 1).try_cast("int"))  # noqa: B023
-        rows = rows.withColumns({"_fresh": fresh, "_offset": F.coalesce(F.array_max(numbers), F.lit(0))})
-        token = F.transform("_fresh", lambda v, i: F.concat(F.lit(prefix), x._number(F.col("_offset") + i + 1), F.lit(">>")))  # noqa: B023
-        rows = rows.withColumn(known, F.map_concat(known, F.map_from_arrays("_fresh", token)))
-        for pattern, counts in parts:
-            told = lambda m: F.when(counts(m), F.try_element_at(F.col(known), m)).otherwise(m)  # noqa: B023, E731
-            rows = rows.withColumn(texts, F.transform(texts, lambda t: x.replaced(t, pattern, told)))  # noqa: B023
-    return rows.drop("_fresh", "_offset")
 
-
-def redact_json(rows: DataFrame, payload: str = "payload", known: str = "known", ranges: Sequence[tuple[int, int]] = (), domains: Sequence[str] = (), ranges6: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """Rows with the string values of ``payload`` redacted at any depth and ``known`` (value to token) extended; keys stay."""
-    opened = _opened(rows, payload).withColumn("_new", F.col("_old"))
-    return _closed(redact_values(opened, "_new", known, ranges, domains, ranges6), payload, "_new")
+def _backward(known: dict[str, str]) -> dict[str, str]:
+    """Tokens to values, without those that stand for two."""
+    times = Counter(known.values())
+    return {t: v for v, t in known.items() if times[t] == 1}
 
 
 def restore_json(rows: DataFrame, payload: str = "payload", known: str = "known", pattern: str = x.SCOPED_TOKEN) -> DataFrame:
-    """Rows with the tokens in string values turned back; the way back of ``redact_json``."""
-    opened = _opened(rows, payload)
-    return _closed(opened.withColumn("_new", restored(F.col("_old"), F.col(known), pattern)), payload, "_new")
-
+    """Rows with the tokens in string values turned back; tokens that the map lacks, or gives to two values, stay. The way back of ``redact_json``."""
 
-def restored(texts: Column, known: Column, pattern: str = x.SCOPED_TOKEN) -> Column:
-    """``restore`` of an array of texts with one map: tokens that the map lacks, or gives to two values, stay."""
+    def begin(values: dict[str, str]) -> Callable[[str], str]:
+        back = _backward(values)
+        return lambda text: re.sub(pattern, lambda m: back.get(m[0], m[0]), text)
 
-    def turned(s: Column) -> Column:
-        back = lambda t: F.coalesce(F.try_element_at(s["b"], t), t)
-        return F.transform(s["t"], lambda t: x.replaced(t, pattern, back))
-
-    return let(F.struct(texts.alias("t"), x.backward(known).alias("b")), turned)
+    return _over(rows, payload, known, begin)
 
 
 def redact_json_again(rows: DataFrame, version: str, payload: str = "payload", known: str = "known", ranges: Sequence[tuple[int, int]] = (), domains: Sequence[str] = (), most_failures: int = 0) -> tuple[DataFrame, DataFrame]:
-    """``redact_again`` of payloads: rows of another policy version, restored and redacted under this one, and the job's counts."""
+    """``redact_again`` of payloads: rows of another policy version, restored and redacted under this one, and the job's counts.
+
+    Values keep their tokens, as the new map starts from the old one; a row whose map gives two values one token fails and isn't touched.
+    """
     old = rows.where(F.col("version") != version)
     pairs = F.coalesce(F.map_values(known), F.array().cast("array<string>"))
     marked = old.withColumn("failed", F.size(F.array_distinct(pairs)) != F.size(pairs))
-    plain = restore_json(marked.where("not failed"), payload, known)
-    again = redact_json(plain, payload, known, ranges, domains).withColumn("version", F.lit(version)).drop("failed")
+    again = redact_json(restore_json(marked.where("not failed"), payload, known), payload, known, ranges, domains)
     counts = marked.agg(F.count("*").alias("items"), F.count_if("failed").alias("failed"))
-    return again, counts.withColumn("stopped", F.col("failed") > most_failures)
+    return again.drop("failed").withColumn("version", F.lit(version)), counts.withColumn("stopped", F.col("failed") > most_failures)
