@@ -84,9 +84,9 @@ def exemplars(universe: DataFrame, cited: DataFrame, k: int = EXEMPLARS) -> Data
     first = F.min(F.struct((-tier_rank()).alias("rank"), (-F.col("severity") - F.col("likelihood")).alias("score"), *EVENT_KEY, "generation", "model"))
     rows = uncited.withColumn("technique", F.explode("tags")).groupBy("subject_id", "technique").agg(F.count("*").alias("n"), first.alias("f"))
     rows = rows.select("subject_id", "technique", "n", (-F.col("f.rank")).alias("tier_rank"), F.col("f.customer_id").alias("customer_id"), F.col("f.sensor").alias("sensor"), F.col("f.event_key").alias("event_key"), F.col("f.generation").alias("generation"), F.col("f.model").alias("model"))
-    totals = rows.groupBy("subject_id").agg(F.count("*").alias("total"))
-    kept = _top(rows, [F.desc("tier_rank"), F.desc("n"), F.asc("technique")], k)
-    return kept.join(totals, "subject_id").withColumn("dropped", F.greatest(F.col("total") - k, F.lit(0)))
+    # A row for each technique of a subject, of which there are some hundreds.
+    rows = rows.withColumn("total", F.count("*").over(Window.partitionBy("subject_id")))
+    return _top(rows, [F.desc("tier_rank"), F.desc("n"), F.asc("technique")], k).withColumn("dropped", F.greatest(F.col("total") - k, F.lit(0)))
 
 
 def exemplar_factor(severity: Column, likelihood: Column, none: str = "insufficient evidence") -> Column:
@@ -213,10 +213,10 @@ def periodic_report(scope, incidents, states, members, story_results, results, l
     tail = p["exemplars"].withColumn("exemplar_ref", event_ref).groupBy("subject_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat_ws(":", "technique", "n", "event_key").alias("t")))), lambda x: x["t"]), ",").alias("exemplars"), F.collect_list("exemplar_ref").alias("exemplar_refs"),
     ).select("subject_id", "exemplars", _sorted_refs("exemplar_refs").alias("exemplar_refs"))
-    counts = p["totals"].join(drift_scores(p["drift"]), "subject_id", "full").join(listed(p["sensors"], F.concat_ws(":", "customer_id", "sensor", "n"), "sensors"), "subject_id", "left")
+    counts = p["totals"].join(drift_scores(p["drift"]), "subject_id", "full").join(listed(p["sensors"], F.concat_ws(":", "customer_id", "sensor", "n"), "sensors"), "subject_id", "left").join(p["story_totals"], "subject_id", "full")
     out = scope.select("subject_id").distinct()
     # A row for each subject.
-    for part in (kept(counts, "period"), p["story_totals"], told, tail):
+    for part in (kept(counts, "period"), told, tail):
         out = out.join(part, "subject_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     drift_s, drift_l = zero("drift_severity") * 100, zero("drift_likelihood") * 100
