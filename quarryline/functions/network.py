@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -12,18 +13,60 @@ PRIVATE4 = (("0a000000", "0affffff"), ("ac100000", "ac1fffff"), ("c0a80000", "c0
 PRIVATE6 = (("fc" + "0" * 30, "fd" + "f" * 30), ("fe80" + "0" * 28, "febf" + "f" * 28), ("0" * 31 + "1", "0" * 31 + "1"))
 
 
+#: Address blocks of special purpose (class, block), as registered; all else is unicast.
+SPECIAL = (
+    ("unspecified", "0.0.0.0/8"), ("broadcast", "255.255.255.255/32"), ("multicast", "224.0.0.0/4"), ("link_local", "169.254.0.0/16"), ("loopback", "127.0.0.0/8"), ("carrier_nat", "100.64.0.0/10"),
+    ("private", "10.0.0.0/8"), ("private", "172.16.0.0/12"), ("private", "192.168.0.0/16"), ("as112", "192.175.48.0/24"), ("as112", "192.31.196.0/24"), ("amt", "192.52.193.0/24"),
+    ("reserved", "192.0.0.0/24"), ("reserved", "192.0.2.0/24"), ("reserved", "192.88.99.0/24"), ("reserved", "198.18.0.0/15"), ("reserved", "198.51.100.0/24"), ("reserved", "203.0.113.0/24"), ("reserved", "240.0.0.0/4"),
+    ("unspecified", "::/128"), ("loopback", "::1/128"), ("link_local", "fe80::/10"), ("multicast", "ff00::/8"), ("unique_local", "fc00::/7"), ("mapped", "::ffff:0:0/96"), ("translated", "::ffff:0:0:0/96"), ("translated", "64:ff9b::/96"),
+    ("discard", "100::/64"), ("6to4", "2002::/16"), ("teredo", "2001::/32"), ("benchmarking", "2001:2::/48"), ("amt", "2001:3::/32"), ("as112", "2001:4:112::/48"), ("as112", "2620:4f:8000::/48"),
+    ("orchid", "2001:10::/28"), ("orchid", "2001:20::/28"), ("drone_tags", "2001:30::/28"), ("reserved", "2001::/23"), ("reserved", "2001:db8::/32"),
+)
+
+
+def _special(version: int) -> list[tuple[str, str, str]]:
+    """(low, high, class) of the blocks of a kind of address in ascending order; what lies within another comes first."""
+    nets = [(ipaddress.ip_network(block), name) for name, block in SPECIAL]
+    nets = sorted((x for x in nets if x[0].version == version), key=lambda x: (-x[0].prefixlen, x[0].network_address))
+    return [(n.network_address.packed.hex(), n.broadcast_address.packed.hex(), name) for n, name in nets]
+
+
+def address_class(digits: Column) -> Column:
+    """The class of an address's block of special purpose, ``unicast`` for all others, null for none. An IPv4 address inside an IPv6 one is judged itself."""
+
+    def of(h: Column, version: int) -> Column:
+        table = F.array(*(F.struct(F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(name).alias("name")) for low, high, name in _special(version)))
+        return F.coalesce(F.get(F.filter(table, lambda x: h.between(x["low"], x["high"])), F.lit(0))["name"], F.lit("unicast"))
+
+    own = lambda h: F.when(h.startswith("0" * 20 + "ffff") & (F.length(h) == 32), F.substring(h, 25, 8)).otherwise(h)
+    return let(let(digits, own), lambda h: F.when(F.length(h) == 8, of(h, 4)).when(F.length(h) == 32, of(h, 6)))
+
+
+def is_public(digits: Column) -> Column:
+    """Whether an address is unicast to all; null for none."""
+    return address_class(digits) == "unicast"
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value worked out once: expressions that name it often stay small."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def ipv4_hex(text: Column) -> Column:
-    """8 digits, or null for what is no dotted address (octets of 0 to 255, without leading zeros)."""
+def ipv4_hex(text: Column, octal: bool = False) -> Column:
+    """8 digits, or null for what is no dotted address (octets of 0 to 255, without leading zeros; with ``octal`` those are read as octal)."""
+    if octal:
+        return ipv4_hex(let(text, _decimal))
     octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
     digits = lambda t: F.array_join(F.transform(F.split(t, r"\."), lambda x: F.lpad(F.lower(F.hex(x.try_cast("int"))), 2, "0")), "")
     return let(text, lambda t: F.when(t.rlike(rf"^{octet}(?:\.{octet}){{3}}$"), digits(t)))
 
 
+def _decimal(text: Column) -> Column:
+    """Dotted numbers with octal ones (a leading zero, digits to 7) in decimal."""
+    turned = lambda x: F.when(x.rlike("^0[0-7]+$"), F.conv(x, 8, 10)).otherwise(x)
+    return F.when(F.length(text) < 20, F.when(text.rlike(r"(?:^|\.)0\d"), F.array_join(F.transform(F.split(text, r"\."), turned), ".")).otherwise(text))
+
+
 def ipv6_hex(text: Column) -> Column:
     """32 digits, or null; ``::`` stands for one group at least, the last 32 bits may be dotted."""
 
@@ -43,8 +86,8 @@ def ipv6_hex(text: Column) -> Column:
     return let(let(F.split(F.lower(let(text, undotted)), "::", -1), cut), joined)
 
 
-def ip_hex(text: Column) -> Column:
-    return let(F.trim(text), lambda t: F.when(F.contains(t, F.lit(":")), ipv6_hex(t)).otherwise(ipv4_hex(t)))
+def ip_hex(text: Column, octal: bool = False) -> Column:
+    return let(F.trim(text), lambda t: F.when(F.contains(t, F.lit(":")), ipv6_hex(t)).otherwise(ipv4_hex(t, octal)))
 
 
 def canonical_ip(digits: Column) -> Column:

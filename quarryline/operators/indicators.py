@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions import network as n
-from quarryline.operators.redaction import replaced
+from quarryline.functions.domains import SuffixRules, host_of, with_registered
+from quarryline.operators.redaction import backward, replaced
 
 VERSION = "1"
 #: The patterns that indicators are found by, in this order, and endings that are no domains.
@@ -18,8 +19,11 @@ ADDRESSES4 = r"(?<!\d\.)(?<!\d)(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 ADDRESSES6 = r"\b(?:[0-9a-fA-F]{1,4}:){2,7}[0-9a-fA-F]{0,4}(?:::)?[0-9a-fA-F:]*\b"
 HASHES = r"\b(?:[0-9a-fA-F]{64}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})\b"
 DOMAINS = r"\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}\b"
-FILE_ENDINGS = ("tmp", "exe", "dll", "zip", "rar", "gz", "tar", "pdf", "doc", "docx", "xls", "xlsx")
-#: Public suffixes of two labels; one label is taken for a suffix otherwise. A list of one's own can be given.
+FILE_ENDINGS = (
+    "tmp", "exe", "dll", "zip", "rar", "gz", "tar", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "txt", "log", "csv", "json", "xml", "html",
+    "htm", "js", "css", "png", "jpg", "jpeg", "gif", "svg", "bin", "dat", "bat", "ps1", "sh", "dmg", "iso", "msi", "lnk",
+)
+#: Public suffixes of two labels, where no rules are given (``functions.domains``); one label is taken for a suffix otherwise.
 SUFFIXES = ("co.uk", "ac.uk", "gov.uk", "co.kr", "or.kr", "go.kr", "co.jp", "ne.jp", "com.au", "com.br", "com.cn")
 #: What promotes a soft match, and the order of evidence.
 CONFIDENCE, SOURCES = 70, 2
@@ -39,8 +43,8 @@ def registered_domain(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Colum
 
 
 def normal_ip(text: Column) -> Column:
-    told = lambda h: F.when(h.isNotNull(), n.let(n.canonical_ip(h), lambda value: _indicator("IP", value, F.array(value), ~n.private(h))))
-    return n.let(n.ip_hex(text), told)
+    told = lambda h: F.when(h.isNotNull(), n.let(n.canonical_ip(h), lambda value: _indicator("IP", value, F.array(value), n.is_public(h))))
+    return n.let(n.ip_hex(text, octal=True), told)
 
 
 def normal_domain(text: Column) -> Column:
@@ -86,15 +90,19 @@ def indicator_key(entity: Column, value: Column) -> Column:
     return F.concat_ws("\u0000", F.lit(VERSION), entity, value)
 
 
-def extract_all(rows: DataFrame, key: str, text: str, known: str | None = None, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+def extract_all(rows: DataFrame, key: str, text: str, known: str | None = None, suffixes: Sequence[str] = SUFFIXES, rules: SuffixRules | None = None, strict: bool = False) -> DataFrame:
     """Different indicators (key, entity, value, candidates, public, token) of each text.
 
     Tokens of ``known`` (a map of values to tokens) that stand for addresses come first; then URLs, addresses, hashes and domains, each
-    blanked before the next. What has no normal form gives no row. A null text gives no rows.
+    blanked before the next. What has no normal form gives no row. A null text gives no rows. A token that the map gives to two values is passed over.
+
+    With ``rules`` registered domains are told by them, for domains and for what a URL matches; a domain that has none (``strict``: for want of a rule) gives no row.
     """
+    if rules is not None:
+        suffixes = ()  # names of two labels pass here; the rules are asked below, on the exploded rows
     found = []
     if known:
-        back = F.map_from_arrays(F.map_values(known), F.map_keys(known))
+        back = backward(F.col(known))
         tokens = F.filter(F.regexp_extract_all(F.col(text), F.lit(TOKENS), F.lit(0)), lambda t: F.contains(t, F.lit("_IP_")))
         found.append(F.transform(tokens, lambda t: F.struct(normal_ip(F.try_element_at(back, t)).alias("i"), t.alias("token"))))
     left = F.regexp_replace(F.col(text), TOKENS, " ")
@@ -107,10 +115,20 @@ def extract_all(rows: DataFrame, key: str, text: str, known: str | None = None,
         found.append(F.col(name))
         left = F.regexp_replace("_left", pattern, " ")
     every = rows.select(key, F.posexplode(F.filter(F.concat(*found), lambda x: x["i"].isNotNull())).alias("place", "x")).select(key, "place", "x.i.*", "x.token")
+    if rules is not None:
+        every = _by_rules(every, rules, strict)
     first = every.groupBy(key, "entity", "value").agg(F.min(F.struct("place", "candidates", "public", "token")).alias("f"))
     return first.select(key, "entity", "value", "f.candidates", "f.public", "f.token")
 
 
+def _by_rules(rows: DataFrame, rules: SuffixRules, strict: bool) -> DataFrame:
+    """Indicators with registered domains by rules: domains without one go, URLs match by their own."""
+    named = with_registered(rows.withColumn("_host", host_of(F.col("entity"), F.col("value"))), "_host", rules, "_registered", strict)
+    named = named.where("entity <> 'DOMAIN' or _registered is not null")
+    url = F.array_distinct(F.array_compact(F.array("value", "_host", "_registered")))
+    return named.withColumn("candidates", F.when(F.col("entity") == "URL", url).otherwise(F.col("candidates"))).drop("_host", "_registered")
+
+
 def match_feeds(indicators: DataFrame, feed: DataFrame) -> DataFrame:
     """Each indicator with the feed rows that name one of its candidates, or whose range holds its address, once each.
 

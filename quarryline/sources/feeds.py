@@ -83,7 +83,7 @@ def free_text(rows: DataFrame, key: str, text: str) -> DataFrame:
     passes = (("URL", URL), ("HASH", HEX), ("IP", IPV4))
     left, found = F.col(text), []
     for entity, pattern in passes:
-        hits = F.transform(F.regexp_extract_all(left, F.lit(pattern), F.lit(0)), lambda x: F.regexp_replace(x, r"[.,;:)\]]+$", ""))
+        hits = F.transform(F.regexp_extract_all(left, F.lit(pattern), F.lit(0)), lambda x: F.regexp_replace(x, r"[.,;:!?'\")\]}>]+$", ""))
         value = (lambda x: x) if entity == "URL" else F.lower
         found.append(F.transform(hits, lambda x: F.struct(F.lit(entity).alias("entity"), value(x).alias("indicator"))))  # noqa: B023
         left = F.regexp_replace(left, pattern, " ")
@@ -221,16 +221,21 @@ def csv_columns(lines: DataFrame, header: Sequence[str] | None = None, n: int |
 
 
 #: Endings of file names, which are no domains.
-FILE_ENDINGS = ("exe", "dll", "doc", "docx", "xls", "xlsx", "pdf", "zip", "rar", "js", "vbs", "ps1", "php", "html", "txt")
+FILE_ENDINGS = (
+    "exe", "dll", "bin", "dat", "sys", "scr", "msi", "dmg", "iso", "img", "php", "html", "htm", "asp", "aspx", "jsp", "cgi", "js", "css", "json", "xml", "yml", "yaml", "md", "txt", "log", "csv", "tsv", "ini", "cfg", "conf", "toml",
+    "png", "jpg", "jpeg", "gif", "bmp", "svg", "ico", "webp", "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "rtf", "zip", "rar", "gz", "tar", "7z", "bz2", "sh", "bat", "ps1", "vbs", "py", "rb", "pl", "go", "rs", "c", "cpp", "h",
+    "sql", "db", "bak", "tmp", "lnk", "jar", "apk", "deb", "rpm", "sig", "yar", "yara", "rules", "ioc", "stix",
+)
 
 
 def free_text_all(rows: DataFrame, key: str, text: str, keep_line: str | None = None) -> DataFrame:
-    """``free_text`` with a last pass for domains: names that end in no file's ending, lower case, once each; ``keep_line`` is a pattern that texts must match."""
-    rows = rows.where(F.col(text).rlike(keep_line)) if keep_line else rows
+    """``free_text`` with a last pass for domains: names that end in no file's ending, lower case, once each; of a text only the lines that hold a match of ``keep_line`` are read."""
+    if keep_line:
+        rows = rows.withColumn(text, F.array_join(F.filter(F.split(text, r"\r?\n", -1), lambda line: line.rlike(keep_line)), "\n"))
     left = F.col(text)
     for pattern in (URL, HEX, IPV4):
         left = F.regexp_replace(left, pattern, " ")
-    names = F.transform(F.regexp_extract_all(left, F.lit(r"\b(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}\b"), F.lit(0)), F.lower)
+    names = F.transform(F.regexp_extract_all(left, F.lit(r"\b(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}\b"), F.lit(0)), F.lower)
     names = F.filter(names, lambda x: ~F.element_at(F.split(x, r"\."), -1).isin(list(FILE_ENDINGS)))
     domains = rows.select(key, F.explode(F.array_distinct(names)).alias("indicator")).select(key, F.lit("DOMAIN").alias("entity"), "indicator")
     return free_text(rows, key, text).unionByName(domains)
