@@ -89,8 +89,12 @@ def _(spark, d):
     return f.warning_lists(v.table(spark, d, "nation").selectExpr(f"{LISTS} AS value"))
 
 
-@query("feed_fingerprint", """SELECT source, n, sha256(n || ':' || total) AS digest FROM (SELECT source, count(*) AS n, CAST(sum(CAST('0x' || sha256(cve || ':' || kev)[1:12] AS HUGEINT)) AS VARCHAR) AS total
-    FROM cve GROUP BY source)""", "cve")
+_TREE_HASH = "(SELECT source, p, n::VARCHAR AS h, n FROM (SELECT source, sha256(cve || ':' || kev) AS p, count(*) AS n FROM cve GROUP BY ALL))"
+for _length in f.LEVELS:
+    _TREE_HASH = f"(SELECT source, substring(p, 1, {_length}) AS p, sha256(string_agg(p || ':' || h, ',' ORDER BY p || ':' || h)) AS h, sum(n)::BIGINT AS n FROM {_TREE_HASH} GROUP BY source, substring(p, 1, {_length}))"
+
+
+@query("feed_fingerprint", f"SELECT source, n, h AS digest FROM {_TREE_HASH}", "cve")
 def _(spark, d):
     return f.fingerprint(v.cve(spark, d), ["source"], F.concat_ws(":", "cve", F.col("kev").cast("string")))
 

@@ -124,11 +124,22 @@ def replace_source(snapshot: DataFrame, source: str, rows: DataFrame) -> DataFra
     return snapshot.where(~F.col("source").eqNullSafe(F.lit(source))).unionByName(new)
 
 
+#: Hexadecimal digits of a row's digest that the levels of a fingerprint go by; 16 million leaves a key.
+LEVELS = (6, 4, 2, 0)
+
+
 def fingerprint(rows: DataFrame, keys: Sequence[str], row: Column) -> DataFrame:
-    """For each key a digest of its bag of rows, in any order: SHA-256 of the count and the sum of the rows' digests."""
-    digest = F.conv(F.substring(F.sha2(row, 256), 1, 12), 16, 10).cast("decimal(38,0)")
-    found = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(digest).alias("total"))
-    return found.select(*keys, "n", F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("total").cast("string")), 256).alias("digest"))
+    """For each key the number of its rows and a SHA-256 of its bag of rows: equal for equal bags, in any order, over any number of partitions.
+
+    Equal rows are counted before the shuffle. A row's digest says which leaf it is in; a leaf's hash is that of its sorted digests with their
+    counts, an inner one that of its sorted children, 256 at most. A null row is one of its own.
+    """
+    ones = rows.select(*keys, F.coalesce(F.sha2(row, 256), F.lit("")).alias("d")).groupBy(*keys, "d").agg(F.count("*").alias("n"))
+    level = ones.select(*keys, F.col("d").alias("p"), F.col("n").cast("string").alias("h"), "n")
+    for length in LEVELS:
+        told = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "p", "h"))), ",")
+        level = level.groupBy(*keys, F.substring("p", 1, length).alias("q")).agg(F.sha2(told, 256).alias("h"), F.sum("n").alias("n")).withColumnRenamed("q", "p")
+    return level.select(*keys, "n", F.col("h").alias("digest"))
 
 
 #: The parts that are read of a page of the vulnerability database.
