@@ -63,6 +63,23 @@ def year_buckets(spark: SparkSession, year: int) -> DataFrame:
     return days.select(F.explode(F.array_compact(kinds)).alias("kind"), "bucket")
 
 
+def buckets_of_years(years: DataFrame) -> DataFrame:
+    """``year_buckets`` of each row's year (columns year, kind, bucket)."""
+    days = years.select("year", F.explode(F.sequence(F.make_date("year", F.lit(1), F.lit(1)), F.make_date("year", F.lit(12), F.lit(31)))).alias("bucket"))
+    kinds = F.array(F.lit("day"), F.when(F.dayofweek("bucket") == 2, "week"), F.when(F.dayofmonth("bucket") == 1, "month"))
+    return days.select("year", F.explode(F.array_compact(kinds)).alias("kind"), "bucket")
+
+
+def days_of_views(rows: DataFrame, view: str, today: str) -> DataFrame:
+    """The days that each row's viewport shows (a month, a year, or today's month for anything else)."""
+    text = F.col(view)
+    year = F.coalesce(text.rlike(r"^[0-9]{4}$"), F.lit(False))
+    month = F.when(F.coalesce(text.rlike(r"^[0-9]{4}-(0[1-9]|1[0-2])$"), F.lit(False)), text).otherwise(today[:7])
+    first = F.when(year, F.concat(text, F.lit("-01-01"))).otherwise(F.concat(month, F.lit("-01"))).cast("date")
+    last = F.when(year, F.concat(text, F.lit("-12-31")).cast("date")).otherwise(F.last_day(first))
+    return rows.withColumn("bucket", F.explode(F.sequence(first, last)))
+
+
 def viewport(text: str | None, today: str) -> tuple[str, str]:
     """The month or year that a calendar shows: ("month", "2024-02") or ("year", "2024"); today's month for anything else."""
     if text and len(text) == 7 and text[:4].isdigit() and text[4] == "-" and text[5:].isdigit() and 1 <= int(text[5:]) <= 12:

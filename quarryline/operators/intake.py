@@ -101,6 +101,13 @@ def logged(log: DataFrame, new: DataFrame) -> DataFrame:
     return log.unionByName(new.join(log.select("id"), "id", "left_anti"))
 
 
+def unnested(rows: DataFrame, keys: Sequence[str], arrays: Sequence[str]) -> DataFrame:
+    """Parallel arrays of each row as rows of their own, with their position from 1; shorter and null arrays are padded with null."""
+    filled = (F.coalesce(F.col(c), F.array()).alias(c) for c in arrays)
+    longest = rows.select(*keys, F.posexplode(F.arrays_zip(*filled)).alias("position", "row"))
+    return longest.select(*keys, (F.col("position") + 1).alias("position"), *(F.col(f"row.{c}").alias(c) for c in arrays))
+
+
 def from_arrays(spark, columns: dict[str, Sequence], schema: str) -> DataFrame:
     """Parallel arrays as rows, padded with null, with their position from 1."""
     longest = max((len(v) for v in columns.values()), default=0)

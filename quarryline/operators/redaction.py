@@ -203,6 +203,16 @@ def policy_version(engine: str, ranges: Sequence[str] = (), domains: Sequence[st
     return f"engine:{engine}|ranges:{short(ranges)}|domains:{short(domains)}"
 
 
+def policy_versions(engine: str, ranges: Column, domains: Column) -> Column:
+    """``policy_version`` of columns of lists; a null list is an empty one."""
+
+    def short(items: Column) -> Column:
+        told = F.substring(F.sha2(F.to_json(F.array_sort(items)), 256), 1, 12)
+        return F.when(F.coalesce(F.size(items), F.lit(0)) > 0, told).otherwise("empty")
+
+    return F.concat(F.lit(f"engine:{engine}|ranges:"), short(ranges), F.lit("|domains:"), short(domains))
+
+
 def stale(tables: dict[str, DataFrame], column: str, version: str) -> DataFrame:
     """For each table its rows of another policy version; rows without a version are not counted."""
     parts = [t.where(F.col(column) != version).agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, t in tables.items()]

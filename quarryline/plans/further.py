@@ -247,9 +247,13 @@ def _(spark, d):
     return w.group_actions(b, existing).withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd"))
 
 
-@query("group_retention", f"WITH {MEMBERS} SELECT group_id, least(CASE group_id WHEN 0 THEN 30 END, min(CASE WHEN analysis_days IS NOT NULL THEN greatest(analysis_days, ingestion_days) END)) AS bound_days FROM mem GROUP BY group_id")
+@query("group_retention", """SELECT group_id, least(CASE WHEN group_id % 3 = 0 THEN 30 + group_id END, min(CASE WHEN a IS NOT NULL THEN greatest(a, i) END)) AS ingestion_bound, least(CASE WHEN group_id % 3 = 0 THEN 30 + group_id END, min(a)) AS analysis_bound
+    FROM (SELECT n_nationkey AS group_id, 20 + c_custkey % 50 AS i, CASE WHEN c_custkey % 4 > 0 THEN 15 + c_custkey % 90 END AS a FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_nationkey % 5 > 0) GROUP BY group_id""")
 def _(spark, d):
-    return w.retention_bounds(_members(spark), spark.range(2).selectExpr("id AS group_id", "CASE id WHEN 0 THEN 30L END AS policy_days"), True)
+    groups = v.table(spark, d, "nation").selectExpr("n_nationkey AS group_id", "CASE WHEN n_nationkey % 3 = 0 THEN 30 + n_nationkey END AS policy_days")
+    members = v.table(spark, d, "customer").where("c_nationkey % 5 > 0").selectExpr("c_nationkey AS group_id", "20 + c_custkey % 50 AS ingestion_days", "CASE WHEN c_custkey % 4 > 0 THEN 15 + c_custkey % 90 END AS analysis_days")
+    bound = lambda ingestion, name: w.retention_bounds(members, groups, ingestion).withColumnRenamed("bound_days", name)
+    return bound(True, "ingestion_bound").join(bound(False, "analysis_bound"), "group_id")
 
 
 @query("group_monthly_cost", f""", {MEMBERS} SELECT group_id, events, events * 12 + members * 20000 AS tokens, round((events * 12 + members * 20000) / 1000 * 0.01, 2) AS dollars FROM (SELECT group_id, (SELECT count(*) FROM latest l JOIN mem k USING (customer_id)

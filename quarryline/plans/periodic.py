@@ -157,15 +157,20 @@ def _(spark, d):
     return day.select(F.col("day").cast("string").alias("day"), *(c.bucket_of(F.col("day"), F.lit(k)).cast("string").alias(n) for n, k in kinds))
 
 
-@query("year_buckets", """SELECT kind, strftime(day, '%Y-%m-%d') AS bucket FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 DAY)) AS day), (SELECT unnest(['day', 'week', 'month']) AS kind)
-    WHERE kind = 'day' OR (kind = 'week' AND isodow(day) = 1) OR (kind = 'month' AND day(day) = 1)""")
+@query("year_buckets", """WITH y AS (SELECT DISTINCT year(o_orderdate) AS year FROM orders), day AS (SELECT year, unnest(generate_series(make_date(year, 1, 1), make_date(year, 12, 31), INTERVAL 1 DAY)) AS day FROM y)
+    SELECT year, kind, strftime(day, '%Y-%m-%d') AS bucket FROM day, (SELECT unnest(['day', 'week', 'month']) AS kind) WHERE kind = 'day' OR (kind = 'week' AND isodow(day) = 1) OR (kind = 'month' AND day(day) = 1)""")
 def _(spark, d):
-    return c.year_buckets(spark, 2024).select("kind", F.col("bucket").cast("string").alias("bucket"))
+    years = v.table(spark, d, "orders").select(F.year("o_orderdate").alias("year")).distinct()
+    return c.buckets_of_years(years).select("year", "kind", F.col("bucket").cast("string").alias("bucket"))
 
 
-@query("viewport_days", "SELECT strftime(unnest(generate_series(DATE '2024-02-01', DATE '2024-02-29', INTERVAL 1 DAY)), '%Y-%m-%d') AS bucket")
+@query("viewport_days", """WITH views AS (SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y') WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y-13') END AS view FROM orders),
+    span AS (SELECT view, CASE WHEN length(view) = 4 THEN make_date(view::INT, 1, 1) WHEN view LIKE '%-13' THEN DATE '2024-05-01' ELSE (view || '-01')::DATE END AS low FROM views)
+    SELECT view, strftime(unnest(generate_series(low, CASE WHEN length(view) = 4 THEN make_date(view::INT, 12, 31) ELSE last_day(low) END, INTERVAL 1 DAY)), '%Y-%m-%d') AS bucket FROM span""")
 def _(spark, d):
-    return c.viewport_days(spark, c.moved(c.viewport("2023-12", "2024-05-05"), 2)).select(F.col("bucket").cast("string").alias("bucket"))
+    view = F.expr("CASE o_orderkey % 3 WHEN 0 THEN date_format(o_orderdate, 'yyyy') WHEN 1 THEN date_format(o_orderdate, 'yyyy-MM') ELSE date_format(o_orderdate, 'yyyy-13') END")
+    views = v.table(spark, d, "orders").select(view.alias("view")).distinct()
+    return c.days_of_views(views, "view", "2024-05-05").select("view", F.col("bucket").cast("string").alias("bucket"))
 
 
 _DATE = "concat(CAST(2023 + event_id % 3 AS STRING), '-', lpad(CAST(event_id % 14 AS STRING), 2, '0'), '-', lpad(CAST(1 + event_id % 32 AS STRING), 2, '0'), CASE WHEN event_id % 19 = 0 THEN 'x' ELSE '' END)"

@@ -267,10 +267,14 @@ def _(spark, d):
     return both.groupBy("source", "polarity").agg(F.count("hit_type").alias("hits"), F.count_if(F.col("classification") == "own").alias("own"))
 
 
-@query("source_registry", "SELECT * FROM (VALUES ('a', TRUE, 24), ('c', FALSE, 48)) t(source, floor, max_age_hours)")
-def _(spark, d):
-    policies = [("a", ["IP", "URL"], "positive", 24, True), ("b", ["HASH"], "positive", 24, True), ("c", ["IP"], "positive", 48, False), ("w", ["IP"], "negative", 48, False)]
-    return f.relevant(f.source_policies(spark, policies), "IP")
+@query("source_registry", """SELECT 's' || s_suppkey AS source, s_suppkey % 4 = 0 AS floor, 24 + s_suppkey % 3 AS max_age_hours, 1 + (s_suppkey % 6 = 5)::INT AS registered FROM supplier WHERE s_suppkey % 5 > 0 AND s_suppkey % 3 < 2""")
+def _(spark, d):
+    again = F.explode(F.when(F.col("s_suppkey") % 6 == 5, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    rows = v.table(spark, d, "supplier").withColumn("again", again).selectExpr(
+        "concat('s', s_suppkey) AS source", "CASE s_suppkey % 3 WHEN 0 THEN array('IP', 'URL') WHEN 1 THEN array('IP') ELSE array('HASH') END AS entities", "CASE WHEN s_suppkey % 5 > 0 THEN 'positive' ELSE 'negative' END AS polarity",
+        "CAST(24 + s_suppkey % 3 AS INT) AS max_age_hours", "s_suppkey % 4 = 0 AS floor",
+    )
+    return f.relevant(f.registry(rows), "IP", "registered")
 
 
 @query("feed_repository", f"""SELECT 'apt' || {K} % 20 || '/' || {K} || '/iocs.txt' AS path, 'apt' || {K} % 20 AS "group", CASE WHEN {K} % 4 = 0 THEN 'Own ' || {K} ELSE 'Camp ' || {K} % 20 END AS campaign, 'd' || {K} || '.test' AS indicator FROM part""")

@@ -265,9 +265,15 @@ def _(spark, d):
     return x.redact(rows, ranges=[(134744072, 134744072)], domains=["own.test"]).select(K, "text")
 
 
-@query("redact_policy", "SELECT 'engine:2|ranges:' || sha256('[\"1.0.0.0/8\",\"2.0.0.0/8\"]')[1:12] || '|domains:empty' AS version")
+_RANGE = "printf('%d.%d.0.0/16', 1 + s_suppkey % 90, s_suppkey % 7)"
+
+
+@query("redact_policy", f"""WITH lists AS (SELECT s_nationkey AS customer_id, list_sort(list(DISTINCT {_RANGE}) FILTER (WHERE s_nationkey % 4 > 0)) AS ranges, list_sort(list(DISTINCT 'own' || s_suppkey % 3 || '.test') FILTER (WHERE s_nationkey % 3 > 0)) AS domains FROM supplier GROUP BY s_nationkey)
+    SELECT customer_id, 'engine:2|ranges:' || CASE WHEN ranges IS NULL THEN 'empty' ELSE sha256('["' || array_to_string(ranges, '","') || '"]')[1:12] END || '|domains:' || CASE WHEN domains IS NULL THEN 'empty' ELSE sha256('["' || array_to_string(domains, '","') || '"]')[1:12] END AS version FROM lists""")
 def _(spark, d):
-    return spark.range(1).select(F.lit(x.policy_version("2", ["2.0.0.0/8", "1.0.0.0/8"])).alias("version"))
+    rows = v.table(spark, d, "supplier").select("s_nationkey", F.expr(_RANGE).alias("r"), F.concat(F.lit("own"), (F.col("s_suppkey") % 3).cast("string"), F.lit(".test")).alias("o"))
+    lists = rows.groupBy(F.col("s_nationkey").alias("customer_id")).agg(F.collect_set(F.when(F.col("s_nationkey") % 4 > 0, F.col("r"))).alias("ranges"), F.collect_set(F.when(F.col("s_nationkey") % 3 > 0, F.col("o"))).alias("domains"))
+    return lists.select("customer_id", x.policy_versions("2", F.col("ranges"), F.col("domains")).alias("version"))
 
 
 @query("redact_allowed_tokens", """SELECT story_id, string_agg(DISTINCT '<<REDACTED_IP_E' || member_no || '_' || lpad(CAST(member_key % 3 + 1 AS VARCHAR), 3, '0') || '>>', ',' ORDER BY '<<REDACTED_IP_E' || member_no || '_' || lpad(CAST(member_key % 3 + 1 AS VARCHAR), 3, '0') || '>>') AS tokens FROM member GROUP BY story_id""", "member")

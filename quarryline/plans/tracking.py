@@ -118,9 +118,11 @@ def _(spark, d):
     return a.logged(log, new).agg(F.count("*").alias("n"), F.max("id").alias("last"))
 
 
-@query("array_relation", "SELECT * FROM (VALUES (1, 'a', 10), (2, 'b', 20), (3, 'c', NULL)) t(position, name, n)")
+@query("array_relation", """SELECT event_id, position, CASE position WHEN 1 THEN 'a' || event_id WHEN 2 THEN 'b' WHEN 3 THEN 'c' END AS name, CASE WHEN position <= event_id % 5 THEN 10 * event_id + position END AS n FROM events, range(1, 5) t(position)
+    WHERE position <= greatest(3, event_id % 5)""")
 def _(spark, d):
-    return a.from_arrays(spark, {"name": ["a", "b", "c"], "n": [10, 20]}, "name string, n int")
+    rows = v.table(spark, d, "events").selectExpr("event_id", "array(concat('a', event_id), 'b', 'c') AS name", "CASE WHEN event_id % 5 > 0 THEN transform(sequence(1L, event_id % 5), i -> 10 * event_id + i) END AS n")
+    return a.unnested(rows, ["event_id"], ["name", "n"])
 
 
 ZONES = "zones AS (SELECT i AS customer_id, CASE WHEN i % 2 = 0 THEN 'UTC' ELSE 'Asia/Seoul' END AS zone, CASE WHEN i % 2 = 0 THEN 0 ELSE 9 END AS off FROM range(5) t(i))"

@@ -269,9 +269,15 @@ def source_policies(spark, policies: Sequence[tuple]) -> DataFrame:
     return spark.createDataFrame(list(policies), "source string, entities array<string>, polarity string, max_age_hours int, floor boolean")
 
 
-def relevant(policies: DataFrame, entity: str) -> DataFrame:
+def registry(rows: DataFrame) -> DataFrame:
+    """The registry of sources that a table holds, each once (its first entry, all columns compared), with how often it is ``registered``."""
+    first = F.min(F.struct("entities", "polarity", "max_age_hours", "floor")).alias("p")
+    return rows.groupBy("source").agg(first, F.count("*").alias("registered")).select("source", "p.*", "registered")
+
+
+def relevant(policies: DataFrame, entity: str, *more: str) -> DataFrame:
     """Positive sources that a type of indicator is looked up in."""
-    return policies.where((F.col("polarity") == "positive") & F.array_contains("entities", entity)).select("source", "floor", "max_age_hours")
+    return policies.where((F.col("polarity") == "positive") & F.array_contains("entities", entity)).select("source", "floor", "max_age_hours", *more)
 
 
 def repository_rows(files: DataFrame, rules: Sequence[tuple[str, str]], entity: str = "DOMAIN") -> DataFrame:
