@@ -158,13 +158,14 @@ def cidr(text: Column) -> Column:
 def range_matches(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     """Rows of addresses (digits, ...) with each range (low, bits, ...) that they lie in, as an equi-join on the cut address.
 
-    Addresses are exploded to the prefix lengths that the ranges have: at most 33 + 129 rows come to the driver.
+    Different addresses, not their occurrences, are exploded to the prefix lengths that the ranges have: at most 33 + 129 rows come to the driver.
     """
     sizes = [(r["n"], r["bits"]) for r in ranges.where("low is not null").select(F.length("low").alias("n"), "bits").distinct().collect()]
     every = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(b).alias("bits")) for n, b in sorted(sizes))) if sizes else F.array().cast("array<struct<n: int, bits: int>>")
     fit = F.filter(every, lambda x: x["n"] == F.length("digits"))
-    rows = addresses.withColumn("bits", F.explode(F.transform(fit, lambda x: x["bits"])))
-    return rows.withColumn("low", masked_columns("digits", "bits")).join(ranges, ["low", "bits"])
+    rows = addresses.select("digits").where("digits is not null").distinct().withColumn("bits", F.explode(F.transform(fit, lambda x: x["bits"])))
+    held = rows.withColumn("low", masked_columns("digits", "bits")).join(ranges, ["low", "bits"])
+    return addresses.join(held, "digits")
 
 
 def range_faults(new: DataFrame, held: DataFrame, cap: int) -> DataFrame:

@@ -104,6 +104,14 @@ def unparseable(lines: DataFrame, parsed: DataFrame) -> DataFrame:
     return some.crossJoin(parsed.limit(1).agg(F.count("*").alias("rows"))).select(((F.col("data") > 0) & (F.col("rows") == 0)).alias("unparseable"))
 
 
+def unparseable_by(lines: DataFrame, parsed: DataFrame, feed: str) -> DataFrame:
+    """(feed, unparseable) of many feeds at once: whether one has data lines but none was parsed."""
+    some = lines.where(F.regexp_replace("value", r"^\s+|\s+$", "").rlike("^[^#;]"))
+    data = some.groupBy(feed).agg(F.count("*").alias("_lines"))
+    rows = parsed.groupBy(feed).agg(F.count("*").alias("_rows"))
+    return data.join(rows, feed, "left").select(feed, F.col("_rows").isNull().alias("unparseable"))
+
+
 def exploited(files: DataFrame) -> DataFrame:
     """cve and date added of catalogs of exploited vulnerabilities (JSON, column ``value``)."""
     one = F.from_json("value", "vulnerabilities array<struct<cveID: string, dateAdded: string>>")

@@ -77,3 +77,24 @@ def test_prose_feeds(spark):  # noqa: F811
     got = {(r.entity, r.indicator) for r in feeds.free_text_all(rows, "k", "t", r"^c2:").collect()}
     assert got == {("DOMAIN", "evil.test"), ("URL", "http://a.b/c")}
     assert {r.indicator for r in feeds.free_text_all(rows, "k", "t").where("entity = 'DOMAIN'").collect()} == {"evil.test", "other.test"}
+
+
+def test_vendor_context_by_strength(spark):  # noqa: F811
+    from quarryline.sources import repositories as r
+
+    files = [
+        ("README.md", "title: Root\nhttps://root.test/report"), ("a/b/notes.txt", "d1.test\n# no\nd2.test\nd1.test"), ("a/README.md", "nothing here"), ("a/b/README.md", "Family: Worm  "), ("x/c1/list.txt", "d1.test"), ("x/c2/list.txt", "d1.test"),
+        ("x/c2/again.txt", "d1.test"), ("x/c2/prose.md", "see evil.test, gate.php and 1.2.3.4"), ("x/c2/run.exe", "d9.test"), ("x/c2/empty.txt", None),
+    ]
+    repository = r.Repository(
+        "o", "n", "v1", [r.FileRule(r"\.txt$", hit_type="deterministic_ioc"), r.FileRule(r"prose\.md$", "text", deterministic=False)], context={"campaign": "Base", "actor": "Someone"}, context_pattern=r"^x/(?<campaign>c\d)/",
+        readme_pattern=r"(^|/)README\.md$", readme={"campaign": r"^title: (?<value>\w+)", "malware_family": r"^Family:\s*(.+)$", "report_url": r"https?://\S+"},
+    )
+    rows = spark.createDataFrame(files, "path string, content string")
+    got = {(x.indicator, x.campaign, x.malware_family, x.report_url, x.hit_type, x.path) for x in r.collected(rows, repository).collect()}
+    assert got == {
+        ("d1.test", "Base", "Worm", None, "deterministic_ioc", "a/b/notes.txt"), ("d2.test", "Base", "Worm", None, "deterministic_ioc", "a/b/notes.txt"),  # the nearest README that says anything hides the root's
+        ("d1.test", "c1", None, "https://root.test/report", "deterministic_ioc", "x/c1/list.txt"), ("d1.test", "c2", None, "https://root.test/report", "deterministic_ioc", "x/c2/again.txt"),
+        ("evil.test", "c2", None, "https://root.test/report", "soft_reputation", "x/c2/prose.md"), ("1.2.3.4", "c2", None, "https://root.test/report", "soft_reputation", "x/c2/prose.md"),
+    }
+    assert sorted(x.path for x in r.skipped(rows, repository).collect()) == ["README.md", "a/README.md", "a/b/README.md", "x/c2/run.exe"]
