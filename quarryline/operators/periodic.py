@@ -179,6 +179,14 @@ def report_parts(scope, incidents, states, members, story_results, results, late
     }
 
 
+def report_leaf_rows(parts: dict[str, DataFrame]) -> DataFrame:
+    """(subject_id, kind, place, customer_id, story_id, sensor, event_key, generation, model) of every leaf that a report rests on: what tokens are numbered and policies compared over."""
+    none = F.lit(None).cast("long")
+    event = lambda name, kind: parts[name].select("subject_id", F.lit(kind).alias("kind"), "place", "customer_id", none.alias("story_id"), "sensor", "event_key", "generation", "model")
+    stories = parts["stories"].select("subject_id", F.lit("story").alias("kind"), "place", "customer_id", "story_id", none.alias("sensor"), none.alias("event_key"), "generation", "model")
+    return stories.unionByName(event("events", "event")).unionByName(event("exemplars", "exemplar"))
+
+
 def periodic_report(scope, incidents, states, members, story_results, results, latest, models, previous, start, end, qualified: bool = False, period: str = "DAILY", zone: str = "UTC", language: str = "EN") -> DataFrame:
     """One row for each subject with events or stories: what is cited, totals, lists, tags, scores, tier and the input's hash.
 
