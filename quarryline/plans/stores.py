@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarryline.functions.storage import folder
 from quarryline.operators import retention as r
 from quarryline.plans.catalog import query
+from quarryline.plans.tracking import LOCAL
 from quarryline.sources import views as v
 from quarryline.sources.snapshots import Snapshots
 from quarryline.streaming import maintained as m
@@ -40,7 +41,7 @@ def _(spark, d):
     return store.read("totals").select("customer_id", F.col("bucket").cast("string").alias("bucket"), "n")
 
 
-_NOW = "2024-02-20 00:00:00"
+_NOW, _BUCKET_NOW = "2024-02-20 00:00:00", "2024-01-23 12:00:00"
 RULES = (
     r.Rule("redaction_map", kept_by=(("baseline", ("sensor", "event_key")), ("result", ("sensor", "event_key")), ("member", ("sensor", "event_key")))),
     r.Rule("member", parents=(("incident", ("story_id", "story_version")),)),
@@ -92,3 +93,20 @@ def _(spark, d):
     changes = items.unionByName(after("job", 60, key % 2 == 0)).unionByName(after("gone", 30, key % 5 == 0)).unionByName(after("back", 40, key % 10 == 0))
     out = t.batched(changes, ["story_id"], True, F.lit("1997-06-01").cast("timestamp"))
     return out.select("story_id", "status", F.date_format("first", "yyyy-MM-dd").alias("first"), F.date_format("last", "yyyy-MM-dd").alias("last"))
+
+
+_SETTLED = "CASE period WHEN 'DAILY' THEN bucket + INTERVAL 1 DAY + INTERVAL 3 HOUR WHEN 'WEEKLY' THEN bucket + INTERVAL 7 DAY + INTERVAL 6 HOUR ELSE bucket + INTERVAL 1 MONTH + INTERVAL 12 HOUR END - INTERVAL 1 HOUR * CASE zone WHEN 'UTC' THEN 0 ELSE 9 END"
+
+
+@query("bucket_states", f""", {LOCAL}, j AS (SELECT *, CASE WHEN day(bucket) % 2 = 0 THEN {_SETTLED} END AS job, CASE WHEN day(bucket) % 5 = 0 THEN TIMESTAMP '2024-06-01' END AS gone, {_SETTLED} AS settle FROM local)
+    SELECT customer_id, zone, period, strftime(bucket, '%Y-%m-%d') AS bucket, CASE WHEN gone IS NOT NULL THEN 'archived' WHEN job IS NOT NULL AND last_received > job THEN 'dirty' WHEN job IS NOT NULL THEN 'ready'
+        WHEN greatest(last_received + INTERVAL 30 MINUTE, settle) <= TIMESTAMP '{_BUCKET_NOW}' THEN 'ready' ELSE 'pending' END AS status FROM j""", "baseline")
+def _(spark, d):
+    zones = spark.range(5).selectExpr("id AS customer_id", "CASE WHEN id % 2 = 0 THEN 'UTC' ELSE 'Asia/Seoul' END AS zone")
+    items = t.bucket_changes(v.baseline(spark, d).withColumnRenamed("baseline_version", "version"), zones)
+    buckets = items.select(*t.BUCKET_KEYS, "settle").distinct()
+    more = lambda kind, at, when: buckets.where(when).select(*t.BUCKET_KEYS, F.lit(kind).alias("kind"), F.lit("").alias("id"), at.alias("at"), "settle")
+    day = F.dayofmonth("bucket")
+    changes = items.unionByName(more("job", F.col("settle"), day % 2 == 0)).unionByName(more("gone", F.lit("2024-06-01").cast("timestamp"), day % 5 == 0))
+    out = t.batched(changes, t.BUCKET_KEYS, False, F.lit(_BUCKET_NOW).cast("timestamp"))
+    return out.select(*(F.col(c).cast("string").alias(c) if c == "bucket" else c for c in t.BUCKET_KEYS), "status")

@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
+from quarryline.functions.calendar import midnight, shifted
+from quarryline.operators.activity import PERIODS, SETTLE_HOURS
+
 #: Fixed values, in milliseconds: quiet after a story's last member, its longest wait, quiet after a bucket's last event.
 IDLE, LONGEST, QUIET = 15 * 60_000, 6 * 3_600_000, 30 * 60_000
 #: The state store that timers need.
@@ -102,6 +105,23 @@ class KeyedState(StatefulProcessor):
         pass
 
 
+BUCKET_KEYS, STORY_KEYS = ["customer_id", "zone", "period", "bucket"], ["customer_id", "story_id"]
+
+
+def bucket_changes(events: DataFrame, zones: DataFrame) -> DataFrame:
+    """Changes of the day, week and month buckets that events (sensor, event_key, version, event_time, received_at) fall in, in their customer's zone.
+
+    Works on streams as on tables; ``settle`` is the bucket's end and the delay of its period.
+    """
+    rows = events.join(zones.select("customer_id", "zone"), "customer_id")
+    local = F.from_utc_timestamp(F.col("event_time").cast("string"), F.col("zone"))
+    kinds = F.array(*(F.struct(F.lit(p).alias("period"), F.to_date(F.date_trunc(u, local)).alias("bucket")) for p, u in PERIODS))
+    rows = rows.withColumn("b", F.explode(kinds))
+    hours = F.create_map(*(F.lit(x) for kv in SETTLE_HOURS.items() for x in kv))[F.col("b.period")]
+    settle = midnight(shifted(F.col("b.bucket"), F.col("b.period"), 1), F.col("zone")) + F.make_dt_interval(hours=hours)
+    return rows.select("customer_id", "zone", "b.period", "b.bucket", F.lit("item").alias("kind"), F.concat_ws(":", "sensor", "event_key", "version").alias("id"), F.col("received_at").cast("timestamp").alias("at"), settle.cast("timestamp").alias("settle"))
+
+
 def streamed(changes: DataFrame, keys: Sequence[str], story: bool, mode: str = "EventTime", delay: str = "30 days") -> DataFrame:
     """A stream of states (keys, status, first, last; update mode) from one of changes (keys, kind, id, at, and for buckets settle: end and delay)."""
     rows = changes if "settle" in changes.columns else changes.withColumn("settle", F.lit("1970-01-01").cast("timestamp"))
