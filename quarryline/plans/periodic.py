@@ -128,7 +128,7 @@ def _(spark, d):
 
 _LEAVES = """, leaf AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY rank, place) AS leaf FROM (SELECT subject_id, 1 AS rank, 'story' AS kind, place, story_id AS id FROM top_story UNION ALL
     SELECT subject_id, 2, 'event', place, event_key FROM top_event UNION ALL SELECT subject_id, 3, 'exemplar', place, event_key FROM exemplar))"""
-_ID = F.coalesce("story_id", "event_key")
+_id = lambda: F.coalesce("story_id", "event_key")
 
 
 @query("report_policies", _report_sql("customer_id % 2", _LEAVES + """, told AS (SELECT subject_id, leaf, CASE WHEN id % 40 = 0 THEN '' WHEN id % 50 = 1 THEN 'p2' ELSE 'p1' END AS version FROM leaf), first AS (SELECT subject_id, arg_min(version, leaf) AS f FROM told GROUP BY subject_id),
@@ -136,15 +136,15 @@ _ID = F.coalesce("story_id", "event_key")
     SELECT subject_id, CASE WHEN e IS NOT NULL AND (o IS NULL OR e < o) THEN 'missing' WHEN o IS NOT NULL THEN 'mismatched' ELSE 'ok' END AS state, CASE WHEN e IS NULL AND o IS NULL THEN f END AS version FROM seen"""), *VIEWS)
 def _(spark, d):
     leaves = t.report_tokens(p.report_leaf_rows(_parts(spark, d, "customer_id % 2")).withColumn("texts", F.array().cast("array<string>")), "subject_id")
-    version = F.when(_ID % 40 == 0, "").when(_ID % 50 == 1, "p2").otherwise("p1")
+    version = F.when(_id() % 40 == 0, "").when(_id() % 50 == 1, "p2").otherwise("p1")
     return g.policy_agreement(leaves.withColumn("policy", version), ["subject_id"], "leaf", "policy")
 
 
 @query("report_leaf_tokens", _report_sql("customer_id % 2", _LEAVES + """ SELECT subject_id, kind, CAST(place AS INTEGER) AS place, CAST(leaf AS INTEGER) AS leaf, 'from <<REDACTED_IP_R' || leaf || '_001>> and <<REDACTED_MAC_R' || leaf || '_002>>' AS text,
     '<<REDACTED_IP_' || CASE kind WHEN 'story' THEN 'E' || (1 + id % 4) || '_' ELSE '' END || lpad((id % 9)::VARCHAR, 3, '0') || '>>' AS source FROM leaf"""), *VIEWS)
 def _(spark, d):
-    infix = F.when(F.col("kind") == "story", F.concat(F.lit("E"), (1 + _ID % 4).cast("string"), F.lit("_"))).otherwise("")
-    token = lambda k: F.concat(F.lit(f"<<REDACTED_{k}_"), infix, F.lpad((_ID % 9).cast("string"), 3, "0"), F.lit(">>"))
+    infix = F.when(F.col("kind") == "story", F.concat(F.lit("E"), (1 + _id() % 4).cast("string"), F.lit("_"))).otherwise("")
+    token = lambda k: F.concat(F.lit(f"<<REDACTED_{k}_"), infix, F.lpad((_id() % 9).cast("string"), 3, "0"), F.lit(">>"))
     leaves = p.report_leaf_rows(_parts(spark, d, "customer_id % 2")).withColumn("texts", F.array(F.concat(F.lit("from "), token("IP"), F.lit(" and "), token("MAC"))))
     out = t.report_tokens(leaves, "subject_id")
     return out.select("subject_id", "kind", "place", "leaf", F.col("texts")[0].alias("text"), F.col("tokens")[0]["source"].alias("source"))
