@@ -27,8 +27,8 @@ from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 from quarryline.functions.calendar import midnight, shifted
 from quarryline.operators.activity import PERIODS, SETTLE_HOURS
 
-#: Fixed values, in milliseconds: quiet after a story's last member, its longest wait, quiet after a bucket's last event.
-IDLE, LONGEST, QUIET = 15 * 60_000, 6 * 3_600_000, 30 * 60_000
+#: Fixed values, in microseconds: quiet after a story's last member, its longest wait, quiet after a bucket's last event.
+IDLE, LONGEST, QUIET = 15 * 60_000_000, 6 * 3_600_000_000, 30 * 60_000_000
 #: The state store that timers need.
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 NONE = -1
@@ -57,8 +57,8 @@ class KeyedState(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         job, gone, back, settle, timer = self.times.get() or (NONE, NONE, NONE, NONE, NONE)
         for frame in rows:
-            at = frame["at"].astype("datetime64[us]").astype("int64") // 1000
-            for kind, ident, moment, own in zip(frame["kind"], frame["id"], at.tolist(), (frame["settle"].astype("datetime64[us]").astype("int64") // 1000).tolist()):
+            micros = lambda c: frame[c].astype("datetime64[us]").astype("int64").tolist()  # noqa: B023, E731
+            for kind, ident, moment, own in zip(frame["kind"], frame["id"], micros("at"), micros("settle")):
                 settle = max(settle, own)
                 if kind == "item":
                     if moment > gone and (not self.items.containsKey((ident,)) or self.items.getValue((ident,))[0] < moment):
@@ -74,30 +74,30 @@ class KeyedState(StatefulProcessor):
                             self.items.removeKey((old,))
         now = self._now(timerValues)
         due, row = self._told(key, job, gone, back, settle, now)
-        if timer != NONE and timer != due:
-            self.handle.deleteTimer(timer)
-        if due > now:
-            self.handle.registerTimer(due)
-            timer = due
-        else:
-            timer = NONE
+        wanted = -(-due // 1000) if due > now else NONE  # timers are in milliseconds
+        if timer != wanted:
+            if timer != NONE:
+                self.handle.deleteTimer(timer)
+            if wanted != NONE:
+                self.handle.registerTimer(wanted)
+            timer = wanted
         self.times.update((job, gone, back, settle, timer))
         yield row
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         job, gone, back, settle, _ = self.times.get()
         self.times.update((job, gone, back, settle, NONE))
-        yield self._told(key, job, gone, back, settle, max(self._now(timerValues), expiredTimerInfo.getExpiryTimeInMs()))[1]
+        yield self._told(key, job, gone, back, settle, max(self._now(timerValues), 1000 * expiredTimerInfo.getExpiryTimeInMs()))[1]
 
     def _now(self, timer_values) -> int:
         # Before the first batch has set a watermark no time has passed.
-        return max(0, timer_values.getCurrentWatermarkInMs()) if self.by_event else timer_values.getCurrentProcessingTimeInMs()
+        return 1000 * (max(0, timer_values.getCurrentWatermarkInMs()) if self.by_event else timer_values.getCurrentProcessingTimeInMs())
 
     def _told(self, key, job, gone, back, settle, now):
         at = [v[0] for _, v in self.items.iterator()]
         first, last = (min(at), max(at)) if at else (NONE, NONE)
         due = NONE if last == NONE else min(last + IDLE, first + LONGEST) if self.story else max(last + QUIET, settle)
-        moment = lambda ms: pd.NaT if ms == NONE else pd.Timestamp(ms, unit="ms", tz="UTC")
+        moment = lambda us: pd.NaT if us == NONE else pd.Timestamp(us, unit="us", tz="UTC")
         row = {k: [v] for k, v in zip(self.keys, key)} | {"status": [status_of(first, last, job, gone, back, due, now)], "first": [moment(first)], "last": [moment(last)]}
         return due, pd.DataFrame(row)
 
@@ -139,7 +139,7 @@ def batched(changes: DataFrame, keys: Sequence[str], story: bool, now: Column) -
     items = changes.where("kind = 'item'").groupBy(*keys, "id").agg(F.max("at").alias("at"))
     live = items.join(times.select(*keys, "gone"), list(keys)).where("gone is null or at > gone").groupBy(*keys).agg(F.min("at").alias("first"), F.max("at").alias("last"))
     rows = times.join(live, list(keys), "left")
-    shift = lambda c, ms: F.col(c) + F.make_dt_interval(secs=F.lit(ms / 1000))
+    shift = lambda c, us: F.col(c) + F.make_dt_interval(secs=F.lit(us / 1e6))
     due = F.least(shift("last", IDLE), shift("first", LONGEST)) if story else F.greatest(shift("last", QUIET), F.col("settle"))
     since = F.greatest("last", "back")
     archived = F.col("gone").isNotNull() & (since.isNull() | (since <= F.col("gone")))

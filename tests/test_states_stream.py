@@ -69,17 +69,21 @@ def test_buckets_of_the_given_events(spark):  # noqa: F811
     zones = spark.range(5).selectExpr("id AS customer_id", "CASE WHEN id % 2 = 0 THEN 'UTC' ELSE 'Asia/Seoul' END AS zone")
     events = views.baseline(spark, "/root/testdata/sf0.001").where("customer_id < 2").withColumnRenamed("baseline_version", "version").select("customer_id", "sensor", "event_key", "version", "event_time", "received_at")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    latest = events.agg(F.max("received_at")).first()[0]
+    # The delay is longer than what the source holds, so that no row is late; a last row moves the clock on.
+    tick = events.limit(1).select("customer_id", "sensor", F.lit(-1).cast("long").alias("event_key"), "version", F.lit(latest).cast("timestamp_ntz").alias("event_time"), F.lit(latest + timedelta(days=20)).cast("timestamp_ntz").alias("received_at"))
     for part in (1, 0, 2):
         events.where(F.pmod(F.hash("event_key"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(folder)
+    tick.write.mode("append").parquet(folder)
+    events = events.unionByName(tick)
     changes = states.bucket_changes(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder), zones)
     got = {}
 
     def keep(df, number):
         got.update({(r.customer_id, r.period, r.bucket): (r.status, r.first, r["last"]) for r in df.collect()})
 
-    q = states.streamed(changes, states.BUCKET_KEYS, False, delay="20 days").writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).trigger(availableNow=True).start()
+    q = states.streamed(changes, states.BUCKET_KEYS, False, delay="40 days").writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).trigger(availableNow=True).start()
     q.awaitTermination(400)
-    latest = events.agg(F.max("received_at")).first()[0]
     batch = states.batched(states.bucket_changes(events, zones), states.BUCKET_KEYS, False, F.lit(latest - timedelta(days=20)).cast("timestamp"))
     want = {(r.customer_id, r.period, r.bucket): (r.status, r.first, r["last"]) for r in batch.collect()}
     assert got == want and {s for s, _, _ in want.values()} == {"pending", "ready"}
