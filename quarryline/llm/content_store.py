@@ -42,8 +42,8 @@ WINDOW = 8
 #: A cut where the rolling hash's low bits are zero: chunks of about 256 ids, of 32 at least and 2048 at most.
 CUT_MASK, LEAST, MOST = np.uint64(255), 32, 2048
 DIGEST_BYTES = 16
-#: Bytes of text for each bucket of the table of slices, at the most.
-BUCKET = 64 << 20
+#: Documents for each bucket of the table of slices, at the most: counting them needs no text.
+BUCKET = 16384
 #: Children of an inner node of the Merkle tree.
 FAN = 256
 SLICES = pa.schema([("slice", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())), ("new", pa.list_(pa.binary())), ("ids", pa.list_(pa.binary()))])
@@ -128,8 +128,7 @@ def _owned(batches):
 def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 1) -> None:
     """Encodes docs and writes the store: chunks once each, recipes in ascending doc_id order, the manifest."""
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    name, buckets = f"slices_{uuid.uuid4().hex}", max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET + 1)
+    name, buckets = f"slices_{uuid.uuid4().hex}", max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // BUCKET + 1)
     try:
         encoded_slices(docs, path, end_id).write.option("compression", "zstd").bucketBy(buckets, "slice").saveAsTable(name)
         _write_store(spark.table(name), path, folder, buckets)
