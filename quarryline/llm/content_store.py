@@ -53,25 +53,33 @@ RECIPES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests
 REBUILT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
 
-def cuts(ids: np.ndarray) -> np.ndarray:
-    """Ends of a stream's chunks: where the hash of the last WINDOW ids asks for one, within LEAST and MOST."""
-    n = len(ids)
-    if n <= LEAST:
-        return np.array([n])
+def cuts(stream: np.ndarray, sizes: np.ndarray) -> list[list[int]]:
+    """Ends of the chunks of each document of a stream (ids of all documents, end to end): where the hash of the last WINDOW ids asks for
+    one, within LEAST and MOST ids of the chunk's start.
+
+    The whole stream is hashed at once: a window that reaches into the document before ends within LEAST ids of a start, where no chunk ends.
+    """
+    n = len(stream)
     with np.errstate(over="ignore"):
-        hashed, rolling = mix(ids.astype(np.uint64) + np.uint64(1)), np.zeros(n, np.uint64)
-        for k in range(WINDOW):
+        hashed, rolling = mix(stream.astype(np.uint64) + np.uint64(1)), np.zeros(n, np.uint64)
+        for k in range(min(WINDOW, n)):
             rolling[k:] += hashed[: n - k] * np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64))
     wanted = np.flatnonzero((mix(rolling) & CUT_MASK) == 0) + 1
-    ends, at = [], 0
-    for end in [*wanted.tolist(), n]:
-        while end - at > MOST:
-            at += MOST
-            ends.append(at)
-        if end - at >= LEAST or end == n and end > at:
-            ends.append(end)
-            at = end
-    return np.array(ends)
+    stops = np.cumsum(sizes)
+    of = np.searchsorted(wanted, stops).tolist()
+    wanted, at, i, found = wanted.tolist(), 0, 0, []
+    for stop, j in zip(stops.tolist(), of):
+        ends = []
+        for end in [*wanted[i:j], stop]:
+            while end - at > MOST:
+                at += MOST
+                ends.append(at)
+            if end - at >= LEAST or end == stop:
+                ends.append(end)
+                at = end
+        found.append(ends)
+        i = j
+    return found
 
 
 def digest(data: bytes) -> bytes:
@@ -87,18 +95,19 @@ def encoded_slices(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
         part = TaskContext.get().partitionId() << 32
         for number, batch in enumerate(slices(batches)):
             flat, counts = words.encode(batch.column("text").to_pylist())
+            # Each document's ids and its end id, end to end.
+            stream = np.insert(flat, np.cumsum(counts), end_id).astype(kind)
+            kept, width = stream.tobytes(), stream.itemsize
             row, data, at = {n: [] for n in SLICES.names[1:5]}, {}, 0
-            for doc_id, n in zip(batch.column("doc_id").to_pylist(), counts.tolist()):
-                ids = np.append(flat[at : at + n], np.uint32(end_id)).astype(kind)
-                at += n
-                ends = cuts(ids).tolist()
+            for doc_id, ends in zip(batch.column("doc_id").to_pylist(), cuts(stream, counts + 1)):
                 row["doc_ids"].append(doc_id)
                 row["counts"].append(len(ends))
-                for a, b in zip([0, *ends[:-1]], ends):
-                    chunk = ids[a:b].tobytes()
+                for end in ends:
+                    chunk = kept[at * width : end * width]
                     row["digests"].append(digest(chunk))
-                    row["sizes"].append(b - a)
+                    row["sizes"].append(end - at)
                     data.setdefault(row["digests"][-1], chunk)
+                    at = end
             yield to_batches({"slice": [part | number], "new": [list(data)], "ids": [list(data.values())]} | {n: [v] for n, v in row.items()}, SLICES)
 
     return texts(docs).mapInArrow(work, _SLICES_DDL)

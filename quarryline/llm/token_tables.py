@@ -18,6 +18,7 @@ import unicodedata
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -437,7 +438,9 @@ class Vocabulary:
             symbols, owner, rank, made = symbols[keep], owner[keep], rank[keep], made[keep]
             if not len(symbols):
                 break
-            touched = np.unique(np.concatenate([now, np.maximum(now - 1, 0)]))
+            near = np.zeros(len(symbols), bool)
+            near[now] = near[np.maximum(now - 1, 0)] = True
+            touched = np.flatnonzero(near)
             after = np.minimum(touched + 1, len(symbols) - 1)
             rank[touched], made[touched] = self._ranks(symbols[touched], symbols[after], (owner[touched] == owner[after]) & (after > touched), none)
         symbols, owner = np.concatenate(done_symbols), np.concatenate(done_owner)
@@ -448,7 +451,9 @@ class Vocabulary:
 
     def _rows(self, joined: str, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The table's row of each pre-token; pre-tokens not in it are encoded and added."""
-        _, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        told = pa.array(hashes).dictionary_encode()  # by a hash table, in order of appearance
+        inverse, at = np.asarray(told.indices), np.zeros(len(told.dictionary), np.int64)
+        at[inverse[::-1]] = np.arange(len(hashes))[::-1]  # the first place of each
         keys = [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
         if len(self.rows) + len(keys) > TABLE_LIMIT:
             self._fresh()
