@@ -8,12 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.semantics import admitted
+from quarryline.operators import drops
 
 #: The units of the three calendar periods; tokens an event and a member cost a month; dollars a thousand tokens.
 PERIODS = {"DAILY": "day", "WEEKLY": "week", "MONTHLY": "month"}
 EVENT_TOKENS, MEMBER_TOKENS, DOLLARS = 12, 20_000, 0.01
-#: Factors are cut to five of at most 80 characters that don't begin a sentence.
-FACTORS, FACTOR_LENGTH, SENTENCES, NO_FACTOR = 5, 80, ("The ", "This "), "insufficient evidence"
 
 
 def group_buckets(baseline: DataFrame, members: DataFrame, zones: DataFrame) -> DataFrame:
@@ -134,14 +133,13 @@ def work_tiers(verdicts: DataFrame, cap: int) -> DataFrame:
 
 def kept_factors(factors: Column) -> Column:
     """The first five factors that are neither blank nor long nor a sentence; the fixed words if none is left."""
-    good = F.filter(factors, lambda x: (F.trim(x) != "") & (F.length(x) <= FACTOR_LENGTH) & ~x.startswith(SENTENCES[0]) & ~x.startswith(SENTENCES[1]))
-    return F.when(F.size(good) > 0, F.slice(good, 1, FACTORS)).otherwise(F.array(F.lit(NO_FACTOR)))
+    return drops.judged_factors(factors).getField("kept")
 
 
 def factor_report(factors: Column) -> Column:
-    """kept (as ``kept_factors``), dropped (blank, long or a sentence) and truncated (good, but beyond the first five)."""
-    good = F.filter(factors, lambda x: (F.trim(x) != "") & (F.length(x) <= FACTOR_LENGTH) & ~x.startswith(SENTENCES[0]) & ~x.startswith(SENTENCES[1]))
-    return F.struct(kept_factors(factors).alias("kept"), (F.size(factors) - F.size(good)).alias("dropped"), F.greatest(F.size(good) - FACTORS, F.lit(0)).alias("truncated"))
+    """kept (as ``kept_factors``), dropped (blank, long or a sentence) and truncated (good, but beyond the first five), the last two as numbers."""
+    judged = drops.judged_factors(factors)
+    return F.struct(judged.getField("kept").alias("kept"), F.size(judged.getField("dropped")).alias("dropped"), F.size(judged.getField("truncated")).alias("truncated"))
 
 
 def creation_floors(groups: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import tempfile
 import duckdb
 import pytest
 
-from quarryline.plans import catalog, further, hosts, payloads, periodic, stores, surfaces, threats, tracking, vendors  # noqa: F401
+from quarryline.plans import catalog, drops, further, hosts, payloads, periodic, stores, surfaces, threats, tracking, vendors  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
