@@ -2,7 +2,8 @@
 
 Greedy longest match proposes tokens, every adjacent pair is tested for compatibility in one vectorised
 look-up, and only pre-tokens with a pair that fails are merged exactly. Decoding joins the bytes of the ids.
-No shuffle: each task encodes its own rows, in slices of bounded size.
+No shuffle: each task encodes its own rows, in slices of bounded size. The query does both in one pass, so that an
+executor's core has one Python worker, one vocabulary and no ids on their way between two workers.
 
 Defined results: null text is the empty text; rows without doc_id are left out; repeated rows are encoded
 each; extra columns are ignored; an empty table gives no rows.
@@ -12,13 +13,17 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm.common import documents, slices, texts, to_batches
-from quarryline.llm.token_tables import _byte_letters, library, tokenizer_path, vocabulary
+from quarryline.llm.common import documents, slices, text_bytes, texts, to_batches
+from quarryline.llm.token_tables import _byte_letters, tokenizer_path, vocabulary
+
+#: Bytes of text worked through at once: a fourth of what other operators take, for a like time and about 115 MB less a worker.
+SLICE = 1 << 19
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -29,13 +34,12 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all tokens of a byte-level vocabulary end to end, and the offset of each id's."""
     back = {c: b for b, c in _byte_letters().items()}
     words = vocabulary(path, True)
-    added = {t for t in words.special}
-    size = max([*words.strings, *library(path).get_added_tokens_decoder()]) + 1
+    size = max([*words.strings, *words.special.values()]) + 1
     parts = [b""] * size
     for i, s in words.strings.items():
-        parts[i] = s.encode() if s in added else bytes(back[c] for c in s)
-    for i, t in library(path).get_added_tokens_decoder().items():
-        parts[i] = t.content.encode()
+        parts[i] = s.encode() if s in words.special else bytes(back[c] for c in s)
+    for s, i in words.special.items():
+        parts[i] = s.encode()
     offsets = np.zeros(size + 1, np.int64)
     np.cumsum([len(p) for p in parts], out=offsets[1:])
     return np.frombuffer(b"".join(parts), np.uint8), offsets
@@ -48,47 +52,50 @@ def decode_bytes(ids: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     size = offsets[ids.astype(np.int64) + 1] - begin
     total = np.zeros(len(ids) + 1, np.int64)
     np.cumsum(size, out=total[1:])
-    return flat[np.repeat(begin - total[:-1], size) + np.arange(total[-1])], total
+    kind = np.int32 if total[-1] < 1 << 31 else np.int64
+    at = np.repeat((begin - total[:-1]).astype(kind), size)
+    at += np.arange(total[-1], dtype=kind)
+    return flat[at], total
 
 
 def decode(ids: np.ndarray, path: str) -> str:
     return decode_bytes(np.asarray(ids, np.uint32), path)[0].tobytes().decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of every text."""
+def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    words = vocabulary(path, True)
+    for batch in slices(batches, limit=SLICE):
+        flat, counts = words.encode(batch.column("text").to_pylist())
+        raw, stop = flat.astype("<u4").tobytes(), 4 * np.cumsum(counts)
+        ids = [raw[b - 4 * n : b] for b, n in zip(stop.tolist(), counts.tolist())]
+        yield to_batches({"doc_id": batch.column("doc_id"), "n_tokens": counts, "ids": ids}, ENCODED)
 
-    def work(batches):
-        words = vocabulary(path, True)
-        for batch in slices(batches):
-            flat, counts = words.encode(batch.column("text").to_pylist())
-            raw, stop = flat.astype("<u4").tobytes(), 4 * np.cumsum(counts)
-            ids = [raw[b - 4 * n : b] for b, n in zip(stop.tolist(), counts.tolist())]
-            yield to_batches({"doc_id": batch.column("doc_id"), "n_tokens": counts, "ids": ids}, ENCODED)
 
-    return texts(docs).mapInArrow(work, "doc_id long, n_tokens long, ids binary")
+def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "ids", SLICE):
+        raw, stops = text_bytes(batch.column("ids"))
+        data, total = decode_bytes(raw.view("<u4"), path)
+        edges, at = stops.tolist(), total[stops // 4].tolist()
+        shas = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(edges[:-1], edges[1:])]
+        texts_ = [hashlib.sha256(data[a:b].tobytes().decode("utf-8", "replace").encode()).hexdigest() for a, b in zip(at[:-1], at[1:])]
+        yield to_batches({"doc_id": batch.column("doc_id"), "n_tokens": batch.column("n_tokens"), "ids_sha256": shas, "decoded_sha256": texts_}, DIGESTS)
+
+
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens and ids (little-endian unsigned 32-bit integers) of every text."""
+    return texts(docs).mapInArrow(lambda batches: _encoded(batches, path), "doc_id long, n_tokens long, ids binary")
 
 
 def round_trip(encoded: DataFrame, path: str) -> DataFrame:
     """Digests of the ids and of the text that they decode to."""
+    return encoded.mapInArrow(lambda batches: _digests(batches, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
-    def work(batches):
-        for batch in slices(batches, "ids", 4 << 20):
-            shas, texts_ = [], []
-            raws = batch.column("ids").to_pylist()
-            ids = np.frombuffer(b"".join(raws), "<u4")
-            data, total = decode_bytes(ids, path)
-            stops = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raws])]).astype(np.int64)
-            at = total[stops].tolist()
-            for raw, a, b in zip(raws, at[:-1], at[1:]):
-                shas.append(hashlib.sha256(raw).hexdigest())
-                text = data[a:b].tobytes()
-                texts_.append(hashlib.sha256(text.decode("utf-8", "replace").encode()).hexdigest())
-            yield to_batches({"doc_id": batch.column("doc_id"), "n_tokens": batch.column("n_tokens"), "ids_sha256": shas, "decoded_sha256": texts_}, DIGESTS)
 
-    return encoded.mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def there_and_back(docs: DataFrame, path: str) -> DataFrame:
+    """round_trip(encode(docs)) in one pass of one worker: a slice's ids are decoded as soon as they are made."""
+    return texts(docs).mapInArrow(lambda batches: _digests(_encoded(batches, path), path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
-    return round_trip(encode(documents(spark, sf_dir), path), path)
+    return there_and_back(documents(spark, sf_dir), path)

@@ -84,11 +84,20 @@ def letters_table() -> Letters:
     return Letters()
 
 
-@functools.cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    base = 0xD6E8FEB86659FD93
-    with np.errstate(over="ignore"):
-        return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64))]) for b in (base, pow(base, -1, 1 << 64)))
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """p**i and p**-i modulo 2**64 for i below n; one table of the longest slice so far."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        base, size = 0xD6E8FEB86659FD93, n + n // 8
+        with np.errstate(over="ignore"):
+            made = [np.full(size, b, np.uint64) for b in (base, pow(base, -1, 1 << 64))]
+            for table in made:
+                table[:1] = 1
+                np.cumprod(table, out=table)
+        _POWERS[:] = made
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 @functools.cache
@@ -210,9 +219,10 @@ class Vocabulary:
         kind = classes[codes]
         first = np.zeros(n + 1, bool)
         first[offsets] = True
-        before = np.concatenate([[-1], kind[:-1]])
+        none = np.full(1, -1, kind.dtype)  # of the same type, so that nothing is widened
+        before = np.concatenate([none, kind[:-1]])
         before[first[:-1]] = -1
-        after = np.concatenate([kind[1:], [-1]])
+        after = np.concatenate([kind[1:], none])
         after[first[1:]] = -1
         start = before != kind
         space = kind == _SPACE
@@ -248,10 +258,12 @@ class Vocabulary:
 
     def _hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         codes, values = self._codes, letters_table().values
-        power, inverse = _powers(max(1 << 22, 1 << int(len(codes)).bit_length()))
+        power, inverse = _powers(len(codes))
         with np.errstate(over="ignore"):
             total = np.zeros(len(codes) + 1, np.uint64)
-            np.cumsum(values[codes] * power[: len(codes)], out=total[1:])
+            total[1:] = values[codes]
+            total[1:] *= power
+            np.cumsum(total, out=total)
             return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
     # encoding of different pre-tokens
